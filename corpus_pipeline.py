@@ -1,25 +1,66 @@
-"""The corpus pipeline: stages over documents, each on all that the one before kept."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, pseudonyms, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
+before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalframe.llm import bpe
+from evalframe.llm import bpe, decontam, pii, simhash, toxicity
+from evalframe.llm.common import cut, read
 from evalframe.llm.queries import RANKS
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects, by the threshold of their language, go."""
+    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), carry=COLUMNS)
+    return scored.where(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, that with the smallest doc_id. Documents without an id are in no group and stay."""
+    kept = simhash.near_duplicates(docs).where("kept").select("doc_id")
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    marked = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return marked.where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values become pseudonyms."""
+    new = pii.pseudonymise(docs, pii.TEST_KEY, carry=("lang", "source"))
+    return new.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes token ids, with digests of the ids and of the bytes that they decode to."""
+    return bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN, keep_ids=True)
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
-    return bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN)
 
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", replace_personal), ("bpe", encode)]
 
-STAGES = [("bpe", encoding)]
+#: Classifier, pseudonyms and merges are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply STAGES to ``documents``; each stage's result is written to the shared checkpoint folder and read again."""
+    cut(spark.range(0))  # makes sure that there is a shared folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -213,19 +213,19 @@ def _groups(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
         yield group
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep_decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, then decode the ids again.
 
     Returns one row per input row: the id, ``n_tokens``, ``ids_sha256``,
-    ``decoded_sha256``, and with ``keep_ids`` also ``ids`` (array of int) and
-    ``decoded`` (binary). Null and empty texts have no tokens. Rows that repeat
+    ``decoded_sha256``, with ``keep_ids`` also ``ids`` (array of int) and with
+    ``keep_decoded`` also ``decoded`` (binary). Null and empty texts have no tokens. Rows that repeat
     give repeated rows; a null id is kept; other columns of ``docs`` are not
     looked at. The rank file is read on the driver (it has a fixed size) and
     sent with the tasks.
     """
     ranks = load_ranks(ranks_path)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +241,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
                     all_ids.append(ids.astype(np.int32))
+                if keep_decoded:
                     all_decoded.append(decoded)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.binary())]
-                names += ["ids", "decoded"]
+                columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+            if keep_decoded:
+                columns, names = [*columns, pa.array(all_decoded, pa.binary())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
+from . import urls
+
 OP10 = r"""
 WITH words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -22,5 +26,51 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP9 = r"""
+WITH pages_ AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, url FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM pages_ WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
+FROM pages_ LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+def _op8() -> str:
+    """The rules, then ten rounds of both walks written out."""
+    fits = ", ".join(
+        f"CASE WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+        f" THEN {{'length': {len(r)}, 'rule': '{r}', 'verdict': '{v}'}} END"
+        for v, r in urls.RULES
+    )
+    d = urls.DAMPING
+    rounds = "".join(
+        f""", m{i} AS (SELECT kind, host, sum(score) AS score FROM (
+    SELECT s.kind, s.to_host AS host, m.score * s.share AS score FROM m{i - 1} m JOIN steps s ON m.kind = s.kind AND m.host = s.host
+    UNION ALL SELECT kind, host, score FROM m0) GROUP BY kind, host)"""
+        for i in range(1, urls.ROUNDS + 1)
+    )
+    lower = f"'{urls.UPPER}', '{urls.LOWER}'"
+    link = urls.LINK.replace("'", "''")
+    return f"""
+WITH parsed AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{urls.URL}', 1), {lower}) AS host, regexp_extract(coalesce(url, ''), '{urls.URL}', 2) AS path FROM pages),
+judged AS (SELECT page_id, host, path, list_max(list_filter([{fits}], lambda x: x IS NOT NULL)) AS fit FROM parsed),
+seen AS (SELECT CASE fit.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM judged WHERE fit IS NOT NULL AND host <> '' GROUP BY ALL),
+m0 AS (SELECT kind, host, {1 - d!r} * n / sum(n) OVER (PARTITION BY kind) AS score FROM seen),
+links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1))), {lower}) AS dst FROM parsed)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+ways AS (SELECT 'trust' AS kind, src AS host, dst AS to_host, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+steps AS (SELECT kind, host, to_host, {d!r} * n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways){rounds},
+standing AS (
+  SELECT host, round(sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END), 12) AS trust, round(sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END), 12) AS distrust
+  FROM m{urls.ROUNDS} GROUP BY host)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN standing USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10}
+    return {"op8_url_filter": _op8(), "op9_warc": OP9, "op10_decontamination": OP10}
