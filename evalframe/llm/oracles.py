@@ -36,6 +36,21 @@ FROM pages_ LEFT JOIN firsts USING (payload_digest)
 """
 
 
+OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS at FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.at = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(at) AS component_id, e.vec_id = min(at) AS kept
+FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts ON a = e.vec_id GROUP BY e.vec_id
+"""
+
+
 def _op8() -> str:
     """The rules, then ten rounds of both walks written out."""
     fits = ", ".join(
@@ -73,4 +88,4 @@ FROM judged LEFT JOIN standing USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8(), "op9_warc": OP9, "op10_decontamination": OP10}
+    return {"op3_embeddings": OP3, "op8_url_filter": _op8(), "op9_warc": OP9, "op10_decontamination": OP10}
