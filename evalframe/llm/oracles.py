@@ -44,9 +44,9 @@ WITH RECURSIVE v AS (
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
-reach AS (SELECT vec_id, vec_id AS at FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.at = l.a),
+reach AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.node = l.a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT e.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(at) AS component_id, e.vec_id = min(at) AS kept
+SELECT e.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(node) AS component_id, e.vec_id = min(node) AS kept
 FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts ON a = e.vec_id GROUP BY e.vec_id
 """
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -140,14 +140,18 @@ def warc_record(r: ArcRecord, digest: str, first: str | None) -> bytes:
 
 
 def read_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """Header and block of each record of a WARC file of gzip members."""
-    while data:
-        unzip = zlib.decompressobj(31)
-        record = unzip.decompress(data) + unzip.flush()
-        data = unzip.unused_data
-        if record:
-            head, _, rest = record.partition(b"\r\n\r\n")
-            yield head, rest[: int(http_header(head, "Content-Length") or 0)]
+    """Header and block of each record of a WARC file of gzip members, read as one stream."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as members, io.BufferedReader(members, 1 << 20) as stream:
+        while line := stream.readline():
+            head = [line]
+            while (line := stream.readline()).strip():
+                head.append(line)
+            if head == [b"\r\n"]:
+                continue
+            header = b"".join(head)
+            block = stream.read(int(http_header(header, "Content-Length") or 0))
+            stream.read(4)  # the two line ends after a record
+            yield header, block
 
 
 def convert(pages: DataFrame) -> DataFrame:
