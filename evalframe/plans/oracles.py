@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ..problems.spec import FAMILIES as FAMILIES_
 from ..sources.star import FAMILIES
 from . import fixtures
+from .queries import POOL
 from .transcripts import NAMES, SHAPES
 
 _Z = "CAST(1.96 AS DOUBLE)"
@@ -311,4 +313,13 @@ def oracle_sql() -> dict[str, str]:
         "provider_fixture": f"SELECT * FROM {fixtures.sql_rows(fixtures.ENDPOINTS, 'url, provider')}",
         "json_metadata": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 9) AS value FROM events GROUP BY 1",
     }
+    for f in FAMILIES_:
+        probes = 1 + f.distractor + 2 * f.surface
+        out[f"verify_{f.name}"] = f"SELECT '{f.name}' AS family, d AS difficulty, CAST({POOL * probes} AS BIGINT) AS n, CAST({POOL * probes} AS BIGINT) AS verified FROM range(1, {min(6, f.cap or 6) + 1}) r(d)"
+    spec = ", ".join(f"('{f.name}', '{f.answer_type}', {f.cap or 'NULL'}, {str(f.distractor).lower()}, {str(f.surface).lower()}, {str(f.sequential).lower()}, {fixtures.sql_value(f.axis)})" for f in FAMILIES_)
+    dims = f"WITH dims AS (SELECT family, answer_type, CAST(cap AS BIGINT) AS cap, distractor, surface, sequential, axis FROM (VALUES {spec}) t(family, answer_type, cap, distractor, surface, sequential, axis))"
+    out["gen_support_matrix"] = f"{dims} SELECT * FROM dims"
+    out["gen_spec_counts"] = f"""{dims}, probes AS (SELECT * FROM (VALUES ('base', 1), ('distractor', 1), ('surface', 2)) p(probe, copies))
+      SELECT family, probe, {POOL} * copies * least(6, coalesce(cap, 6)) AS n, least(6, coalesce(cap, 6)) AS hardest FROM dims, probes WHERE probe = 'base' OR (probe = 'distractor' AND distractor) OR (probe = 'surface' AND surface)"""
+    out["stream_event_rates"] = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 9) AS total, round(sum(value) / count(*), 9) AS mean FROM events GROUP BY ALL"""
     return out

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import grading
 from ..functions import text as t
-from ..operators import accuracy, compare, messages, outcomes, paired, runtime, sampling, telemetry, uncertainty
+from ..operators import accuracy, compare, messages, outcomes, paired, respond, runtime, sampling, telemetry, uncertainty
 from ..operators.items import by_item, votes
 from ..operators.tidy import Evaluation
+from ..problems import build, spec, verify
 from ..sources import star, store
+from ..streaming import live
 from . import fixtures, transcripts
 
 PLACES = 9
@@ -243,6 +245,49 @@ def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(star.table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("double")).alias("value")))
 
 
+def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream: number and mean value by hour and type."""
+    return rounded(live.rates_so_far(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "value"))
+
+
+POOL = 20
+
+
+def _problems(spark: SparkSession) -> DataFrame:
+    return build.make(spec.specifications(spark, None, 1, 6, POOL, distractor=True, surface=2))
+
+
+def gen_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole pool of problems of every family."""
+    return rounded(_problems(spark).select("item_id", "family", "difficulty", "probe", "grp", "answer_type", "gold", "prompt"))
+
+
+def gen_spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spec.specifications(spark, None, 1, 6, POOL, distractor=True, surface=2).groupBy("family", "probe").agg(F.count("*").alias("n"), F.max("difficulty").alias("hardest")))
+
+
+def gen_support_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spec.support_matrix(spark))
+
+
+def verify_of(family: str) -> Query:
+    """How many golds of one family follow from their prompts: all of them."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        specs = spec.specifications(spark, [family], 1, 6, POOL, distractor=True, surface=2)
+        checked = verify.derive(build.make(specs, [family]), family)
+        return rounded(checked.groupBy("family", "difficulty").agg(F.count("*").alias("n"), F.count(F.when(F.col("verified"), 1)).alias("verified")))
+
+    return run
+
+
+def mock_run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in's accuracy over the pool, by family and probe."""
+    items = _problems(spark)
+    r = respond.run_mock(items, "mock", "noisy", 3)
+    both = r.join(items.select("item_id", "family", "probe"), "item_id")
+    return rounded(both.groupBy("family", "probe").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy")))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "degradation_wilson": _on_frame(accuracy.degradation), "overall_accuracy": _on_frame(accuracy.overall), "accuracy_by_family": _on_frame(accuracy.by_family),
@@ -257,7 +302,7 @@ def queries() -> dict[str, Query]:
         response_upsert_latest, done_items, resume_todo, difficulty_filter, stride_limit, majority_vote_items, grading_fragility, regrade_responses, grade_transcripts, reparse_transcripts, grade_fixture,
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
-        provider_from_url, provider_fixture, json_metadata,
+        provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile,
     ):
         out[f.__name__] = f
-    return out
+    return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}
