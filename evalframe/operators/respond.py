@@ -40,14 +40,14 @@ def mock_reply(key: str, mode: str, difficulty: int, distracted: bool, kind: str
 
 
 def mock_text(mode: str) -> Callable[..., Column]:
-    """The stand-in as a function of columns (key, difficulty, distracted, kind, target, choices). A set answer without choices has none to go wrong by."""
+    """The stand-in as a function of columns (key, difficulty, distracted, kind, target, choices); a null target gives null. A set answer without choices has none to go wrong by."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
 
     @F.pandas_udf("string")
     def reply(key: pd.Series, difficulty: pd.Series, distracted: pd.Series, kind: pd.Series, target: pd.Series, choices: pd.Series) -> pd.Series:
         rows = zip(key, difficulty, distracted, kind, target, choices, strict=True)
-        return pd.Series([mock_reply(k, mode, int(d), bool(x), a, t or "", [] if c is None else list(c)) for k, d, x, a, t, c in rows], dtype="object")
+        return pd.Series([None if t is None else mock_reply(k, mode, int(d), bool(x), a, t, [] if c is None else list(c)) for k, d, x, a, t, c in rows], dtype="object")
 
     return reply
 
