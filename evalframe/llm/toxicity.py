@@ -66,14 +66,16 @@ def _new(seed: int = 7) -> Net:
 
 
 def _pool(net: Net, part: dict[tuple[int, int], np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Responses at each position, and the largest of each text. part: what each place of a filter adds at a position; two blank positions end each text."""
+    """Responses at each position, and the largest of each text. part: what each place of a filter adds at a position; two blank positions end each text, from which no filter reaches into the next."""
     n = len(part[1, 0])
+    ends = np.append(starts[1:], n)
     response = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
     for k, w in enumerate(WIDTHS):
         own = part[w, 0].copy()
         for j in range(1, w):
             own[: n - j] += part[w, j][j:]
         response[:, k * FILTERS : (k + 1) * FILTERS] = own
+    response[np.concatenate([ends - 2, ends - 1])] = 0
     return response, np.maximum.reduceat(response, starts, axis=0)
 
 
@@ -126,7 +128,7 @@ def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = 32, le
             for k, w in enumerate(WIDTHS):
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 for j in range(w):
-                    pos = np.minimum(place[:, cols] + j, len(rows) - 1)
+                    pos = np.where(rows[place[:, cols], 0] < 0, place[:, cols], np.minimum(place[:, cols] + j, len(rows) - 1))
                     g = d_top[:, cols]
                     d_filter[w, j] = np.einsum("nfd,nf->df", vector[pos], g)
                     touched.append(pos.ravel())
