@@ -8,6 +8,8 @@ table of labelled findings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +23,8 @@ TAIL, LEAST = r"(?<![+/_.-])[+/_.-]+$", 16
 HEADER = "-----BEGIN "
 BEFORE, AFTER = 40, 20
 TREES, DEPTH, FINDINGS = 30, 8, 6000
+#: Runs whose places are summed together.
+SUMS = 256
 
 # Words that speak for a secret, words that speak for another kind of string, common words, and known beginnings of keys.
 FOR = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private"
@@ -72,30 +76,55 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return picked.select("id", "pick.shape", "pick.label").select(text.alias("text"), "label")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each run begins, from an array of (gap before it, its length).
+
+    Running sums are taken within blocks and over the blocks' totals, so a text
+    with very many runs does not copy one growing array for each of them.
+    """
+    block = lambda z, b: F.slice(z, b * SUMS + 1, F.lit(SUMS))
+    blocks = lambda z: F.sequence(F.lit(0), F.floor((F.size(z) - 1) / SUMS).cast("int"))
+    empty = F.array().cast("array<int>")
+
+    def run(part: Column, begin: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"))
+        return F.aggregate(part, F.struct(begin.alias("at"), empty.alias("starts")), step, lambda acc: acc["starts"])
+
+    totals = lambda z: F.transform(blocks(z), lambda b: F.struct(F.lit(0).alias("gap"), F.aggregate(block(z, b), F.lit(0), lambda s, x: s + x["gap"] + x["own"]).alias("own")))
+    return F.when(F.size(sizes) > 0, _let(sizes, lambda z: _let(run(totals(z), F.lit(0)), lambda base: F.flatten(F.transform(blocks(z), lambda b: run(block(z, b), F.get(base, b))))))).otherwise(empty)
+
+
 def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """A row per candidate: the columns in ``keep``, ``start`` (in characters, from 0), ``candidate``, ``before``, ``after``."""
+    """A row per candidate: the columns in ``keep``, ``start`` (in characters, from 0), ``candidate``, ``before``, ``after``.
+
+    A text is cut once into runs and the gaps between them; places and
+    neighbouring words come from those pieces, in time that grows with the text.
+    """
     text = F.col(text_col)
-    # Runs, and the text between them, from which the runs' places follow.
-    found = docs.where(text.rlike(RUN)).select(
-        *keep, text.alias("__text"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("__found"), F.transform(F.split(text, RUN, -1), F.length).alias("__gap")
-    )
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(F.coalesce(x["found"], F.lit("")))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")
-    )
-    pairs = F.arrays_zip(F.col("__gap").alias("gap"), F.col("__found").alias("found"))
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda acc: acc["starts"])
-    trimmed = F.transform(
-        F.arrays_zip(starts.alias("start"), F.col("__found").alias("candidate")),
-        lambda x: F.struct(x["start"].alias("start"), F.when(x["candidate"].startswith(HEADER), x["candidate"]).otherwise(F.regexp_replace(x["candidate"], TAIL, "")).alias("candidate")),
-    )
+    found = docs.where(text.rlike(RUN)).select(*keep, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("__found"), F.split(text, RUN, -1).alias("__gaps"))
+    run, gap = (lambda i: F.get("__found", i)), (lambda i: F.get("__gaps", i))
+    sizes = F.transform("__found", lambda r, i: F.struct(F.length(gap(i)).alias("gap"), F.length(r).alias("own")))
+    last, head = (lambda x, n: F.right(x, F.lit(n))), (lambda x, n: F.left(x, F.lit(n)))
+    # Runs have LEAST characters or more, so three of them and the gaps between hold all that BEFORE needs, and two what AFTER needs.
+    before = lambda i: last(F.concat_ws("", *[piece for k in (2, 1, 0) for piece in (last(run(i - k - 1), BEFORE), last(gap(i - k), BEFORE))]), BEFORE)
+    after = lambda i, tail: head(F.concat_ws("", tail, *[piece for k in (1, 2) for piece in (head(gap(i + k), AFTER), head(run(i + k), AFTER))]), AFTER)
+    bare = lambda r: F.when(r.startswith(HEADER), r).otherwise(F.regexp_replace(r, TAIL, ""))
     mixed = lambda c: (F.length(c) >= LEAST) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") | c.startswith(HEADER)
-    chosen = F.filter(trimmed, lambda x: F.coalesce(mixed(x["candidate"]), F.lit(False)))
-    around = lambda x: F.struct(
-        x["start"].alias("start"), x["candidate"].alias("candidate"),
-        F.col("__text").substr(F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE))).alias("before"),
-        F.col("__text").substr(x["start"] + F.length(x["candidate"]) + 1, F.lit(AFTER)).alias("after"),
-    )
-    return found.select(*keep, F.explode(F.transform(chosen, around)).alias("__c")).select(*keep, "__c.*")
+
+    def described(starts: Column) -> Column:
+        cut = F.transform("__found", lambda r, i: F.struct(i.alias("i"), bare(r).alias("candidate")))
+        chosen = F.filter(cut, lambda x: F.coalesce(mixed(x["candidate"]), F.lit(False)))
+        return F.transform(chosen, lambda x: F.struct(
+            F.get(starts, x["i"]).alias("start"), x["candidate"].alias("candidate"), before(x["i"]).alias("before"),
+            after(x["i"], F.substring(run(x["i"]), F.length(x["candidate"]) + 1, F.length(run(x["i"])))).alias("after"),
+        ))
+
+    return found.select(*keep, F.explode(_let(_starts(sizes), described)).alias("__c")).select(*keep, "__c.*")
 
 
 def features() -> dict[str, Column]:
