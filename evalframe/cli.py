@@ -1,8 +1,9 @@
-"""Command line: generate, run, report, dashboard, compare, list, families."""
+"""Command line: generate, run, report, dashboard, compare, list, families, and the registry of models."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from .operators import accuracy, compare, respond, sampling
 from .operators.tidy import Evaluation
 from .problems import build, spec
 from .render import report, text
+from .sources import registry
 from .sources.store import Store
 
 
@@ -22,6 +24,7 @@ def _session() -> SparkSession:
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="evalframe")
     p.add_argument("--store", default="evalframe-store", help="folder of the stored tables")
+    p.add_argument("--registry", default=None, help="file of models and endpoints")
     sub = p.add_subparsers(dest="command", required=True)
     g = sub.add_parser("generate", help="make and verify problems")
     g.add_argument("--preset", choices=sorted(spec.PRESETS), default="quick")
@@ -37,13 +40,50 @@ def _parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("runs", nargs="*")
         c.add_argument("--out", default="evalframe-report")
+    for name in ("add-model", "edit-model", "remove-model"):
+        m = sub.add_parser(name, help="change the registry of models")
+        m.add_argument("alias")
+        if name != "remove-model":
+            for option in ("--base-url", "--model", "--api-key", "--api-key-env"):
+                m.add_argument(option, required=name == "add-model" and option in ("--base-url", "--model"))
+            m.add_argument("--context-window", type=int)
+            m.add_argument("--max-tokens", type=int)
+    sub.add_parser("models", help="registered models")
+    sub.add_parser("providers", help="registered endpoints")
     sub.add_parser("list", help="stored runs")
     sub.add_parser("families", help="families and their probes")
     return p
 
 
+def _change_registry(a: argparse.Namespace) -> int:
+    """Commands that need no Spark; keys are never shown."""
+    path = a.registry or os.environ.get(registry.PATH_VARIABLE, "providers.json")
+    known = registry.load(path)
+    limits = {k: getattr(a, k, None) for k in ("context_window", "max_tokens")}
+    if a.command == "models":
+        for alias, m in sorted(known.models.items()):
+            print(f"{alias:<20}{m['model']:<30}{m['provider']}")
+    elif a.command == "providers":
+        for name, p in sorted(known.providers.items()):
+            print(f"{name:<20}{p['base_url']:<50}{p.get('api_key_env') or ('stored key' if p.get('api_key') else 'no key')}")
+    elif a.command != "add-model" and a.alias not in known.models:
+        print(f"unknown model: {a.alias}", file=sys.stderr)
+        return 1
+    else:
+        if a.command == "remove-model":
+            registry.remove(known, a.alias)
+        elif a.command == "edit-model":
+            registry.edit(known, a.alias, a.base_url, a.model, a.api_key, a.api_key_env, **limits)
+        else:
+            registry.register(known, a.alias, a.base_url, a.model, a.api_key, a.api_key_env, **limits)
+        registry.save(known, path)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
+    if a.command in ("models", "providers") or a.command.endswith("-model"):
+        return _change_registry(a)
     spark = _session()
     store = Store(spark, a.store)
     if a.command == "families":
@@ -73,6 +113,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"warning: {r.run_1} and {r.run_2} were run on different datasets ({r.tag_1!r}, {r.tag_2!r})", file=sys.stderr)
         if a.command == "report":
             print(*report.build(e, runs, a.out), sep="\n")
+            report.export_results(e, store.read("runs").where(keep).select("run_id", "model", "params", "created_at"), a.out)
         elif a.command == "compare":
             labels = {r.run_id: r.label for r in compare.run_labels(runs).collect()}
             print(*text.comparison(report.rows_of(compare.leaderboard(e.profile())), labels), sep="\n")

@@ -57,6 +57,15 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main([*at, "report", "--out", str(tmp_path / "r")])
     out = capsys.readouterr().out
     assert "24 items" in out and "two mock-perfect" in out and "overall acc" in out and "pass@1" in out
+    assert len(list((tmp_path / "r" / "results").glob("run_id=*/*.json"))) >= 2
+    models = ["--registry", str(tmp_path / "models.json")]
+    assert cli.main([*models, "add-model", "a", "--base-url", "https://api.one.example.com", "--model", "m", "--api-key", "secret"]) == 0
+    assert cli.main([*models, "edit-model", "a", "--max-tokens", "9"]) == 0 and cli.main([*models, "remove-model", "zzz"]) == 1
+    cli.main([*models, "models"])
+    cli.main([*models, "providers"])
+    shown = capsys.readouterr().out
+    assert "stored key" in shown and "secret" not in shown and r.load(models[1]).models["a"] == {"provider": "example", "model": "m", "max_tokens": 9}
+    assert cli.main([*models, "remove-model", "a"]) == 0 and r.load(models[1]) == r.Registry()
     files = {p.name for p in (tmp_path / "r").iterdir()}
     assert {"report.md", "one.html", "two.log", "metrics", "items"} <= files
     assert "| mock-perfect | 1.000 |" in (tmp_path / "r" / "report.md").read_text()
