@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -45,3 +47,25 @@ def test_recall_on_random_clusters(spark, monkeypatch):
     n = {r.vec_id: r.n_links for r in got}
     assert all(n[i] <= k for i, k in want.items()) and sum(n.values()) >= 0.95 * 2 * len(links)
     assert all(r.component_id <= r.vec_id and r.kept == (r.component_id == r.vec_id) for r in got)
+
+
+LARGER = "/root/testdata/check_s"
+
+
+@pytest.mark.skipif(not Path(LARGER).exists(), reason="no larger tables here")
+def test_recall_on_a_larger_table(spark):
+    """Links by label from whole matrices of cosines against those of the index."""
+    vectors = common.read(spark, LARGER, "embeddings")
+    frame = vectors.select("vec_id", "embedding", "label").toPandas()
+    want = {}
+    for _, own in frame[frame.label.notna()].groupby("label"):
+        own = own[[v is not None and len(v) > 0 and np.isfinite(np.array(v, float)).all() and np.any(v) for v in own.embedding]]
+        x = np.stack([np.array(v, np.float64) for v in own.embedding])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for start in range(0, len(x), 1000):
+            n = (x[start : start + 1000] @ x.T >= embeddings.THRESHOLD).sum(axis=1) - 1
+            want |= dict(zip(own.vec_id[start : start + 1000], n, strict=True))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(vectors).collect()}
+    found, all_links = sum(got.values()), sum(want.values())
+    print(f"{found} of {all_links} link ends")
+    assert set(got) == set(frame.vec_id) and 0.97 * all_links <= found <= all_links > 0
