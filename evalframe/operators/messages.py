@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What every prompt says.
-SYSTEM = "You are a careful reasoner. Solve the problem and follow the output format exactly."
-FORMAT = "Show your reasoning, then end with a line in exactly this format:\nANSWER: <your final answer>"
-CONFIDENCE = "\nThen on the next line:\nCONFIDENCE: <an integer 0-100 for how certain you are>"
-READY = "Understood — ready for the next instruction."
+# What every prompt says; grading looks for the two marked lines.
+SYSTEM = "You solve reasoning problems with care, and answer in the form that is asked for."
+FORMAT = "Explain your reasoning. End with one line of this form:\nANSWER: <your final answer>"
+OPTIONS = "\nGive exactly one of these as the answer: "
+CONFIDENCE = "\nFollow it with one more line:\nCONFIDENCE: <a whole number from 0 to 100, how sure you are>"
+READY = "Noted. What comes next?"
 
 
 def message(role: str | Column, content: Column) -> Column:
@@ -18,7 +19,7 @@ def message(role: str | Column, content: Column) -> Column:
 
 def instructions(kind: Column, choices: Column, ask_confidence: bool = False) -> Column:
     """How to answer: the marker line, the choices if there are any, and a confidence if asked for."""
-    options = F.when((kind == "choice") & (F.size(F.coalesce(choices, F.array().cast("array<string>"))) > 0), F.concat(F.lit("\nYour answer must be exactly one of: "), F.array_join(choices, ", "), F.lit(".")))
+    options = F.when((kind == "choice") & (F.size(F.coalesce(choices, F.array().cast("array<string>"))) > 0), F.concat(F.lit(OPTIONS), F.array_join(choices, ", "), F.lit(".")))
     return F.concat(F.lit(FORMAT), F.coalesce(options, F.lit("")), F.lit(CONFIDENCE if ask_confidence else ""))
 
 

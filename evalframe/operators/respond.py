@@ -23,20 +23,24 @@ from . import messages
 
 MODES = ("perfect", "random", "noisy")
 LONGEST_WAIT, LONGEST_BACKOFF = 60.0, 8.0
+# How the stand-in's chance to be right falls, by how much a wrong integer is off, and the confidences it states.
+CHANCE, BY_DIFFICULTY, BY_DISTRACTOR, LEAST_CHANCE, COIN = 0.95, 0.11, 0.18, 0.05, 0.5
+OFF_BY = (-3, -2, -1, 1, 2, 3)
+SURE, UNSURE = (55, 95), (30, 80)
 
 
 def mock_reply(key: str, mode: str, difficulty: int, distracted: bool, kind: str, target: str, choices: list[str]) -> str:
     """A reply drawn from the key alone: right with a chance that falls with difficulty, and a confidence."""
     draw = random.Random(int(hashlib.sha1(key.encode()).hexdigest(), 16) % 2**32)
-    chance = 0.5 if mode == "random" else max(0.05, 0.95 - 0.11 * difficulty - (0.18 if distracted else 0))
+    chance = COIN if mode == "random" else max(LEAST_CHANCE, CHANCE - BY_DIFFICULTY * difficulty - BY_DISTRACTOR * distracted)
     right = mode == "perfect" or draw.random() < chance
-    answer = target
-    if not right and kind in grading.NUMERIC:
-        answer = str(int(target) + draw.choice([-3, -2, -1, 1, 2, 3]))
-    elif not right:
+    if right:
+        answer = target
+    elif kind in grading.NUMERIC:
+        answer = str(int(target) + draw.choice(OFF_BY))
+    else:
         answer = draw.choice([c for c in choices if c != target] or [target])
-    confidence = draw.randint(55, 95) if right else draw.randint(30, 80)
-    return f"Reasoning omitted in mock.\nANSWER: {answer}\nCONFIDENCE: {confidence}"
+    return f"A stand-in's reply.\nANSWER: {answer}\nCONFIDENCE: {draw.randint(*(SURE if right else UNSURE))}"
 
 
 def mock_text(mode: str) -> Callable[..., Column]:

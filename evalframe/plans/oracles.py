@@ -179,7 +179,7 @@ def _messages() -> str:
 
     q = fixtures.sql_value
     how_int = q(m.FORMAT + m.CONFIDENCE)
-    how_choice = q(m.FORMAT + "\nYour answer must be exactly one of: yes, no." + m.CONFIDENCE)
+    how_choice = q(m.FORMAT + m.OPTIONS + "yes, no." + m.CONFIDENCE)
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 2 * len(lines) ELSE 2 END AS n_messages,

@@ -73,7 +73,7 @@ def test_messages(spark):
     df = spark.createDataFrame([("p", None, "choice", ["a", "b"]), ("p", ["one", "two"], "int", None)], "prompt string, turns array<string>, kind string, choices array<string>")
     how = messages.instructions(F.col("kind"), F.col("choices"))
     single, several = df.select(messages.build(F.col("prompt"), F.col("turns"), how).alias("m"), messages.by_role(messages.build(F.col("prompt"), F.col("turns"), how)).alias("r")).collect()
-    assert [m.role for m in single.m] == ["system", "user"] and single.m[1].content.endswith("exactly one of: a, b.")
+    assert [m.role for m in single.m] == ["system", "user"] and single.m[1].content.endswith(messages.OPTIONS + "a, b.")
     assert [m.role for m in several.m] == ["system", "user", "assistant", "user"] and several.m[1].content == "one" and several.m[3].content.startswith("two\n\n")
     assert several.r.system == messages.SYSTEM and [m.role for m in several.r.chat] == ["user", "assistant", "user"]
     nxt = df.where("turns is not null").select(messages.next_turn(F.col("turns"), F.array(F.lit("mine")), F.lit("how")).alias("m")).first().m
