@@ -152,18 +152,26 @@ def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = 32, le
 
 def _calibrate(net: Net, z: np.ndarray, y: np.ndarray, lang: np.ndarray, least: int = 8) -> None:
     """Fit probability = sigmoid(scale z + shift), then a threshold for each language: the middle of those with the best F1."""
-    a, b = 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w, r = p * (1 - p) + 1e-9, p - target
-        hessian = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
-        change = np.linalg.solve(hessian, [(r * z).sum() + 0.01 * (a - 1), r.sum()])
-        a, b = a - change[0], b - change[1]
-        if np.abs(change).max() < 1e-6:
+    at, drawn = np.array([1.0, 0.0]), np.array([1.0, 0.0])  # a weak pull keeps both finite where the classes lie apart
+
+    def loss(at: np.ndarray) -> float:
+        m = at[0] * z + at[1]
+        return float((np.logaddexp(0, m) - target * m).sum() + 0.005 * ((at - drawn) ** 2).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -30, 30)))
+        w, r = p * (1 - p), p - target
+        hessian = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 0.01 * np.eye(2)
+        change = np.linalg.solve(hessian, np.array([(r * z).sum(), r.sum()]) + 0.01 * (at - drawn))
+        now, share = loss(at), 1.0
+        while loss(at - share * change) > now and share > 1e-6:  # a whole step may overshoot
+            share /= 2
+        at = at - share * change
+        if np.abs(share * change).max() < 1e-6:
             break
-    if a > 0:
-        net.scale, net.shift = float(a), float(b)
+    if at[0] > 0:
+        net.scale, net.shift = float(at[0]), float(at[1])
     p = net.probability(z)
 
     def best(p: np.ndarray, y: np.ndarray) -> float:

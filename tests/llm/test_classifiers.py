@@ -89,3 +89,24 @@ def test_thresholds_by_language(spark):
     assert set(net.thresholds) == {"de", "en"}
     got = toxicity.toxicity(df.drop("toxic"), df.select("doc_id", "toxic"), carry=("text",)).join(df.select("doc_id", "toxic"), "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in got]) == 1 == np.mean([int(r.rejected) == r.toxic for r in got])
+
+
+@pytest.mark.parametrize("gap", [0.1, 3, 30])
+def test_calibration_where_classes_lie_apart(gap):
+    rng = np.random.default_rng(8)
+    y = (np.arange(2000) % 10 == 0).astype(float)
+    z = np.where(y > 0, gap, -gap) * (1 + rng.random(2000)) + rng.normal(size=2000) * 0.01
+    net = toxicity._new()
+    toxicity._calibrate(net, z, y, np.array(["en"] * 2000, object))
+    p = net.probability(z)
+    assert 0 < net.scale < 200 and ((p >= toxicity.THRESHOLD) == (y > 0)).all() and ((p >= net.thresholds["en"]) == (y > 0)).all()
+    assert abs(p.mean() - y.mean()) < 0.02
+
+
+def test_calibration_gives_shares():
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=20_000) * 3
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 * z - 1)))).astype(float)
+    net = toxicity._new()
+    toxicity._calibrate(net, z, y, np.array([None] * len(z), object))
+    assert net.scale == pytest.approx(0.5, abs=0.05) and net.shift == pytest.approx(-1, abs=0.1)
