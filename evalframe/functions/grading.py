@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as t
+from .text import let
 
 #: Choices that only a marker line may give.
 RESTRICTED = ("undetermined", "no_solution", "knight", "knave")
@@ -25,16 +26,19 @@ def parse(text: Column, kind: Column, choices: Column, strict: bool = False) ->
     ``kind`` is int, choice, set, justified_choice or another word for free text.
     With ``strict`` only the marker counts. Null text gives (null, none).
     """
-    marker = t.answer_marker(text)
     joined = lambda x: F.array_join(F.array_sort(t.split_names(x)), ",")
-    from_marker = F.when(marker.isNotNull(), F.when(kind.isin(*NUMERIC), t.first_int(marker)).when(kind == "choice", t.first_choice(marker, choices)).when(kind == "set", joined(marker)).otherwise(marker))
-    if strict:
-        return F.struct(from_marker.alias("parsed"), F.when(from_marker.isNotNull(), "marker").otherwise("none").alias("source"))
-    prose = t.without_confidence(text)
-    open_choice = ~F.exists(choices, lambda c: F.lower(c).isin(*RESTRICTED))
-    from_prose = F.when(kind == "int", t.last_int(prose)).when(kind == "set", F.nullif(joined(prose), F.lit(""))).when((kind == "choice") & open_choice, t.last_choice(text, choices))
-    source = F.when(from_marker.isNotNull(), "marker").when(from_prose.isNotNull(), "fallback").otherwise("none")
-    return F.struct(F.coalesce(from_marker, from_prose).alias("parsed"), source.alias("source"))
+    of_marker = lambda m: F.when(m.isNotNull(), F.when(kind.isin(*NUMERIC), t.first_int(m)).when(kind == "choice", t.first_choice(m, choices)).when(kind == "set", joined(m)).otherwise(m))
+
+    def result(from_marker: Column) -> Column:
+        if strict:
+            return F.struct(from_marker.alias("parsed"), F.when(from_marker.isNotNull(), "marker").otherwise("none").alias("source"))
+        prose = t.without_confidence(text)
+        open_choice = ~F.exists(choices, lambda c: F.lower(c).isin(*RESTRICTED))
+        from_prose = F.when(from_marker.isNull(), F.when(kind == "int", t.last_int(prose)).when(kind == "set", F.nullif(joined(prose), F.lit(""))).when((kind == "choice") & open_choice, t.last_choice(text, choices)))
+        both = lambda p: F.struct(F.coalesce(from_marker, p).alias("parsed"), F.when(from_marker.isNotNull(), "marker").when(p.isNotNull(), "fallback").otherwise("none").alias("source"))
+        return let(from_prose, both)
+
+    return let(t.answer_marker(text), lambda m: let(of_marker(m), result))
 
 
 def is_right(parsed: Column, gold: Column, kind: Column) -> Column:
@@ -46,10 +50,13 @@ def is_right(parsed: Column, gold: Column, kind: Column) -> Column:
 
 def grade(text: Column, kind: Column, gold: Column, choices: Column, strict: bool = False) -> Column:
     """Struct (parsed, correct, confidence, source). Sets are compared as sets."""
-    got = parse(text, kind, choices, strict)
     names = lambda x: F.array_sort(F.array_distinct(t.split_names(F.coalesce(x, F.lit("")))))
-    correct = F.when(kind == "set", names(got["parsed"]) == names(gold)).otherwise(is_right(got["parsed"], gold, kind))
-    return F.struct(got["parsed"].alias("parsed"), correct.alias("correct"), t.stated_confidence(text).alias("confidence"), got["source"].alias("source"))
+    correct = lambda parsed: F.when(kind == "set", names(parsed) == names(gold)).otherwise(is_right(parsed, gold, kind))
+
+    def result(got: Column) -> Column:
+        return F.struct(got["parsed"].alias("parsed"), correct(got["parsed"]).alias("correct"), t.stated_confidence(text).alias("confidence"), got["source"].alias("source"))
+
+    return let(parse(text, kind, choices, strict), result)
 
 
 def marker_only(text: Column, kind: Column, choices: Column) -> Column:

@@ -6,6 +6,8 @@ word characters and blanks of other scripts count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ NOTHING = ("none", "no", "nothing", "n/a")
 SENTENCE_END = r"(?<=\.)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, where it would otherwise be repeated in every branch or lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def last_of(found: Column) -> Column:
     return F.try_element_at(found, F.lit(-1))
 

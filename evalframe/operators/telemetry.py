@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOW_LOGPROB, SPREAD = -2.0, 2.0
-
+from ..functions.text import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value worked out once, which matters inside lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
+LOW_LOGPROB, SPREAD = -2.0, 2.0
 
 
 def token_entropy(content: Column) -> Column:

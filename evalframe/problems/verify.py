@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, split_names
-from ..operators.telemetry import let
+from ..functions.text import let, sentences, split_names
 from .families import AXES, PHRASES, operate
 from .planning import least_moves_told
 from .spec import FAMILIES, count
