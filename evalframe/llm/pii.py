@@ -23,6 +23,11 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: Pseudonyms that a task remembers.
 REMEMBERED = 200_000
+#: Characters of an IBAN by country, from the IBAN registry.
+IBAN_LENGTHS = {code: int(n) for n, codes in (
+    ("15", "NO"), ("16", "BE"), ("18", "DK FO FI GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU MN XK"), ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"),
+    ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU"),
+) for code in codes.split()}
 
 
 class Feistel:
@@ -105,6 +110,16 @@ def _iban(value: str, f: Feistel) -> str | None:
     return "".join(c if c == " " else next(new) for c in value)
 
 
+def _iban_ends(value: str) -> list[int]:
+    """Where an IBAN at the start of the match can end: after the length of its country, else after any of the match's groups."""
+    places = [k + 1 for k, c in enumerate(value) if c != " "]
+    n = IBAN_LENGTHS.get(value[:2])
+    if n is None:
+        return [len(value), *[k for k in range(len(value) - 1, 0, -1) if value[k] == " "]]
+    fixed = [places[n - 1]] if n <= len(places) and value[places[n - 1] :][:1] in ("", " ") else []
+    return [*fixed, *[len(value)][: len(value) not in fixed]]
+
+
 def _ip(value: str, f: Feistel) -> str | None:
     parts = [int(x) for x in value.split(".")]
     if any(x > 255 for x in parts):
@@ -166,6 +181,10 @@ KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
 )
 
 
+#: Kinds whose pattern can go past the value, with the ends to try in turn. What fails at all of them is looked at again from its next character.
+ENDS: dict[str, Callable[[str], list[int]]] = {"iban": _iban_ends}
+
+
 class Masker:
     """Finds and replaces the KINDS in texts."""
 
@@ -188,14 +207,19 @@ class Masker:
         for kind, pattern, change in self.kinds:
             if (kind == "email" and "@" not in text) or (kind == "iban" and not text):
                 continue
-            for m in pattern.finditer(text):
-                if any(taken[m.start() : m.end()]):
-                    continue
-                new = self.pseudonym(kind, m[0], change)
-                if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
-                    taken = taken or bytearray(len(text))
-                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+            ends, at = ENDS.get(kind), 0
+            while m := pattern.search(text, at):
+                start, at = m.start(), m.start() + 1 if ends else m.end()
+                for size in ends(m[0]) if ends else (len(m[0]),):
+                    if any(taken[start : start + size]):
+                        continue
+                    new = self.pseudonym(kind, m[0][:size], change)
+                    if new is not None:
+                        at = start + size
+                        found.append((start, at, kind, new))
+                        taken = taken or bytearray(len(text))
+                        taken[start:at] = b"\1" * size
+                        break
         if not found:
             return text, found
         found.sort()

@@ -56,6 +56,22 @@ def test_invalid_values_stay(text):
     assert pii.Masker(b"key").mask(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("ES9121000418450200051332 A nombre", ["ES9121000418450200051332"]), ("ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", ["ES91 2100 0418 4502 0005 1332"]), ("AT611904300234573201 USD", ["AT611904300234573201"]),
+        ("BE68539007547034 EUR 12", ["BE68539007547034"]), ("PL61109010140000071219812874 I paid", ["PL61109010140000071219812874"]), ("BE68539007547034 ES91 2100 0418 4502 0005 1332 A", ["BE68539007547034", "ES91 2100 0418 4502 0005 1332"]),
+        ("AB13 BE68 5390 0754 7034 OK", ["BE68 5390 0754 7034"]), ("BE68539007547034 JO@example.org", ["BE68539007547034"]), ("ES9121000418450200051333 A nombre", []),
+    ],
+)
+def test_ibans_end_before_tokens_that_follow(text, ibans):
+    new, found = pii.Masker(b"key").mask(text)
+    assert [text[a:b] for a, b, kind, _ in found if kind == "iban"] == ibans
+    assert not any(x in new for x in ibans)
+    alone = [pii.Masker(b"key").mask(x)[0] for x in ibans]
+    assert [x[3] for x in found if x[2] == "iban"] == alone  # equal values stay linked, whatever follows
+
+
 def test_equal_values_stay_linked_and_different_ones_apart(spark, middle):
     docs = common.read(spark, middle, "documents")
     old = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
