@@ -29,6 +29,14 @@ IBAN_LENGTHS = {code: int(n) for n, codes in (
     ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU"),
 ) for code in codes.split()}
 
+#: Digits after the country's code, least and most; of codes not named, the whole number has 8 to 15.
+PLANS = {
+    "1": (10, 10), "7": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "39": (6, 12), "41": (9, 9), "43": (4, 13), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (6, 12),
+    "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10), "61": (9, 9), "81": (9, 10), "86": (10, 11), "91": (10, 10), "351": (9, 9), "353": (7, 9), "358": (5, 12),
+}
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 
 class Feistel:
     """Keyed permutations of numbers and digit strings."""
@@ -128,11 +136,24 @@ def _ip(value: str, f: Feistel) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+TEN = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", re.ASCII)
+
+
+def _phone_ends(value: str) -> list[int]:
+    """Where a phone number at the start of the match can end: after any of its groups."""
+    return [len(value), *([] if TEN.fullmatch(value) else [k for k in range(len(value) - 1, 0, -1) if value[k] in " .-"])]
+
+
 def _phone(value: str, f: Feistel) -> str | None:
     digits = [int(c) for c in value if c.isdigit()]
-    if not 10 <= len(digits) <= 15:
-        return None
-    kept = len(digits) - 10  # the country's code stays
+    if TEN.fullmatch(value):
+        kept = len(digits) - 10  # the country's code stays
+    else:
+        number = "".join(map(str, digits))
+        kept = 1 if number[0] in "17" else 2 if number[:2] in TWO else 3
+        least, most = PLANS.get(number[:kept], (8 - kept, 15 - kept))
+        if not least <= len(digits) - kept <= most:
+            return None
     return _refill(value, digits[:kept] + f.digits(digits[kept:], 10, f"phone{digits[:kept]}"))
 
 
@@ -147,20 +168,28 @@ def _ssn(value: str, f: Feistel) -> str | None:
     return f"{areas[first]:03d}-{middle + 1:02d}-{last + 1:04d}"
 
 
-def _date(value: str, f: Feistel) -> str | None:
-    parts = re.split(r"[-/.]", value)
-    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
+def _day(parts: list[str], order: tuple[int, int, int]) -> datetime.date | None:
     try:
-        day = datetime.date(*(int(parts[k]) for k in order)).toordinal()
+        day = datetime.date(*(int(parts[k]) for k in order))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    return day if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
+
+
+def _date(value: str, f: Feistel) -> str | None:
+    """Another date of the same order and widths. What is no date day first is tried month first; its pseudonym is none day first either."""
+    parts, separators = re.split(r"[-/.]", value), re.findall(r"[-/.]", value)
+    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]  # places of year, month and day
+    order, day = next(((o, d) for o in orders if (d := _day(parts, o))), (orders[0], None))
+    if day is None:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + f.below(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-    fields = (new.year, new.month, new.day) if order[0] == 0 else (new.day, new.month, new.year)
-    separators = re.findall(r"[-/.]", value)
-    widths = (4, 2, 2) if order[0] == 0 else (2, 2, 4)
-    return "".join(f"{x:0{w}d}{s}" for x, w, s in zip(fields, widths, [*separators, ""], strict=True))
+    while True:  # along the cycle of all dates to the next one that has the format
+        day = datetime.date.fromordinal(FIRST_DAY + f.below(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        new = [""] * 3
+        for k, x in zip(order, (day.year, day.month, day.day), strict=True):
+            new[k] = f"{x:0{len(parts[k])}d}"
+        if all(len(x) == len(y) for x, y in zip(new, parts, strict=True)) and (order != (2, 0, 1) or day.day > 12):
+            return "".join(x + s for x, s in zip(new, [*separators, ""], strict=True))
 
 
 def _email(value: str, f: Feistel) -> str | None:
@@ -175,14 +204,14 @@ KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
     ("card", r"(?<![\d.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\d-])", _card),
     ("ip", r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\d)", _ip),
-    ("date", r"(?<![\d./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![./-]?\d)", _date),
+    ("date", r"(?<![\d./-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![./-]?\d)", _date),
     ("ssn", r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])", _ssn),
-    ("phone", r"(?<![\d+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\d-])", _phone),
+    ("phone", rf"(?<![\d+])(?:{TEN.pattern}(?![\d-])|(?<!\w)\+[1-9][0-9]{{0,2}}(?:[ .-]?\([0-9]{{1,5}}\))?(?:[ .-]?[0-9]){{4,14}}(?!\d))", _phone),
 )
 
 
 #: Kinds whose pattern can go past the value, with the ends to try in turn. What fails at all of them is looked at again from its next character.
-ENDS: dict[str, Callable[[str], list[int]]] = {"iban": _iban_ends}
+ENDS: dict[str, Callable[[str], list[int]]] = {"iban": _iban_ends, "phone": _phone_ends}
 
 
 class Masker:
@@ -236,7 +265,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     Returns per input row the id, the text with pseudonyms, the columns in
     ``carry``, ``n_found``, ``kinds`` (those found, sorted and comma-joined) and
     with ``keep_spans`` ``spans`` (start, end, kind, pseudonym). Numbers that
-    fail their check (Luhn, IBAN, octets over 255, impossible dates) stay. A
+    fail their check (Luhn, IBAN, octets over 255, impossible dates, phone
+    numbers of a wrong length) stay. Phone numbers without a leading + are only
+    found as three, three and four digits with separators. A
     null text stays null, an empty one empty; null ids are kept; repeated rows
     come out repeated. Other columns are not looked at.
     """

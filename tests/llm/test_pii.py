@@ -72,6 +72,33 @@ def test_ibans_end_before_tokens_that_follow(text, ibans):
     assert [x[3] for x in found if x[2] == "iban"] == alone  # equal values stay linked, whatever follows
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("call 555 123 4567 now", "555 123 4567"), ("call +15551234567.", "+15551234567"), ("tel +33 1 23 45 67 89, Paris", "+33 1 23 45 67 89"), ("+49 30 1234567", "+49 30 1234567"), ("+34 612 345 678 o", "+34 612 345 678"),
+        ("+33 1 23 45 67 89 12 people", "+33 1 23 45 67 89"), ("+44 (20) 7946 0958", "+44 (20) 7946 0958"),
+        ("on 12/25/1990 at", "12/25/1990"), ("1/5/1990", "1/5/1990"), ("5.12.2001,", "5.12.2001"), ("1990/12/25", "1990/12/25"), ("31-12-1999", "31-12-1999"), ("7/31/2004", "7/31/2004"),
+    ],
+)
+def test_more_shapes_of_phones_and_dates(text, value):
+    new, found = pii.Masker(b"key").mask(text)
+    assert [(text[a:b], k) for a, b, k, _ in found] == [(value, "date" if re.search(r"(?<!\d)(19|20)\d\d(?!\d)", value) else "phone")]
+    assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text) and value not in new
+    _, again = pii.Masker(b"key").mask(new)
+    assert [x[:3] for x in again] == [x[:3] for x in found]  # still valid, in the same place
+
+
+@pytest.mark.parametrize("text", ["13/13/1990", "0/5/1990", "31.2.2001", "+33 1 23 45", "+1.2345678", "a+15551234567", "+1 555 123 456"])
+def test_other_numbers_are_no_phones_or_dates(text):
+    assert pii.Masker(b"key").mask(text) == (text, [])
+
+
+def test_dates_of_one_format_are_permuted():
+    days = [f"{m}/{d}/{y}" for y in (1990, 2003) for m in range(1, 10) for d in range(13, 29)] + [f"{d:02d}/{m:02d}/1990" for m in range(1, 13) for d in range(1, 29)] + [f"{d}/{m}/1990" for m in range(1, 10) for d in range(1, 10)]
+    new = [pii._date(x, F) for x in days]
+    assert len(set(new)) == len(days) and [len(x) for x in new] == [len(x) for x in days]
+
+
 def test_equal_values_stay_linked_and_different_ones_apart(spark, middle):
     docs = common.read(spark, middle, "documents")
     old = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
