@@ -18,6 +18,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS = 0.85, 10
+#: Distrust that is over trust by less than this share of itself counts as equal: sums differ in their last digits with the order of their rows.
+EQUAL = 1e-9
 
 
 def host_of(url: Column) -> Column:
@@ -71,17 +73,23 @@ def standing(judged: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         for _ in range(rounds):
             moved = mass.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
             mass = cut(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")))
-    of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)), 12)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return mass.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
 
+def over(trust: Column, distrust: Column, ratio: float) -> Column:
+    """Whether distrust is over ``ratio`` times trust, however small both are."""
+    return distrust * (1 - EQUAL) > ratio * trust
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: float = 1.0) -> DataFrame:
     """Judge every page's url: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     A rule fits its host and all subdomains, if the path starts with the rule's
     path; the longest wins, and of equally long ones the last in string order.
     Without a rule the verdict is ``block`` where the host's distrust is over
-    ``ratio`` times its trust, else ``allow``; a host that nothing reaches is
+    ``ratio`` times its trust (by more than EQUAL of itself; scores are not
+    rounded), else ``allow``; a host that nothing reaches is
     allowed. A null url, or one without ``://``, has an empty host and path, no
     rule, and is allowed. Null html has no links. Null page ids are kept;
     repeated rows come out repeated and weigh as often. Other columns are not
@@ -91,7 +99,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: f
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     reached = cut(standing(judged.select("host", F.col("fit.verdict").alias("verdict")), host_links(pages)))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("fit.verdict", F.when(distrust > ratio * trust, "block").otherwise("allow"))
+    verdict = F.coalesce("fit.verdict", F.when(over(trust, distrust, ratio), "block").otherwise("allow"))
     return judged.join(reached, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

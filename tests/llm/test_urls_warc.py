@@ -74,6 +74,17 @@ def test_trust_and_distrust_as_walked_in_python(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_verdicts_do_not_depend_on_the_size_of_scores(spark):
+    """Distrust that comes through hosts with very many links is small, and still over no trust at all."""
+    link = lambda *hosts: "".join(f"<a href='https://{h}/p'>x</a>" for h in hosts)
+    crowd = lambda k: [(None, f"http://c{k}-{i}.net/", link(f"hop{k}.net")) for i in range(1000)]
+    rows = [(1, "http://bad.com/de/", ""), *[(None, f"http://c0-{i}.net/", link("bad.com")) for i in range(1000)], (2, "http://hop1.net/", link("c0-0.net"))]
+    rows += [*crowd(1), (3, "http://hop2.net/", link("c1-0.net")), *crowd(2), (4, "http://hop3.net/", link("c2-0.net")), *crowd(3), (5, "http://hop4.net/", link("c3-0.net"))]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id is not null").collect()}
+    assert 0 < got[5].distrust < 5e-13 and got[5].trust == 0
+    assert {k: r.verdict for k, r in got.items()} == dict.fromkeys(range(1, 6), "block")
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [warc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20200102030405", "text/html", b"x\n" * i) for i in range(5)]
