@@ -50,12 +50,29 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def standing(judged: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def _settled(mass: DataFrame, asked: DataFrame, damping: float, ratio: float) -> bool:
+    """Whether further rounds can turn no verdict of the hosts ``asked``: one row comes to the driver."""
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0.0))
+    rows = mass.select("kind", "host", "score", "change", "new").unionByName(asked.select(F.lit("asked").alias("kind"), "host"), allowMissingColumns=True)
+    hosts = rows.groupBy("host").agg(
+        of("trust", "score").alias("trust"), of("distrust", "score").alias("distrust"), (of("distrust", "change") + ratio * of("trust", "change")).alias("change"),
+        F.max("new").alias("new"), F.max(F.col("kind") == "asked").alias("asked"),
+    )
+    gap = F.greatest(F.abs(F.col("distrust") * (1 - EQUAL) - ratio * F.col("trust")), EQUAL * F.col("distrust"))
+    contested = F.col("asked") & (F.col("trust") > 0) & (F.col("distrust") > 0)
+    row = hosts.agg(F.max("new").alias("new"), F.sum("change").alias("change"), F.min(F.when(contested, gap)).alias("gap")).first()
+    return not row.new and (row.gap is None or row.change * damping / (1 - damping) <= row.gap)
+
+
+def standing(judged: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = 1.0) -> DataFrame:
     """``(host, trust, distrust)`` of hosts that any reaches.
 
     ``judged`` has ``host, verdict`` (of a rule, or null) for each page. Both
-    walks go together, told apart by ``kind``; each round is one join with the
-    links and one sum that combines before its shuffle.
+    walks go together, told apart by ``kind``; each round is one join of what
+    the last one added with the links and one sum that combines before its
+    shuffle. After ``rounds`` of them the walks go on until no new host is
+    reached and what is still on its way can turn no verdict; scores are the
+    sums up to there.
     """
     seen = judged.where("verdict is not null and host <> ''").groupBy("host", "verdict").agg(F.count("*").cast("double").alias("n"))
     seeds = cut(seen.select(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host", "n"))
@@ -63,16 +80,21 @@ def standing(judged: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     share = F.col("n") / F.when(F.col("kind") == "trust", F.lit(total.get("trust", 1.0))).otherwise(F.lit(total.get("distrust", 1.0)))
     start = seeds.select("kind", "host", (share * (1 - damping)).alias("score"))
     found = cut(links)
-    mass = start
+    mass = start.withColumn("change", F.col("score")).withColumn("new", F.lit(1))
     if total and not found.isEmpty():
         away = found.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
         back = found.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
         steps = away.unionByName(back)
         out = steps.groupBy("kind", "host").agg(F.sum("n").alias("all"))
         steps = cut(steps.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all") * damping).alias("share")))
-        for _ in range(rounds):
-            moved = mass.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-            mass = cut(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        asked = cut(judged.where("verdict is null and host <> ''").select("host").distinct())
+        done = 0
+        while done < rounds or not _settled(mass, asked, damping, ratio):
+            added = (F.col("change") * F.col("share")).alias("change")
+            moved = mass.where("change > 0").join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), added).withColumn("score", F.col("change"))
+            both = mass.select("kind", "host", F.lit(0.0).alias("change"), "score", F.lit(0).alias("new")).unionByName(moved.withColumn("new", F.lit(1)))
+            mass = cut(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("change").alias("change"), F.min("new").alias("new")))
+            done += 1
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return mass.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
@@ -97,7 +119,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: f
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    reached = cut(standing(judged.select("host", F.col("fit.verdict").alias("verdict")), host_links(pages)))
+    reached = cut(standing(judged.select("host", F.col("fit.verdict").alias("verdict")), host_links(pages), ratio=ratio))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("fit.verdict", F.when(over(trust, distrust, ratio), "block").otherwise("allow"))
     return judged.join(reached, "host", "left").select(

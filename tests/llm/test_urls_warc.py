@@ -85,6 +85,17 @@ def test_verdicts_do_not_depend_on_the_size_of_scores(spark):
     assert {k: r.verdict for k, r in got.items()} == dict.fromkeys(range(1, 6), "block")
 
 
+def test_walks_go_on_after_ten_links(spark):
+    link = lambda *hosts: "".join(f"<a href='https://{h}/p'>x</a>" for h in hosts)
+    rows = [(None, "http://bad.com/de/", ""), *[(k, f"http://h{k}.net/", link("bad.com" if k == 1 else f"h{k - 1}.net")) for k in range(1, 13)]]
+    # Trust reaches t13.net after twelve more links than distrust, and is over it.
+    rows += [(None, "http://good.org/", link("t1.net")), *[(100 + k, f"http://t{k}.net/", link(f"t{k + 1}.net")) for k in range(1, 13)], (113, "http://t13.net/", link("worse.com"))]
+    rows += [(None, "http://worse.com/de/", ""), *[(None, f"http://c{i}.net/", link("worse.com")) for i in range(200)]]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id is not null").collect()}
+    assert {k: got[k].verdict for k in range(1, 13)} == dict.fromkeys(range(1, 13), "block")
+    assert got[113].distrust > 0 and got[113].trust == pytest.approx(0.15 * 0.85**13) and got[113].verdict == "allow"
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [warc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20200102030405", "text/html", b"x\n" * i) for i in range(5)]
