@@ -290,6 +290,8 @@ def oracle_sql() -> dict[str, str]:
         "metrics_tidy": _tidy(),
         "results_export_rows": f"""{STAR} SELECT item_id, run_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, coalesce(family, '(unknown)') AS family, difficulty, probe, gold
           FROM responses LEFT JOIN (SELECT item_id, family, difficulty, probe, gold FROM items WHERE item_id % 7 <> 0) USING (item_id)""",
+        "results_export_all": f"""{STAR} SELECT item_id, run_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, coalesce(family, '(unknown)') AS family, difficulty, probe, gold
+          FROM responses LEFT JOIN items USING (item_id)""",
         "token_entropy_stats": _entropy(),
         "stream_event_fold": """SELECT doc_id, sha256(replace(coalesce(text, ''), chr(10), '')) AS text_sha256, n_chars AS prompt_tokens, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS completion_tokens,
           CAST(CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS thinking_tokens, 0.125::DOUBLE AS ttft, CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE END AS first_reasoning, 1.0::DOUBLE AS answer_wall FROM documents""",

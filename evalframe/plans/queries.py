@@ -13,6 +13,7 @@ from ..operators import accuracy, compare, messages, outcomes, paired, respond,
 from ..operators.items import by_item, votes
 from ..operators.tidy import Evaluation
 from ..problems import build, spec, verify
+from ..render import report
 from ..sources import star, store
 from ..streaming import live
 from . import fixtures, transcripts
@@ -186,6 +187,12 @@ def results_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.join(known, "item_id", "left").withColumn("family", F.coalesce("family", F.lit("(unknown)"))))
 
 
+def results_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all items, by the join of the export itself."""
+    r = star.responses(spark, sf_dir).select("run_id", "item_id", "sample_idx", "raw", "parsed", "correct", "confidence")
+    return rounded(report.with_dimensions(r, star.items(spark, sf_dir)))
+
+
 def token_entropy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(transcripts.token_streams(spark, sf_dir).select("vec_id", telemetry.token_entropy(F.col("content")).alias("e")).select("vec_id", "e.*"))
 
@@ -301,7 +308,7 @@ def queries() -> dict[str, Query]:
     for f in (
         response_upsert_latest, done_items, resume_todo, difficulty_filter, stride_limit, majority_vote_items, grading_fragility, regrade_responses, grade_transcripts, reparse_transcripts, grade_fixture,
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
-        run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
+        run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile,
     ):
         out[f.__name__] = f

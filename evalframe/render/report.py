@@ -37,10 +37,15 @@ def write_tables(e: Evaluation, folder: str) -> None:
     items.write.mode("overwrite").option("header", True).csv(f"{folder}/items")
 
 
+def with_dimensions(responses: DataFrame, items: DataFrame) -> DataFrame:
+    """Every response with its item's dimensions; one whose item does not exist stays, with ``(unknown)`` as its family."""
+    dims = items.select("item_id", "family", "difficulty", "probe", "gold")
+    return responses.join(dims, "item_id", "left").withColumn("family", F.coalesce("family", F.lit("(unknown)")))
+
+
 def export_results(e: Evaluation, runs: DataFrame, folder: str) -> None:
     """Every response with its item's dimensions and its run, as JSON lines, written by Spark; parameters carry no secrets in the store."""
-    dims = e.items.select("item_id", "family", "difficulty", "probe", "gold")
-    joined = e.responses.join(dims, "item_id", "left").join(runs, "run_id", "left").withColumn("family", F.coalesce("family", F.lit("(unknown)")))
+    joined = with_dimensions(e.responses, e.items).join(runs, "run_id", "left")
     joined.write.mode("overwrite").partitionBy("run_id").json(f"{folder}/results")
 
 

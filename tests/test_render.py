@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from evalframe import cli
+from evalframe.plans.queries import queries
 from evalframe.render import report, text
 from evalframe.sources import registry as r
+from evalframe.sources import star
 
 
 def test_meters():
@@ -45,6 +49,20 @@ def test_registry(tmp_path):
     assert r.key_of({"api_key_env": "E", "api_key": "k"}, None, {"E": "v"}) == "v" and r.key_of({"oauth": True}, None, {"OPENAI_API_KEY": "z"}) == ""
 
 
+def test_export_joins_all_items_and_keeps_orphans(spark):
+    items = spark.createDataFrame([(k, "f", k, "base", "g") for k in (1, 7, 14)], "item_id long, family string, difficulty int, probe string, gold string")
+    responses = spark.createDataFrame([("r", k, "x") for k in (1, 7, 14, 15)], "run_id string, item_id long, raw string")
+    got = {x.item_id: (x.family, x.difficulty, x.probe, x.gold) for x in report.with_dimensions(responses, items).collect()}
+    assert got == {k: ("f", k, "base", "g") for k in (1, 7, 14)} | {15: ("(unknown)", None, None, None)}
+
+
+def test_the_whole_export_knows_all_items(spark):
+    tables = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    known = {x.item_id for x in star.items(spark, tables).select("item_id").collect()}
+    got = queries()["results_export_all"](spark, tables).select("item_id", "family").collect()
+    assert any(x.item_id % 7 == 0 for x in got) and all((x.family == "(unknown)") == (x.item_id not in known) for x in got)
+
+
 def test_command_line(spark, tmp_path, capsys):
     at = ["--store", str(tmp_path / "s")]
     cli.main([*at, "generate", "--families", "arithmetic", "unsat_csp"])
