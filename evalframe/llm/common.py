@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,57 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, local mode) a folder of our own is taken.
+    unset and the master is local (tests) a folder of our own is taken.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; on a cluster ``spark.checkpoint.dir`` must name it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of batches sorted by their first ``keys`` columns, cut so that no key goes over two pieces."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        new = tuple(column.to_numpy(zero_copy_only=False) for column in batch.columns)
+        if not len(new[0]):
+            continue
+        begins = np.flatnonzero(np.any([c[1:] != c[:-1] for c in new[:keys]], axis=0)) + 1
+        goes_on = held and all(held[-1][k][-1] == new[k][0] for k in range(keys))
+        if goes_on and not len(begins):
+            held.append(new)
+            continue
+        last = int(begins[-1]) if len(begins) else 0
+        whole = [*held, tuple(c[:last] for c in new)] if last else held
+        if whole:
+            yield tuple(np.concatenate(c) for c in zip(*whole, strict=True))
+        held = [tuple(c[last:] for c in new)]
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row that each of ``n`` rows reaches by the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
