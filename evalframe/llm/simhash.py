@@ -1,13 +1,15 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A 64-bit fingerprint becomes a vector of 32 bit counts, one for each segment of
-two bits. The Manhattan distance of two such vectors never exceeds the Hamming
-distance of the fingerprints, so all links lie within Manhattan distance 3. The
-range join runs on a grid: the segments are dealt to six groups, and since a
-distance of 3 can touch three groups at most, linked vectors agree on at least
-three whole groups. Every choice of three groups is a projection of the grid
-whose cells are joined; the Manhattan bound and then the exact Hamming distance
-decide.
+A 64-bit fingerprint becomes a vector of eight bit counts, one for each segment
+of eight bits. The Manhattan distance of two such vectors never exceeds the
+Hamming distance of the fingerprints, nor does the difference of any sum of
+counts. The range join runs on a grid: bits are dealt to G groups, and since a
+distance of 3 touches three groups at most, linked fingerprints agree on all bits
+of G - 3 groups. Each choice of those is a projection, whose cells (equal bits
+there) have the count of the other bits as their coordinate. A fingerprint meets
+those of its own and of the next three coordinates; the Manhattan bound and then
+the exact Hamming distance decide. G grows with the number of fingerprints, so
+that a cell holds few of them at every size; all choices find the same links.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, utf8
+from .common import connected_components, cut, forest, utf8, whole_groups
 
 WORDS, BITS = 3, 3
-GROUPS = 6
-#: A cell of more fingerprints is joined block by block.
-BLOCK = 2048
-#: Up to so many rows of a cell are compared by shifting the batch against itself.
-SMALL = 48
-ODD = 0x5555555555555555
+#: Numbers of groups; the first is taken that leaves MEET fingerprints or fewer to a cell if all are equally likely.
+GROUPS, MEET = (4, 5, 6, 8, 10), 4
+#: Cells of more fingerprints are joined through the fingerprints between, in rows that grow in proportion.
+BLOCK = 1024
+#: Pairs that a task compares at a time.
+PAIRS = 1 << 20
+#: A segment's bits moved to its low end: the bits in which two of those differ are the difference of the counts.
+UNARY = np.array([(1 << b.bit_count()) - 1 for b in range(256)], np.uint8)
 
 
 def fingerprint(text: bytes, n: int = WORDS) -> int:
@@ -65,132 +69,98 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def projections() -> list[int]:
-    """Masks over the packed segments, one for each choice of three of the six groups (signed)."""
-    group = [sum(3 << 2 * s for s in range(32) if s * GROUPS // 32 == g) for g in range(GROUPS)]
-    masks = [sum(group[g] for g in chosen) for chosen in combinations(range(GROUPS), GROUPS - BITS)]
+def groups_for(n: int) -> int:
+    """Number of groups for ``n`` distinct fingerprints."""
+    return next((g for g in GROUPS if n <= MEET << 64 * (g - BITS) // g), GROUPS[-1])
+
+
+def projections(groups: int) -> list[int]:
+    """Masks of the bits that must agree, one for each choice of all groups but three (signed)."""
+    group = [sum(1 << b for b in range(64 * g // groups, 64 * (g + 1) // groups)) for g in range(groups)]
+    masks = [sum(group[g] for g in chosen) for chosen in combinations(range(groups), groups - BITS)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def embed(fp: F.Column) -> F.Column:
-    """The 32 segment counts, packed in two bits each and in unary (0, 01, 11): the bits in which two of them differ are their Manhattan distance."""
-    high = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(ODD))
-    low = fp.bitwiseAND(F.lit(ODD))
-    both = high.bitwiseAND(low)
-    return high.bitwiseOR(low).bitwiseOR(F.shiftleft(both, 1))
-
-
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each of n rows (union-find)."""
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(n)])
-
-
-def _forest(fp: np.ndarray, unary: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one large cell's links (row numbers)."""
-    n = len(fp)
-    root = np.arange(n)
-    for start in range(0, n, rows):
-        own = slice(start, min(n, start + rows))
-        near = np.bitwise_count(unary[own, None] ^ unary[None, :]) <= BITS
-        a, b = np.nonzero(near)
-        a += start
-        keep = (a < b) & (np.bitwise_count(fp[a] ^ fp[b]) <= BITS)
-        a, b = root[a[keep]], root[b[keep]]
-        differ = a != b
-        if differ.any():
-            pairs = np.unique(np.stack([a[differ], b[differ]]), axis=1)
-            root = _roots(n, pairs[0], pairs[1])[root]
-    child = np.flatnonzero(root != np.arange(n))
-    return child, root[child]
-
-
-def _links(batches: Iterator[pa.RecordBatch], masks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links of the cells in rows sorted by cell; a cell may go over several batches."""
-
-    def emit(cell: np.ndarray, projection: np.ndarray, fp: np.ndarray, unary: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        bounds = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(fp)]])
-        size = np.diff(bounds)
-        end = np.repeat(bounds[1:], size)
-        small = np.repeat(size <= SMALL, size)
-        for shift in range(1, min(SMALL, int(size.max())) if len(size) else 0):
-            i = np.flatnonzero(small[: len(fp) - shift] & (np.arange(len(fp) - shift) + shift < end[: len(fp) - shift]))
-            j = i + shift
-            near = np.bitwise_count(unary[i] ^ unary[j]) <= BITS
-            i, j = i[near], j[near]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= BITS
-            i, j = i[near], j[near]
-            if len(i):  # a pair comes out of the first projection in which it shares a cell
-                same = ((unary[i] ^ unary[j])[:, None] & masks[None, :]) == 0
-                first = same.argmax(axis=1) == projection[i]
-                a.append(i[first])
-                b.append(j[first])
-        for g in np.flatnonzero(size > SMALL):
-            own = slice(bounds[g], bounds[g + 1])
-            child, root = _forest(fp[own], unary[own])
-            a.append(child + bounds[g])
-            b.append(root + bounds[g])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-        cell = np.stack([column(k).astype(np.int64) for k in range(4)], axis=1)
-        if not len(cell):
-            continue
-        new = (cell, column(0), column(4).view(np.uint64), column(5).view(np.uint64), column(6))
-        last = int(np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))[-1])
-        if last == 0 and held and (held[-1][0][-1] == cell[0]).all():
-            held.append(new)  # all of one cell that began before
-            continue
-        done = [*held, tuple(x[:last] for x in new)]
-        if any(len(x[0]) for x in done):
-            yield emit(*(np.concatenate(x) for x in zip(*done, strict=True)))
-        held = [tuple(x[last:] for x in new)]
-    if held:
-        yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
-def links(distinct: DataFrame) -> DataFrame:
+def embed(fp: np.ndarray) -> np.ndarray:
+    """The eight segment counts in unary, packed in 64 bits: the bits in which two of these differ are their Manhattan distance."""
+    return UNARY[np.ascontiguousarray(fp).view(np.uint8)].view(np.uint64)
+
+
+def close(fp: np.ndarray, cell: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Linked pairs of rows sorted by (cell, count), and how many candidates the grid gave for them; PAIRS candidates at a time."""
+    key = cell * 128 + count
+    ahead = np.searchsorted(key, key + BITS, "right") - np.arange(len(key)) - 1
+    grid, total = embed(fp), np.cumsum(ahead)
+    start = 0
+    while start < len(key):
+        done = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        own = ahead[start:stop]
+        i = np.repeat(np.arange(start, stop), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        near = np.bitwise_count(grid[i] ^ grid[j]) <= BITS
+        a, b = i[near], j[near]
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= BITS
+        yield a[near], b[near], len(i)
+        start = stop
+
+
+def _join(batches: Iterator[pa.RecordBatch], masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each cell's links, from rows (projection, code, fp, rep) sorted by cell."""
+    for projection, code, fp, rep in whole_groups(batches, 2):
+        fp = fp.view(np.uint64)
+        count = np.bitwise_count(fp & ~masks[projection]).astype(np.int64)
+        cell = np.cumsum(np.concatenate([[0], (projection[1:] != projection[:-1]) | (code[1:] != code[:-1])]))
+        order = np.argsort(cell * 128 + count, kind="stable")
+        fp, rep = fp[order], rep[order]
+        for a, b, _ in close(fp, cell[order], count[order]):
+            if len(a):
+                root = forest(len(fp), a, b)
+                child = np.flatnonzero(root != np.arange(len(fp)))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root[child]])], ["a", "b"])
+
+
+def _through(crowded: DataFrame, masks: list[int]) -> DataFrame:
+    """Links of crowded cells, from rows (projection, fp, rep): enough of them to connect all that is linked.
+
+    Of two fingerprints at distance 3 or less there is one between that one of
+    them reaches by one flipped bit at most and the other by two. Each row is
+    dealt to all that it reaches by two flips of the bits in which its cell may
+    differ; those who meet at one that any of them reaches by one flip are
+    connected. Rows and groups are bounded by the bits (1,177 at most), not by the cell.
+    """
+    free = [(k, [b - (1 << 64) if b >> 63 else b for b in (1 << p for p in range(64)) if not m & b]) for k, m in enumerate(masks)]
+    table = F.broadcast(crowded.sparkSession.createDataFrame(free, "projection int, bits array<long>"))  # a row for each projection, at most 120
+    two = F.flatten(F.transform("bits", lambda x, i: F.transform(F.slice("bits", i + 2, F.size("bits")), lambda y: x.bitwiseOR(y))))
+    reached = crowded.join(table, "projection").select(
+        "projection", "fp", "rep", F.size("bits").alias("one"), F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.col("bits"), two)).alias("at", "flip")
+    )
+    meets = reached.groupBy("projection", F.col("fp").bitwiseXOR(F.col("flip")).alias("between")).agg(
+        F.max(F.col("at") <= F.col("one")).alias("by_one"), F.collect_list("rep").alias("reps")
+    ).where("by_one and size(reps) > 1")
+    return meets.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b").distinct()
+
+
+def links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """Links between distinct fingerprints ``(fp, rep)`` as ``(a, b)`` of reps, enough of them to connect all that is linked.
 
-    Small cells give each of their links once, large ones a spanning forest.
-    Cells of more than BLOCK fingerprints are dealt out as pairs of blocks, so
-    no task holds more than two blocks of a cell.
+    Cells of at most BLOCK fingerprints give a spanning forest of their links, in
+    one task each. The fingerprints of larger ones meet through those between
+    them (``_through``), so no cell is compared with all of itself.
     """
-    masks = projections()
-    embedded = distinct.withColumn("unary", embed(F.col("fp")))
-    cells = embedded.select(
-        "fp", "unary", "rep", F.posexplode(F.array(*[F.col("unary").bitwiseAND(F.lit(m)) for m in masks])).alias("projection", "code")
-    )
-    hot = cut(cells.groupBy("projection", "code").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    masks = projections(groups or groups_for(distinct.count()))
+    codes = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("projection", "code")
+    cells = distinct.select("fp", "rep", codes)
+    hot = cut(cells.groupBy("projection", "code").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).drop("n"))
     n_hot = hot.count()
+    keys = ["projection", "code"]
+    rest = cells
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= 10_000 else hot
-        cells = cells.join(hot, ["projection", "code"], "left")
-        blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: (j != block) | (blocks == 1))
-        cells = cells.withColumn("block", block).withColumn("other", F.explode(others))
-        cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    else:
-        cells = cells.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
-    keys = ["projection", "code", "low", "high"]
-    dealt = cells.select(*keys, "fp", "unary", "rep").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda batches: _links(batches, np.array(masks, np.int64).view(np.uint64)), "a long, b long")
+        rest = cells.join(hot, keys, "left_anti")
+    dealt = rest.select(*keys, "fp", "rep").repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.mapInArrow(lambda batches: _join(batches, np.array(masks, np.int64).view(np.uint64)), "a long, b long")
+    return found.unionByName(_through(cells.join(hot, keys, "left_semi"), masks)) if n_hot else found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +168,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns per input row the id, ``fingerprint`` (16 hex digits),
     ``component_id`` (smallest id reachable by links, itself included) and
-    ``kept`` (the row's id is the component's). Null and empty texts and texts
-    without words have the fingerprint zero, which links like any other. A row
-    whose id is null gets its fingerprint, links nothing, and has a null
-    component. Repeated rows come out repeated. Other columns are not looked at.
+    ``kept`` (the row's id is the component's). Texts of any length count whole.
+    Null and empty texts and texts without words have the fingerprint zero, which
+    links like any other. A row whose id is null gets its fingerprint, links
+    nothing, and has a null component. Repeated rows come out repeated. Other
+    columns are not looked at.
     """
     found = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"))
     distinct = cut(found.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))

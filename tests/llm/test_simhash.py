@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -69,16 +70,47 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch, block, n):
     assert {i: joined.get(i, i) for i in firsts.values()} == want
 
 
-def test_the_embedding_bounds_the_distance(spark):
+def test_the_embedding_bounds_the_distance():
     rng = random.Random(3)
-    rows = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(200)]
-    from pyspark.sql import functions as F
-
-    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", simhash.embed(F.col("a")).alias("x"), simhash.embed(F.col("b")).alias("y")).collect()
-    for r in got:
-        counts = lambda v: [(v >> 2 * k & 3).bit_count() for k in range(32)]
-        manhattan = sum(abs(p - q) for p, q in zip(counts(r.a), counts(r.b), strict=True))
-        assert (r.x ^ r.y).bit_count() == manhattan <= (r.a ^ r.b).bit_count()
+    rows = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)]
+    rows += [(a, a ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)) for a, _ in rows]
+    for a, b in rows:
+        x, y = simhash.embed(np.array([a, b], np.uint64)).tolist()
+        counts = lambda v: [(v >> 8 * k & 255).bit_count() for k in range(8)]
+        manhattan = sum(abs(p - q) for p, q in zip(counts(a), counts(b), strict=True))
+        assert (x ^ y).bit_count() == manhattan <= (a ^ b).bit_count()
+
+
+@pytest.mark.parametrize("groups", simhash.GROUPS)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_every_number_of_groups_finds_the_same(spark, monkeypatch, groups, block):
+    """Balls of fingerprints around a few, with all cells compared in place or through those between."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(groups)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    found = sorted({base[i % 5] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for i in range(120)})
+    fps = dict(enumerate(found))
+    distinct = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in fps.items()], "fp long, rep long")
+    edges = simhash.links(distinct, groups).collect()
+    joined = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {i: joined.get(i, i) for i in fps} == brute_components(fps)
+
+
+def test_candidates_grow_more_slowly_than_pairs():
+    """Random fingerprints: the grid's candidates of each, by number of fingerprints, with the groups chosen for it."""
+    rng = np.random.default_rng(1)
+    met = {}
+    for n in (1 << 15, 1 << 18, 1 << 20):
+        groups, candidates = simhash.groups_for(n), 0
+        fp = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        for mask in np.array(simhash.projections(groups), np.int64).view(np.uint64):
+            _, cell = np.unique(fp & mask, return_inverse=True)
+            count = np.bitwise_count(fp & ~mask).astype(np.int64)
+            order = np.argsort(cell * 128 + count, kind="stable")
+            candidates += sum(k for _, _, k in simhash.close(fp[order], cell[order], count[order]))
+        met[n] = candidates / n
+    assert met[1 << 18] < 4 * simhash.MEET and met[1 << 20] < 1
+    assert [simhash.groups_for(n) for n in (1, 1 << 18, 1 << 19, 1 << 30, 1 << 40)] == [4, 4, 5, 6, 8]
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
