@@ -52,7 +52,7 @@ FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts ON a = e.vec_id GRO
 
 
 def _op8() -> str:
-    """The rules, then ten rounds of both walks written out."""
+    """The rules, then ten rounds of both walks written out: all of them where no walk over the edges is longer, as in the given tables."""
     fits = ", ".join(
         f"CASE WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
         f" THEN {{'length': {len(r)}, 'rule': '{r}', 'verdict': '{v}'}} END"
@@ -75,14 +75,16 @@ seen AS (SELECT CASE fit.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END A
 m0 AS (SELECT kind, host, {1 - d!r} * n / sum(n) OVER (PARTITION BY kind) AS score FROM seen),
 links AS (
   SELECT src, dst, count(*) AS n FROM (
-    SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1))), {lower}) AS dst FROM parsed)
+    SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda h: translate(h, {lower})))) AS dst FROM parsed
+    UNION ALL SELECT array_to_string(s[k:], '.'), array_to_string(s[k + 1:], '.')
+    FROM (SELECT string_split(host, '.') AS s FROM parsed WHERE NOT regexp_full_match(host, '[0-9.:]*')), range(1, len(s) - 1) AS r(k))
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 ways AS (SELECT 'trust' AS kind, src AS host, dst AS to_host, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
 steps AS (SELECT kind, host, to_host, {d!r} * n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways){rounds},
 standing AS (
-  SELECT host, round(sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END), 12) AS trust, round(sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END), 12) AS distrust
+  SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust
   FROM m{urls.ROUNDS} GROUP BY host)
-SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) * {1 - urls.EQUAL!r} > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN standing USING (host)
 """
 

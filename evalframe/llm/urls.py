@@ -1,9 +1,12 @@
 """URL filter: explicit rules, then trust and distrust spread over the host graph.
 
 Pages that a rule fits seed the graph: personalised PageRank carries trust from
-the hosts of allowed pages along their links, and distrust from the hosts of
-blocked pages against the links, to those who link to them. A host with more
-distrust than trust is blocked for its pages without a rule.
+the hosts of allowed pages along their edges, and distrust from the hosts of
+blocked pages against the edges. Edges are links to other hosts, and every page
+also counts as a link from its host to the domain above, and from that on to the
+next: a domain gains from trusted subdomains, and a subdomain of a distrusted
+domain is distrusted. A host with more distrust than trust is blocked for its
+pages without a rule.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: The host in any attribute whose value is an absolute url.
+LINK = r"""(?i)\s[a-z][a-z0-9:-]*\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS = 0.85, 10
 #: Distrust that is over trust by less than this share of itself counts as equal: sums differ in their last digits with the order of their rows.
@@ -43,11 +47,20 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """``(src, dst, share)``: links between different hosts, each with its share of the host's links."""
-    targets = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
-    pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst")).withColumn("dst", F.translate("dst", UPPER, LOWER))
-    pairs = pairs.where("src <> '' and dst <> '' and src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """``(src, dst, n)``: how many pages of a host, or of one below it, lead to another host.
+
+    A page leads to each host that any attribute of its html links to, and up
+    from its own host to the domain without the first label, and so on to the
+    domain of two labels. Hosts of digits and stops alone have no domain.
+    """
+    own = F.col("host")
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER)))
+    labels = F.split(own, r"\.")
+    above = lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), ".")
+    climbs = F.when((F.size(labels) > 2) & ~own.rlike(r"^[0-9.:]*$"), F.transform(F.sequence(F.lit(0), F.size(labels) - 3), lambda k: F.struct(above(k).alias("src"), above(k + 1).alias("dst"))))
+    edges = F.concat(F.transform(targets, lambda h: F.struct(own.alias("src"), h.alias("dst"))), F.coalesce(climbs, F.array().cast("array<struct<src:string,dst:string>>")))
+    pairs = pages.select(host_of(F.col("url")).alias("host"), "html").select(F.explode(edges).alias("e")).select("e.*")
+    return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def _settled(mass: DataFrame, asked: DataFrame, damping: float, ratio: float) -> bool:
@@ -72,7 +85,8 @@ def standing(judged: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     the last one added with the links and one sum that combines before its
     shuffle. After ``rounds`` of them the walks go on until no new host is
     reached and what is still on its way can turn no verdict; scores are the
-    sums up to there.
+    sums up to there. What reaches a host that leads nowhere stays there: it is
+    counted, and does not go back to the seeds.
     """
     seen = judged.where("verdict is not null and host <> ''").groupBy("host", "verdict").agg(F.count("*").cast("double").alias("n"))
     seeds = cut(seen.select(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host", "n"))
@@ -113,7 +127,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: f
     ``ratio`` times its trust (by more than EQUAL of itself; scores are not
     rounded), else ``allow``; a host that nothing reaches is
     allowed. A null url, or one without ``://``, has an empty host and path, no
-    rule, and is allowed. Null html has no links. Null page ids are kept;
+    rule, and is allowed. Null html has no links; long html counts whole. Null page ids are kept;
     repeated rows come out repeated and weigh as often. Other columns are not
     looked at.
     """

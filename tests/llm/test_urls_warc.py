@@ -3,7 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -41,6 +41,38 @@ def test_rules(spark, url, host, path, rule):
     assert (r.host, r.path, r.rule) == (host, path, rule)
 
 
+def test_edges_of_the_given_pages_and_what_they_reach(spark, middle):
+    """The tables' hosts have domains above them, and the walks reach some that have no page of a rule."""
+    pages = common.read(spark, middle, "pages")
+    edges = {(r.src, r.dst): r.n for r in urls.host_links(pages).collect()}
+    hosts = Counter(r.host for r in pages.select(urls.host_of(F.col("url")).alias("host")).collect())
+    want = Counter()
+    for host, n in hosts.items():
+        labels = host.split(".")
+        for k in range(len(labels) - 2):
+            want[".".join(labels[k:]), ".".join(labels[k + 1 :])] += n
+    assert edges == want and len(edges) > 30
+    judged = urls.judge(pages).select("host", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+    seeded = {r.host for r in judged.where("verdict is not null").collect()}
+    reached = {r.host for r in urls.standing(judged, urls.host_links(pages)).where("trust > 0 or distrust > 0").collect()}
+    assert reached > seeded and "example.org" in reached - seeded
+
+
+def test_what_makes_an_edge(spark):
+    html = "<a href='//One.net/x'>x</a><img alt=a src=https://two.net/i.png><form\naction = \"http://three.net?q\"><a href='/local'> = //no.net <a data-to='https://one.net/again'>"
+    rows = [("http://a.b.example.org/", html), ("http://127.0.0.1/", ""), ("no url", html), ("http://one.net/", "<a href='https://ONE.net/'>")]
+    edges = {(r.src, r.dst): r.n for r in urls.host_links(spark.createDataFrame(rows, "url string, html string")).collect()}
+    up = {("a.b.example.org", "b.example.org"): 1, ("b.example.org", "example.org"): 1}
+    assert edges == {("a.b.example.org", h): 1 for h in ("one.net", "two.net", "three.net")} | up
+
+
+def test_subdomains_of_a_blocked_host_and_domains_of_a_trusted_one(spark):
+    rows = [(1, "http://x.com/de/", None), (2, "http://m.x.com/", None), (3, "http://www.m.x.com/", None), (4, "http://y.com/", None), (5, "http://www.z.com/fr/", None), (6, "http://z.com/", None), (7, "http://z.com/de/", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
+    assert got[6].trust > got[6].distrust > 0
+
+
 def test_trust_and_distrust_as_walked_in_python(spark):
     link = lambda *hosts: "".join(f"<a href='https://{h}/p'>x</a>" for h in hosts)
     rows = [(1, "http://good.org/", link("x.net", "y.net")), (2, "http://x.net/", link("z.net", "x.net")), (3, "http://z.net/", link("bad.com")), (4, "http://bad.com/de/", link("y.net")), (5, "http://w.net/", link("z.net", "bad.com")), (6, "http://lone.net/", "")]
@@ -87,12 +119,12 @@ def test_verdicts_do_not_depend_on_the_size_of_scores(spark):
 
 def test_walks_go_on_after_ten_links(spark):
     link = lambda *hosts: "".join(f"<a href='https://{h}/p'>x</a>" for h in hosts)
-    rows = [(None, "http://bad.com/de/", ""), *[(k, f"http://h{k}.net/", link("bad.com" if k == 1 else f"h{k - 1}.net")) for k in range(1, 13)]]
+    rows = [(None, "http://bad.com/de/", ""), *[(k, f"http://h{k}.net/", link("bad.com" if k == 1 else f"h{k - 1}.net")) for k in range(1, 31)]]
     # Trust reaches t13.net after twelve more links than distrust, and is over it.
     rows += [(None, "http://good.org/", link("t1.net")), *[(100 + k, f"http://t{k}.net/", link(f"t{k + 1}.net")) for k in range(1, 13)], (113, "http://t13.net/", link("worse.com"))]
     rows += [(None, "http://worse.com/de/", ""), *[(None, f"http://c{i}.net/", link("worse.com")) for i in range(200)]]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id is not null").collect()}
-    assert {k: got[k].verdict for k in range(1, 13)} == dict.fromkeys(range(1, 13), "block")
+    assert {k: got[k].verdict for k in range(1, 31)} == dict.fromkeys(range(1, 31), "block")
     assert got[113].distrust > 0 and got[113].trust == pytest.approx(0.15 * 0.85**13) and got[113].verdict == "allow"
 
 
