@@ -2,10 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as s
+from pyspark.sql import functions as F
 
 from evalframe.llm import common, decontam, oracles, queries
 
@@ -53,6 +57,39 @@ def test_several_blocks_find_the_same(spark, middle, monkeypatch):
     assert sorted(decontam.contamination(docs, bench).collect()) == whole
 
 
+def test_spans_and_repeated_rows_with_several_blocks(spark, monkeypatch):
+    rows = [(1, "Say: the quick, brown fox jumps."), (1, "Say: the quick, brown fox jumps."), (2, None), (None, "brown fox"), (3, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hits", F.lit("clash"))
+    bench = spark.createDataFrame([("a", "The quick"), ("b", "brown fox"), ("c", "quick brown fox"), ("d", None)], "item_id string, text string")
+    order = lambda df: sorted((r.doc_id or 0, r.hits, r.n_hit, r.n_items, r.items_sha256, [tuple(x) for x in r.spans]) for r in df.collect())
+    whole = order(decontam.contamination(docs, bench, keep_spans=True, carry=("hits",)))
+    assert [r[2:4] for r in whole] == [(2, 1), (4, 3), (4, 3), (0, 0), (0, 0)] and whole[1][5] == [(5, 25)]
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 60)
+    assert len(list(decontam.benchmark_blocks(bench, "item_id", "text", 10, 60))) == 4
+    assert order(decontam.contamination(docs, bench, keep_spans=True, carry=("hits",))) == whole
+
+
+def test_a_full_block_fits_in_a_task():
+    """Peak memory of a process that builds and uses the automaton of a full block of distinct windows."""
+    code = """
+import random, resource
+from evalframe.llm import decontam
+rng = random.Random(1)
+letters = "abcdefghijklmnopqrstuvwxyz"
+items, used = [], 0
+while used < decontam.AUTOMATON_BYTES:
+    text = " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(200)).encode()
+    items.append((str(len(items)), text))
+    used += len(text) * decontam.WINDOW
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+automaton = decontam.automaton_of(items)
+assert decontam.Scan(items[3][1], automaton).items == {"3"}
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert grown < 400
+
+
 def test_whole_table_against_sql(spark, middle):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
