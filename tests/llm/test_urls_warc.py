@@ -147,7 +147,8 @@ def test_broken_archives_are_refused():
 
 def test_files_are_gzip_members_with_valid_records(spark, small, tmp_path):
     pages = common.read(spark, small, "pages")
-    warc.write_archives(pages, str(tmp_path / "w"))
+    warc.write_arcs(pages, str(tmp_path / "a"))
+    assert warc.convert_files(warc.binary_files(spark, str(tmp_path / "a")), str(tmp_path / "w")).count() == 0
     seen = 0
     for file in Path(tmp_path / "w").glob("part-*"):
         stream = io.BytesIO(gzip.decompress(file.read_bytes()))
@@ -170,3 +171,70 @@ def test_record_ids_are_those_that_revisits_name(spark):
     rows = warc.archive(pages).collect()
     assert [r.page_id for r in rows if r.record_type == "response"] == [0] and {r.refers_to for r in rows if r.record_type == "revisit"} == {0}
     assert len({r.record_id for r in rows}) == 40 and {r.date for r in rows} == {"2000-01-01T00:00:00Z"}
+
+
+def test_a_record_that_does_not_parse_is_reported_and_the_next_one_found():
+    records = [warc.ArcRecord(f"http://a/{i} b", "1.2.3.4", "20200102030405", "text/html", b"line\n" * (i + 1)) for i in range(6)]
+    for version in (1, 2):
+        data = warc.write_arc(records, version)
+        longer = data.replace(f" {len(records[2].block)}\nline".encode(), b" 99999\nline")
+        wordy = longer.replace(b"http://a/4 b 1.2.3.4 20200102030405", b"http://a/4 b 1.2.3.4 not-a-date-or-length")
+        assert wordy.count(b"\n") == data.count(b"\n")
+        got = list(warc.scan_arc(wordy.replace(f" {len(records[4].block)}\nline".encode(), b" many\nline")))
+        assert [r.url for _, r, _ in got if r] == [records[i].url for i in (0, 1, 3, 5)]
+        assert [e for _, _, e in got if e][0] == "an ARC record is shorter than it declares" and sum(e is not None for _, _, e in got) == 2
+    assert [e for _, _, e in warc.scan_arc(b"junk")] == ["an ARC header line does not end"] and list(warc.scan_arc(b"")) == [] == list(warc.scan_arc(b"\n\r\n"))
+    assert [r.url for _, r, _ in warc.scan_arc(warc.write_arc(records[:1], 1) + warc.write_arc(records[1:2], 2)) if r] == ["http://a/0 b", "http://a/1 b"]
+
+
+def test_broken_gzip_members_are_left_out():
+    parts = [gzip.compress(f"part {i} ".encode() * 5000, mtime=0) for i in range(4)]
+    bad = bytearray(parts[1])
+    bad[20] ^= 255
+    plain, broken = warc.unpacked(parts[0] + bytes(bad) + b"\0\0" + parts[2] + parts[3][:-6])
+    assert plain == b"".join(gzip.decompress(parts[i]) for i in (0, 2)) and [at for at, _ in broken][0] == len(parts[0])
+    assert warc.unpacked(b"plain") == (b"plain", []) and warc.unpacked(b"".join(parts))[0] == b"".join(map(gzip.decompress, parts))
+
+
+def test_real_archives_of_both_versions(spark, tmp_path):
+    """Plain and gzipped files, one of them damaged, with a payload that both have."""
+    same = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + bytes(range(256)) * 2
+    one = [warc.ArcRecord("http://a.org/1", "1.2.3.4", "20010203040506", "text/html", same), warc.ArcRecord("http://a.org/2", "1.2.3.4", "20020203040506", "image/gif", b"HTTP/1.0 200 OK\r\n\r\nGIF")]
+    two = [warc.ArcRecord("http://b.org/1", "1.2.3.4", "19990203040506", "text/html", same), warc.ArcRecord("http://b.org/2", "1.2.3.4", "20030203", "text/plain", b"no header")]
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one.arc").write_bytes(warc.write_arc(one, 1) + b"http://a.org/3 1.2.3.4 20010203040506 text/html 500\ncut")
+    (source / "two.arc.gz").write_bytes(b"".join(map(gzip.compress, warc.arc_parts(two, 2))))
+    (source / "empty.arc").write_bytes(b"")
+    bad = warc.convert_files(spark.read.format("binaryFile").load(str(source)), str(tmp_path / "out")).collect()
+    assert [(r.path.rpartition("/")[2], r.error) for r in bad] == [("one.arc", "an ARC record is shorter than it declares")]
+    got = {r.target_uri: r for r in warc.read_archives(warc.binary_files(spark, str(tmp_path / "out")), "string").collect()}
+    assert {k: (r.record_type, r.payload_bytes) for k, r in got.items() if r.record_type == "response"} == {"http://a.org/2": ("response", 3), "http://b.org/1": ("response", 512), "http://b.org/2": ("response", 0)}
+    first, again = got["http://b.org/1"], got["http://a.org/1"]
+    assert again.record_type == "revisit" and again.payload_digest == first.payload_digest == hashlib.sha256(bytes(range(256)) * 2).hexdigest()
+    assert again.refers_to.startswith("19990203040506 http://b.org/1 two.arc.gz:") and got["http://b.org/2"].date == "2003-02-03T00:00:00Z"
+
+
+def test_files_are_cut_by_bytes_and_many_repeated_payloads_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 3_000)
+    monkeypatch.setattr(warc, "FILE_CHUNKS", 2)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    page = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha2(F.concat_ws("|", k, F.col("id") % 50).cast("binary"), 256)))
+    pages = spark.range(0, 200, 1, 2).select(F.col("id").alias("page_id"), F.lit("http://a.org").alias("url"), page.alias("html"))
+    warc.write_arcs(pages, str(tmp_path / "a"))
+    records = warc.read_arcs(warc.binary_files(spark, str(tmp_path / "a")))
+    firsts = warc.first_pages(records.select(F.col("page_id").cast("long").alias("page_id"), "payload_digest", "payload_bytes"))
+    warc.write_warcs(records, firsts, str(tmp_path / "w"))
+    for folder in ("a", "w"):
+        sizes = [f.stat().st_size for f in Path(tmp_path / folder).glob("part-*")]
+        assert len(sizes) > 10 and max(sizes) < 2 * (3_000 + 3_500)
+    got = warc.read_archives(warc.binary_files(spark, str(tmp_path / "w"))).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got) == [(i, None if i < 50 else i % 50) for i in range(200)]
+
+
+def test_bytes_that_are_no_text_are_written_as_they_are(spark, tmp_path):
+    """What the writer of archives rests on."""
+    raw = [bytes([a, b]) for a in range(0, 256, 5) for b in (0, 10, 13, 127, 128, 255)]
+    warc._write_chunks(spark.createDataFrame([(x,) for x in raw], "value binary").coalesce(1), str(tmp_path / "o"))
+    files = sorted(Path(tmp_path / "o").glob("part-*"))
+    assert b"".join(f.read_bytes() for f in files) == b"".join(x + warc.EMPTY_MEMBER for x in raw)
