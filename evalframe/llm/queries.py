@@ -39,7 +39,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, words=secrets.dictionary_of(docs))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalframe.llm import common, queries, secrets
 
@@ -56,3 +59,64 @@ def test_own_findings_teach(spark):
 def test_findings_by_rule_are_the_same_again(spark):
     a, b = (sorted(secrets.synthetic_findings(spark, 200).collect()) for _ in range(2))
     assert a == b and {r.label for r in a} == {0, 1} and not any("{" in r.text for r in a)
+
+
+def test_short_and_other_values_that_are_assigned(spark):
+    rows = [
+        (1, 'db password = "Tr0ub4dor&3" end', [(15, "Tr0ub4dor&3")]), (2, "PWD: s3cr!t9", [(5, "s3cr!t9")]), (3, "secret=correcthorsebatterystaple.", [(7, "correcthorsebatterystaple")]), (4, "the password is long", []),
+        (5, "token: abc", []), (6, "api_key => 'x#7Kq2' and pass:hunter2", [(12, "x#7Kq2"), (29, "hunter2")]), (7, 'token = "4f3c9a7be21d05c88e61"!!', [(9, "4f3c9a7be21d05c88e61")]), (8, "password = {abcdef} token=", [(11, "{abcdef}")]),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = secrets.candidates(df, "text", ["doc_id"]).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert {k: sorted((r.start, r.candidate) for r in found if r.doc_id == k) for k in texts} == {r[0]: r[2] for r in rows}
+    assert all(texts[r.doc_id][: r.start].endswith(r.before) and len(r.before) == min(40, r.start) for r in found)
+    assert all(texts[r.doc_id][r.start + len(r.candidate) :].startswith(r.after) for r in found)
+
+
+def plain_features(c: str, before: str, after: str, words: set[str]) -> dict[str, float]:
+    """Each feature in plain Python."""
+    n, low, ahead = len(c), c.lower(), before.lower()
+    share = lambda pattern: len(re.findall(pattern, c)) / n
+    kinds = ["0" if "0" <= x <= "9" else "A" if "A" <= x <= "Z" else "a" if "a" <= x <= "z" else "_" for x in c]
+    turns = sum(1 for k, x in enumerate(kinds) if k == 0 or x != kinds[k - 1])
+    stretches = re.split(r"[^a-zà-öø-ÿ]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", c).lower())
+    left = re.sub(f"({secrets.COMMON})", "", low)
+    return {
+        "length": math.log2(n), "transitions": turns / n, "dictionary": sum(len(w) for w in stretches if len(w) >= 3 and w in words) / n, "common": (n - len(left)) / n, "digits": share("[0-9]"), "upper": share("[A-Z]"),
+        "distinct": len(set(c)) / n, "entropy": -sum(p * math.log2(p) for p in (c.count(x) / n for x in set(c))), "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)),
+        "uuid": bool(re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", c)), "joints": share("[^A-Za-z0-9]"), "slashes": c.count("/") / n, "dots": c.count(".") / n,
+        "path": bool(re.search(r"([/\\@]|://|www\.)\S*$", ahead) or re.match(r"[/\\@]|\.[a-z]", after.lower()) or re.search(r"\.[a-z]{2,4}$|^/", c)), "beginning": bool(re.search(secrets.BEGINNINGS, c)),
+        "for": bool(re.search(f"({secrets.FOR})[^a-z]{{0,6}}$", ahead)), "for_near": bool(re.search(f"({secrets.FOR})", ahead)), "against": bool(re.search(f"({secrets.AGAINST})[^a-z]{{0,6}}$", ahead)),
+        "against_inside": bool(re.search("example|sample|dummy|your[-_]|placeholder|xxxx", low)), "quoted": before[-1:] in tuple("\"'`"), "assigned": bool(re.search("[=:]\\s*[\"'`]?$", ahead)),
+    }
+
+
+def test_features_one_by_one(spark, middle):
+    docs = common.read(spark, middle, "documents").select("text").unionByName(secrets.synthetic_findings(spark, 600).select("text"))
+    words = secrets.with_common(secrets.dictionary_of(docs, most=300))
+    found = secrets.candidates(docs.withColumn("k", F.lit(0)), "text", ["k"]).select("candidate", "before", "after", *[x.cast("double").alias(name) for name, x in secrets.features(words).items()]).collect()
+    assert len(found) > 600
+    for r in found:
+        want = plain_features(r.candidate, r.before, r.after, set(words))
+        assert {name: pytest.approx(float(x), abs=1e-9) for name, x in want.items()} == {name: r[name] for name in want}, r
+
+
+def test_dictionary_is_that_of_the_corpus(spark):
+    docs = spark.createDataFrame([("the cat, The dog",), ("of Éclair éclair cat",), (None,), ("",)], "text string")
+    assert secrets.dictionary_of(docs, most=3) == ["cat", "the", "éclair"] and secrets.dictionary_of(docs.limit(0)) == []
+
+
+def test_held_out_shapes(spark):
+    """Every shape is judged by a forest that was trained without it: precision and recall over all shapes."""
+    findings = secrets.synthetic_findings(spark, 3000).cache()
+    folds, counts = 4, Counter()
+    for fold in range(folds):
+        own = F.pmod(F.xxhash64("shape"), F.lit(folds)) == fold
+        scored = secrets.scan(findings.where(own).withColumn("doc_id", F.struct("shape", "label")), findings.where(~own))
+        for r in scored.groupBy("doc_id.label", "is_secret").count().collect():
+            counts[r.label, r.is_secret] += r["count"]
+    right = counts[1, True]
+    precision, recall = right / (right + counts[0, True]), right / (right + counts[1, False])
+    print(f"held-out shapes: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.75 and recall > 0.75
