@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,21 +75,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, most_bytes: int, columns: list[str]) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, columns: list[str]) -> DataFrame:
     """At most ``most`` labelled documents to fit a classifier on, with ``label`` as 0 or 1.
 
     ``learn`` is the condition on ``doc_id`` under which a row may be learned
-    from. The sample is the rows of least hash, so it is the same in each run;
-    texts of over ``most_bytes`` bytes are left out of it. A document with more
-    than one label has the largest. The chosen labels are at most ``most`` rows,
-    which is why they may be broadcast.
+    from. The sample is the rows of least hash, so it is the same in each run.
+    Documents without a text are not in it; one with more than one label has the
+    largest. The chosen labels are at most ``most`` rows, which is why they may
+    be broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label))
     chosen = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", *columns)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", *columns)
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(*[F.min(c).alias(c) for c in columns])
 
 
+def within_bytes(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows of a sample (``doc_id, text``, as many as ``labelled_sample`` gives) in the order of their hash, up to the one whose text reaches ``most_bytes`` in all; a text's own length does not keep it out."""
+    held = cut(sample)
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.select("doc_id", F.octet_length("text").cast("long").alias("n")).select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return held.join(F.broadcast(sizes.where(F.col("before") < most_bytes).select("doc_id")), "doc_id", "left_semi")
+
+
 def bucket(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts

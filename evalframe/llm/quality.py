@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import bucket, labelled_sample, utf8
 
 FOLDS = 5
-#: The classifier is fitted on at most so many labelled rows of at most so many bytes each.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 12_000
+#: The classifier is fitted on at most so many labelled rows, of any length.
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 
 STATISTICS = (
@@ -117,7 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on a bounded sample of labelled rows (see ``labelled_sample``), none of the held-out fold; only their statistics reach the driver."""
-    sample = labelled_sample(docs, labels, label, bucket("doc_id", FOLDS) != 0, rows, SAMPLE_BYTES, ["text"])
+    sample = labelled_sample(docs, labels, label, bucket("doc_id", FOLDS) != 0, rows, ["text"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text: ``doc_id, held_out, score, predicted``.
 
-    The score is the fitted probability that ``labels.quality`` is 1. Null and
+    The score is the fitted probability that ``labels.quality`` is 1; texts of any
+    length are measured whole. Null and
     empty texts have all statistics zero and the score that follows from that.
     Documents without a label are scored like any; null ids are kept; repeated
     rows come out repeated; without usable labels every score is the same.

@@ -10,7 +10,7 @@ each language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, labelled_sample, utf8
+from .common import bucket, labelled_sample, utf8, within_bytes
 from .decontam import words
 
 FOLDS, HELD_OUT = 4, 2
-#: The classifier is fitted on at most so many labelled rows of at most so many bytes each.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 12_000
+#: The classifier is fitted on at most so many labelled rows, of so many bytes together; texts of any length are among them.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 24_000_000
 THRESHOLD = 0.3
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 WORD_ROWS, STEM_ROWS = 1 << 17, 1 << 16
@@ -32,6 +32,8 @@ WORD_ROWS, STEM_ROWS = 1 << 17, 1 << 16
 UNUSED, LEAST_TEXTS = 2 * WORD_ROWS + STEM_ROWS, 3
 #: Responses of so many words are remembered in a task at most.
 REMEMBERED = 150_000
+#: Positions of texts that are looked at together.
+POSITIONS = 100_000
 PARTS = [(w, j) for w in WIDTHS for j in range(w)]
 
 
@@ -65,18 +67,41 @@ def _new(seed: int = 7) -> Net:
     return Net(np.zeros((UNUSED + 1, DIM), np.float32), filters, np.full(n, 0.05, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0)
 
 
-def _pool(net: Net, part: dict[tuple[int, int], np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Responses at each position, and the largest of each text. part: what each place of a filter adds at a position; two blank positions end each text, from which no filter reaches into the next."""
-    n = len(part[1, 0])
-    ends = np.append(starts[1:], n)
-    response = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
-    for k, w in enumerate(WIDTHS):
-        own = part[w, 0].copy()
-        for j in range(1, w):
-            own[: n - j] += part[w, j][j:]
-        response[:, k * FILTERS : (k + 1) * FILTERS] = own
-    response[np.concatenate([ends - 2, ends - 1])] = 0
-    return response, np.maximum.reduceat(response, starts, axis=0)
+def _largest(parts: Callable[[int, int], dict[tuple[int, int], np.ndarray]], blank: np.ndarray, starts: np.ndarray, limit: int = POSITIONS) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in each text, and its position.
+
+    ``parts(a, b)`` says what each place of a filter adds at positions a to b. Two
+    blank positions end each text, from which no filter reaches into the next.
+    ``limit`` positions are looked at together, so a long text needs no more
+    memory than many short ones.
+    """
+    n = len(blank)
+    text = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
+    columns = len(WIDTHS) * FILTERS
+    top, place = np.full((len(starts), columns), -np.inf, np.float32), np.zeros((len(starts), columns), np.int64)
+    for a in range(0, n, limit):
+        b = min(n, a + limit)
+        part = parts(a, min(n, b + max(WIDTHS) - 1))
+        response = np.empty((b - a, columns), np.float32)
+        for k, w in enumerate(WIDTHS):
+            own = part[w, 0][: b - a].copy()
+            for j in range(1, w):
+                more = part[w, j][j : j + b - a]
+                own[: len(more)] += more
+            response[:, k * FILTERS : (k + 1) * FILTERS] = own
+        response[blank[a:b]] = 0
+        of = text[a:b] - text[a]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        best = np.maximum.reduceat(response, first, axis=0)
+        where, which = np.nonzero(response >= best[of])
+        key, found = np.unique(of[where] * columns + which, return_index=True)
+        at = np.zeros(best.size, np.int64)
+        at[key] = where[found] + a
+        own = slice(text[a], text[b - 1] + 1)
+        better = best > top[own]
+        place[own] = np.where(better, at.reshape(best.shape), place[own])
+        top[own] = np.maximum(top[own], best)
+    return top, place
 
 
 class _Adagrad:
@@ -109,28 +134,28 @@ def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = 32, le
             own = order[at : at + batch]
             rows = np.concatenate([texts[i] for i in own])
             starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])[:-1]])
-            vector = net.table[rows].sum(axis=1)
-            vector[rows[:, 0] < 0] = 0
-            response, top = _pool(net, {p: vector @ f for p, f in net.filters.items()}, starts)
+            blank = rows[:, 0] < 0
+
+            def vectors(rows: np.ndarray) -> np.ndarray:
+                return np.where(rows[..., :1] < 0, np.float32(0), net.table[rows].sum(axis=-2))
+
+            def parts(a: int, b: int, rows: np.ndarray = rows) -> dict[tuple[int, int], np.ndarray]:
+                vector = vectors(rows[a:b])
+                return {p: vector @ f for p, f in net.filters.items()}
+
+            top, place = _largest(parts, blank, starts)
             top = top + net.bias
             active = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(active @ net.out + net.out_bias, -30, 30)))
             dz = ((p - y[own]) / len(own)).astype(np.float32)
             d_top = dz[:, None] * net.out[None, :] * (top > 0)
-            # the position of each text's largest response, for each filter
-            text = np.repeat(np.arange(len(own)), np.diff([*starts, len(rows)]))
-            where, which = np.nonzero(response + net.bias >= top[text])
-            key, first = np.unique(text[where] * top.shape[1] + which, return_index=True)
-            place = np.zeros(top.size, np.int64)
-            place[key] = where[first]
-            place = place.reshape(top.shape)
             touched, change, d_filter = [], [], {}
             for k, w in enumerate(WIDTHS):
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 for j in range(w):
                     pos = np.where(rows[place[:, cols], 0] < 0, place[:, cols], np.minimum(place[:, cols] + j, len(rows) - 1))
                     g = d_top[:, cols]
-                    d_filter[w, j] = np.einsum("nfd,nf->df", vector[pos], g)
+                    d_filter[w, j] = np.einsum("nfd,nf->df", vectors(rows[pos]), g)
                     touched.append(pos.ravel())
                     change.append((g[:, :, None] * net.filters[w, j].T[None, :, :]).reshape(-1, DIM))
             pos, change = np.concatenate(touched), np.concatenate(change)
@@ -227,7 +252,7 @@ class Scorer:
         flat = [w for found in group for w in (*found, b"", b"")]
         index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         starts = np.concatenate([[0], np.cumsum([len(found) + 2 for found in group])[:-1]])
-        _, top = _pool(self.net, {p: x[index] for p, x in self.part.items()}, starts)
+        top, _ = _largest(lambda a, b: {p: x[index[a:b]] for p, x in self.part.items()}, index == 0, starts)
         return np.maximum(top + self.net.bias, 0) @ self.net.out + self.net.out_bias
 
 
@@ -238,7 +263,8 @@ def _as_rows(text: bytes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Net:
     """Fit on a bounded sample of labelled rows (see ``labelled_sample``), none of the held-out fold."""
     columns = ["text"] + ["lang"] * ("lang" in docs.columns)
-    got = labelled_sample(docs, labels, label, bucket("doc_id", FOLDS) != HELD_OUT, rows, SAMPLE_BYTES, columns).toPandas().sort_values("doc_id")
+    sample = labelled_sample(docs, labels, label, bucket("doc_id", FOLDS) != HELD_OUT, rows, columns)
+    got = within_bytes(sample, SAMPLE_BYTES).toPandas().sort_values("doc_id")
     y = got[label].to_numpy(np.float64)
     net = _new()
     if not 0 < y.sum() < len(y):
@@ -266,8 +292,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, c
     ``predicted`` is 1 from ``threshold`` on; ``rejected`` applies the threshold
     calibrated for the document's language (``lang``, if there is such a column;
     that of all languages where it is null or was too rare to calibrate).
-    Null and empty texts have no words: they score as a text in which no filter
-    responds. Null ids are kept; repeated rows come out repeated; without usable
+    Texts of any length are scored whole. Null and empty texts have no words: they
+    score as a text in which no filter responds. Null ids are kept; repeated rows come out repeated; without usable
     labels every score is the same. Other columns are not looked at.
     """
     net = train(docs, labels)

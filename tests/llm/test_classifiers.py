@@ -110,3 +110,33 @@ def test_calibration_gives_shares():
     net = toxicity._new()
     toxicity._calibrate(net, z, y, np.array([None] * len(z), object))
     assert net.scale == pytest.approx(0.5, abs=0.05) and net.shift == pytest.approx(-1, abs=0.1)
+
+
+def test_long_texts_are_learned_from(spark):
+    """All that tells the labels apart is in texts of over 12,000 bytes."""
+    word = lambda k: f"w{k * 7919 % 1000}"
+    long = lambda i, mark: " ".join(mark if k == 2_900 else word(k + i) for k in range(3_000))
+    rows = [(i, long(i, "scoundrel" if i % 2 else "gentleman") if i < 60 else "plain words " + word(i), "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 60 and i % 2), int(i < 60 and i % 2)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [i for i in range(60) if got[i].held_out]
+    assert len(held) > 5 and all((got[i].score > 0.5) == bool(i % 2) for i in held)
+    assert quality.train(docs, labels).feature.any()
+
+
+def test_a_sample_is_cut_by_bytes_and_not_by_length(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 3 else 5000)) for i in range(300)], "doc_id long, text string")
+    kept = common.within_bytes(docs, 100_000).collect()
+    assert 100_000 <= sum(len(r.text) for r in kept) < 105_000 and 0.2 < sum(r.doc_id % 3 == 0 for r in kept) / len(kept) < 0.5
+
+
+def test_pieces_of_a_text_respond_as_the_whole():
+    rng = np.random.default_rng(1)
+    rows = np.concatenate([np.concatenate([rng.integers(0, 500, (n, 4)), np.full((2, 4), -1)]) for n in (5, 0, 700, 1, 3)])
+    starts = np.array([0, 7, 9, 711, 714])
+    part = {p: np.where(rows[:, :1] < 0, 0, rng.normal(size=(len(rows), toxicity.FILTERS))).astype(np.float32) for p in toxicity.PARTS}
+    whole = toxicity._largest(lambda a, b: {p: x[a:b] for p, x in part.items()}, rows[:, 0] < 0, starts)
+    for limit in (1, 7, 100):
+        pieces = toxicity._largest(lambda a, b: {p: x[a:b] for p, x in part.items()}, rows[:, 0] < 0, starts, limit)
+        assert (pieces[0] == whole[0]).all() and (pieces[1] == whole[1]).all()
