@@ -218,7 +218,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
 
     Returns one row per input row: the id, ``n_tokens``, ``ids_sha256``,
     ``decoded_sha256``, with ``keep_ids`` also ``ids`` (array of int) and with
-    ``keep_decoded`` also ``decoded`` (binary). Null and empty texts have no tokens. Rows that repeat
+    ``keep_decoded`` also ``decoded`` (binary). Texts of any length are
+    encoded whole. Null and empty texts have no tokens. Rows that repeat
     give repeated rows; a null id is kept; other columns of ``docs`` are not
     looked at. The rank file is read on the driver (it has a fixed size) and
     sent with the tasks.
@@ -226,12 +227,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     ranks = load_ranks(ranks_path)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    held = docs.sparkSession.sparkContext.broadcast({"ranks": ranks})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        if "codec" not in held.value:  # the worker's copy of the broadcast keeps it for its next tasks
+            held.value["codec"] = Codec(held.value["ranks"], pattern)
+        codec = held.value["codec"]
         for batch in batches:
-            codec = codec or Codec(held.value, pattern)
             texts = [x.decode("utf-8", "replace") for x in utf8(batch.column(1))]
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
             for ids in codec.encode(texts):
