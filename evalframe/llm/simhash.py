@@ -10,10 +10,16 @@ there) have the count of the other bits as their coordinate. A fingerprint meets
 those of its own and of the next three coordinates; the Manhattan bound and then
 the exact Hamming distance decide. G grows with the number of fingerprints, so
 that a cell holds few of them at every size; all choices find the same links.
+
+A similarity of shingle sets such as 0.8 leaves more differing bits than 64 can
+tell apart from chance, and more than three groups. ``one_of_each`` therefore
+takes wide fingerprints, cells of equal bits in bands, and the same bound and
+exact distance within a cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,15 +38,17 @@ GROUPS, MEET = (4, 5, 6, 8, 10), 4
 BLOCK = 1024
 #: Pairs that a task compares at a time.
 PAIRS = 1 << 20
+#: Words of a wide fingerprint; fingerprints that share a key of a band on average, at most; probability with which bands bring a pair at the bound together.
+WIDE, CELL, RECALL = 8, 64, 0.97
 #: A segment's bits moved to its low end: the bits in which two of those differ are the difference of the counts.
 UNARY = np.array([(1 << b.bit_count()) - 1 for b in range(256)], np.uint8)
 
 
-def fingerprint(text: bytes, n: int = WORDS) -> int:
-    """64-bit SimHash of the ``n``-word shingles, as a signed 64-bit integer; no words give 0."""
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """XXH64 (seed 42) of each ``n``-word shingle, repeats included; a text of fewer words is one shingle, one of none has none."""
     found = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= n:
         shingles = [joined]
@@ -49,11 +57,16 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
         start = np.concatenate([[0], stop[:-1]])
         shingles = [joined[a:b] for a, b in zip(start[: len(found) - n + 1].tolist(), (stop[n - 1 :] - 1).tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def fingerprint(text: bytes, n: int = WORDS) -> int:
+    """64-bit SimHash of the ``n``-word shingles, as a signed 64-bit integer; no words give 0."""
+    h = shingle_hashes(text, n).astype("<u8")
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(shingles), 65536):
-        h = np.array([digest(s, 42) for s in shingles[i : i + 65536]], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(shingles)).astype(np.uint8)
+    for i in range(0, len(h), 65536):
+        ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(h)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
@@ -86,21 +99,30 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return UNARY[np.ascontiguousarray(fp).view(np.uint8)].view(np.uint64)
 
 
-def close(fp: np.ndarray, cell: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Linked pairs of rows sorted by (cell, count), and how many candidates the grid gave for them; PAIRS candidates at a time."""
-    key = cell * 128 + count
-    ahead = np.searchsorted(key, key + BITS, "right") - np.arange(len(key)) - 1
+def close(fp: np.ndarray, cell: np.ndarray, count: np.ndarray, bits: int = BITS, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Linked pairs of rows sorted by (cell, count), and how many candidates the grid gave for them; PAIRS words are compared at a time.
+
+    ``fp`` has a row of 64-bit words for each fingerprint and ``count`` the ones
+    among the bits in which those of a cell may differ. With ``side``, a pair on
+    one side (0 or 1) is no candidate; -1 is on both.
+    """
+    words = fp.shape[1]
+    key = cell * (64 * words + bits + 1) + count
+    ahead = np.searchsorted(key, key + bits, "right") - np.arange(len(key)) - 1
     grid, total = embed(fp), np.cumsum(ahead)
     start = 0
     while start < len(key):
         done = int(total[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        stop = max(start + 1, int(np.searchsorted(total, done + PAIRS // words, "right")))
         own = ahead[start:stop]
         i = np.repeat(np.arange(start, stop), own)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-        near = np.bitwise_count(grid[i] ^ grid[j]) <= BITS
+        if side is not None:
+            across = (side[i] < 0) | (side[i] != side[j])
+            i, j = i[across], j[across]
+        near = np.bitwise_count(grid[i] ^ grid[j]).sum(axis=1, dtype=np.int32) <= bits
         a, b = i[near], j[near]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= BITS
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int32) <= bits
         yield a[near], b[near], len(i)
         start = stop
 
@@ -113,7 +135,7 @@ def _join(batches: Iterator[pa.RecordBatch], masks: np.ndarray) -> Iterator[pa.R
         cell = np.cumsum(np.concatenate([[0], (projection[1:] != projection[:-1]) | (code[1:] != code[:-1])]))
         order = np.argsort(cell * 128 + count, kind="stable")
         fp, rep = fp[order], rep[order]
-        for a, b, _ in close(fp, cell[order], count[order]):
+        for a, b, _ in close(fp[:, None], cell[order], count[order]):
             if len(a):
                 root = forest(len(fp), a, b)
                 child = np.flatnonzero(root != np.arange(len(fp)))
@@ -176,11 +198,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"))
     distinct = cut(found.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = connected_components(links(distinct))
-    component = distinct.join(joined, distinct.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # A fingerprint's own number is its node, so that different texts of one id are told apart.
+    joined = connected_components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    group = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    least = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+    component = cut(group.join(least, "group").select("fp", "component_id"))
     return found.join(component, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
         (F.col("id") == F.col("component_id")).alias("kept"),
     )
+
+
+def wide_fingerprint(text: bytes, n: int) -> bytes:
+    """SimHash of WIDE words of 64 bits over the set of ``n``-word shingles; no words give zeros."""
+    h = np.unique(shingle_hashes(text, n))
+    out = np.zeros((WIDE, 64), np.uint8)
+    for k in range(WIDE if len(h) else 0):
+        mixed = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)  # a different odd factor for each word
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(mixed), 65536):
+            ones += np.unpackbits(mixed[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = 2 * ones > len(h)
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def bits_of(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which sets count as of this Jaccard similarity: what is expected there and one standard deviation.
+
+    Sets of similarity s and equal size have the cosine 2 s / (1 + s); a bit
+    differs with the angle's share of a half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
+
+
+def bands_for(n: int, bits: int) -> np.ndarray:
+    """Which bits make up the key of each band, for ``n`` fingerprints.
+
+    A band has as many bits as leave about CELL fingerprints to a key; there are
+    as many bands as bring a pair at exactly ``bits`` differing bits together
+    with probability RECALL, and closer pairs with a higher one.
+    """
+    size = max(4, n.bit_length() - CELL.bit_length())
+    agree = (1 - bits / (64 * WIDE)) ** size
+    rng = np.random.default_rng(size)
+    return np.stack([rng.choice(64 * WIDE, size, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))])
+
+
+def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of wide fingerprints ``(node, fp)`` that differ in ``bits`` or fewer bits: of each cell a spanning forest.
+
+    A cell holds what agrees in all bits of a band; in it the Manhattan distance
+    of the segment counts and then the exact distance decide. Cells of more than
+    BLOCK are dealt out as pairs of blocks.
+    """
+    bands = bands_for(distinct.count(), bits)
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+            on = np.unpackbits(raw, axis=1, bitorder="little")
+            codes = np.stack([on[:, band].astype(np.int64) @ (1 << np.arange(len(band))) for band in bands], axis=1)
+            whole = raw.view("<i8")
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (whole, codes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["node", "words", "codes"])
+
+    told = cut(distinct.select("node", "fp").mapInArrow(keys_of, "node long, words array<long>, codes array<long>"))
+    cells = told.select("node", "words", F.posexplode("codes").alias("band", "code"))
+    hot = cut(cells.groupBy("band", "code").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
+    n_hot = hot.count()
+    if n_hot:
+        cells = cells.join(F.broadcast(hot) if n_hot <= 10_000 else hot, ["band", "code"], "left")
+    blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int") if n_hot else F.lit(1)
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keys = ["band", "code", "b1", "b2"]
+    cells = cells.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
+    dealt = cells.select(*keys, "block", "node", *[F.get("words", k).alias(f"w{k}") for k in range(WIDE)]).repartition(*keys).sortWithinPartitions(*keys)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches, len(keys)):
+            new = np.any([c[1:] != c[:-1] for c in columns[: len(keys)]], axis=0)
+            fp = np.stack(columns[len(keys) + 2 :], axis=1).view(np.uint64)
+            cell, count = np.cumsum(np.concatenate([[0], new])), np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+            order = np.lexsort((count, cell))
+            fp, node, side = fp[order], columns[len(keys) + 1][order], np.where(columns[2] == columns[3], -1, columns[4])[order]
+            for a, b, _ in close(fp, cell[order], count[order], bits, side):
+                if len(a):
+                    root = forest(len(fp), a, b)
+                    child = np.flatnonzero(root != np.arange(len(fp)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], ["a", "b"])
+
+    return dealt.mapInArrow(join, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...], words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with ``columns``: that of the smallest id.
+
+    Texts are near copies if the sets of their ``words``-word shingles have, as
+    their wide fingerprints tell, a Jaccard similarity of ``similarity`` or more;
+    groups are what such links connect. Texts of any length count whole. Null and
+    empty texts and texts without words are copies of each other. Null ids come
+    after all others; of rows of one id the one that is first by its other columns
+    stays, and different texts of one id are in groups of their own. Repeated rows
+    are copies. An empty table gives no rows. Other columns are not looked at.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            fp = pa.array([wide_fingerprint(text, words) for text in utf8(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, "__fp"])
+
+    told = docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", `__fp` binary")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.col(c) for c in columns if c != id_col])
+    first = told.groupBy(F.col("__fp").alias("fp")).agg(F.min_by(F.struct(*columns), order).alias("row")).withColumn("node", F.monotonically_increasing_id())
+    distinct = cut(first)
+    joined = connected_components(wide_links(distinct, bits_of(similarity)))
+    ids = distinct.select("node", "fp", F.col("row")[id_col].alias("id"))
+    group = ids.join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
+    kept = group.groupBy("group").agg(F.min_by("node", F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("node"))
+    return distinct.join(kept.select("node"), "node", "left_semi").select("row.*")

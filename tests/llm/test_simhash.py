@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,8 +11,6 @@ from evalframe.llm import common, simhash
 
 
 def brute_fingerprint(text: str) -> int:
-    import re
-
     found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     if not found:
         return 0
@@ -20,7 +19,24 @@ def brute_fingerprint(text: str) -> int:
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(fps: dict[int, int]) -> dict[int, int]:
+def brute_wide_fingerprint(text: str, n: int) -> int:
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    found = re.findall(r"[^\x20\x09-\x0D]+", found)
+    h = {xxhash.xxh64_intdigest(" ".join(found[i : i + n]).encode(), 42) for i in range(max(1, len(found) - n + 1))} if found else set()
+    cut, out = (1 << 64) - 1, 0
+    for k in range(simhash.WIDE):
+        counts = [0] * 64
+        for x in h:
+            m = (x ^ x >> 31) * (0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & cut) & cut
+            m = (m ^ m >> 29) * 0xBF58476D1CE4E5B9 & cut
+            m ^= m >> 32
+            for b in range(64):
+                counts[b] += m >> b & 1
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * counts[b] > len(h))
+    return out
+
+
+def brute_components(fps: dict[int, int], bits: int = 3) -> dict[int, int]:
     ids = sorted(fps)
     root = {i: i for i in ids}
 
@@ -31,7 +47,7 @@ def brute_components(fps: dict[int, int]) -> dict[int, int]:
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+            if (fps[a] ^ fps[b]).bit_count() <= bits:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -107,7 +123,7 @@ def test_candidates_grow_more_slowly_than_pairs():
             _, cell = np.unique(fp & mask, return_inverse=True)
             count = np.bitwise_count(fp & ~mask).astype(np.int64)
             order = np.argsort(cell * 128 + count, kind="stable")
-            candidates += sum(k for _, _, k in simhash.close(fp[order], cell[order], count[order]))
+            candidates += sum(k for _, _, k in simhash.close(fp[order][:, None], cell[order], count[order]))
         met[n] = candidates / n
     assert met[1 << 18] < 4 * simhash.MEET and met[1 << 20] < 1
     assert [simhash.groups_for(n) for n in (1, 1 << 18, 1 << 19, 1 << 30, 1 << 40)] == [4, 4, 5, 6, 8]
@@ -118,3 +134,51 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     hub = [(1000, 1000 + i) for i in range(1, 500)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 500)}
+
+
+@pytest.mark.parametrize("text", ["", "one", "a b c d", "a b c d e f g A B C", "x " * 5000])
+def test_wide_fingerprint(text):
+    assert int.from_bytes(simhash.wide_fingerprint(text.encode(), 5), "little") == brute_wide_fingerprint(text, 5)
+
+
+def test_bits_of_a_similarity_and_bands_for_it():
+    assert simhash.bits_of(1.0) == 0 < simhash.bits_of(0.9) < simhash.bits_of(0.8) == 85
+    for n in (10, 1 << 18, 1 << 30):
+        bands = simhash.bands_for(n, 85)
+        assert (1 << bands.shape[1]) * simhash.CELL >= n and 1 - (1 - (1 - 85 / 512) ** bands.shape[1]) ** len(bands) >= simhash.RECALL
+
+
+def test_near_copies_by_exact_similarity(spark, middle):
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 keep one text; what else goes is not far below that."""
+    docs = common.read(spark, middle, "documents")
+    sets = {r.doc_id: frozenset(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in docs.select("doc_id", "text").collect()}
+    ids, root, nearest = sorted(sets), {i: i for i in sets}, dict.fromkeys(sets, 0.0)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= 0.6 * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                similarity = both / (len(sets[a]) + len(sets[b]) - both) if sets[a] else 1.0
+                nearest[b] = max(nearest[b], similarity)
+                if similarity >= 0.8:
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    want = {find(i) for i in ids}
+    kept = {r.doc_id for r in simhash.one_of_each(docs, ("doc_id", "text")).collect()}
+    assert len(want) < len(ids) and len(kept - want) <= 1
+    assert len(want - kept) <= 0.01 * len(want) and all(nearest[i] >= 0.7 for i in want - kept)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_a_crowd_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join("z" if rng.random() < 0.004 else w for w in base)) for i in range(200)] + [(1000 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(50)]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text")).collect())
+    assert kept == [0, *range(1000, 1050)]
