@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from evalframe.llm import bpe, common, decontam, pii, queries, toxicity
+from evalframe.llm import bpe, common, decontam, pii, queries, simhash, toxicity
 
 from .test_decontam import brute
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_components, brute_wide_fingerprint
 
 
 def rows(df):
@@ -26,8 +27,9 @@ def test_stages(spark, small):
     after = spark.createDataFrame(list(kept.values()), docs.schema)
 
     single = rows(p.drop_near_duplicates(spark, after, small))
-    classes = brute_components({i: brute_fingerprint(r.text or "") for i, r in kept.items()})
-    assert set(single) == set(classes.values())
+    bits = simhash.bits_of(0.8)
+    classes = brute_components({i: brute_wide_fingerprint(r.text or "", 5) for i, r in kept.items()}, bits)
+    assert set(single) == set(classes.values()) and len(single) < len(kept)
     assert all(single[i] == kept[i] for i in single)
     after = spark.createDataFrame(list(single.values()), docs.schema)
 
@@ -58,6 +60,18 @@ def test_documents_without_id_or_text(spark, small):
     assert decontam.words(b"A-b") == [b"a", b"b"]
 
 
+def test_one_document_of_each_group_whatever_its_id(spark, small):
+    """Different texts of one id are judged apart, copies without an id go, and extra columns and very long texts do no harm."""
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    long = "one very long text of many words " * 100_000
+    rows_ = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(2) + " end"), (None, text(3)), (None, text(3)), (None, text(1)), (5, text(4)), (4, text(4)), (6, long), (7, long + "x"), (8, None), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("fp", "node", "row", "group", "id", "band", "size")})
+    kept = p.drop_near_duplicates(spark, docs.repartition(3), small)
+    assert tuple(kept.columns) == p.COLUMNS
+    want = [(None, text(3)), (1, text(1)), (1, text(2)), (4, text(4)), (6, long), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_corpus(spark, small):
     docs = common.read(spark, small, "documents").limit(0)
     for _, stage in p.STAGES:
