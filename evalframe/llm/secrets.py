@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Runs of 16 and more characters of keys, paths and base64, or a key block's header.
 RUN = r"[A-Za-z0-9+/_.-]{16,}+={0,2}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 #: A run is a candidate if, without trailing stops and joints, it still has 16 characters and both letters and digits, or is such a header.
@@ -89,10 +91,21 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 
 def dictionary_of(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[str]:
-    """The ``most`` words of three letters and more that occur most often in all texts, in lower case; of equally frequent ones the first in order."""
+    """The most frequent words of three letters and more in all texts, in lower case: all words from the lowest frequency on that leaves ``most`` of them or fewer.
+
+    Frequencies are told apart in steps of an eighth of a doubling, so that the
+    driver sees a few hundred counts, and then only the words that it takes.
+    """
     word = F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+")).alias("word")
     counts = docs.select(word).where(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
-    return sorted(r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+    stepped = cut(counts.select("word", F.floor(F.log2("n") * 8).cast("int").alias("step")))
+    taken, least = 0, None
+    for row in sorted(stepped.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        taken += row.n
+        if taken > most:
+            break
+        least = row.step
+    return [] if least is None else sorted(r.word for r in stepped.where(F.col("step") >= least).select("word").collect())
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
