@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import accuracy, compare, respond, sampling
+from .operators import accuracy, compare, paired, respond, sampling
 from .operators.tidy import Evaluation
 from .problems import build, spec
 from .render import report, text
@@ -29,12 +29,14 @@ def _parser() -> argparse.ArgumentParser:
     g = sub.add_parser("generate", help="make and verify problems")
     g.add_argument("--preset", choices=sorted(spec.PRESETS), default="quick")
     g.add_argument("--families", nargs="*")
+    g.add_argument("--band", choices=list(spec.BANDS), default="all", help="difficulties to make, of those of the preset")
     r = sub.add_parser("run", help="put stored problems to the stand-in model")
     r.add_argument("run_id")
     r.add_argument("--mode", choices=respond.MODES, default="noisy")
     r.add_argument("--samples", type=int, default=1)
     r.add_argument("--min-difficulty", type=int)
     r.add_argument("--max-difficulty", type=int)
+    r.add_argument("--band", choices=list(spec.BANDS), default="all", help="difficulties to run; bounds given besides win")
     r.add_argument("--limit", type=int)
     for name in ("report", "dashboard", "compare"):
         c = sub.add_parser(name)
@@ -91,17 +93,21 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{f.name:<22}{f.answer_type:<18}{f.axis}")
     elif a.command == "list":
         for r in store.runs().collect():
-            print(r.run_id, r.model, r.created_at)
+            print(f"{r.run_id} {text.shorten(r.model, 40)} {text.moment(r.created_at)}")
     elif a.command == "generate":
         reps, least, most, distractor, surface = spec.PRESETS[a.preset]
+        low, high = spec.BANDS[a.band]
+        least, most = max(least, low or least), min(most, high or most)
         store.upsert("items", build.build(spark, a.families or None, least, most, reps, distractor, surface))
         print(store.read("items").count(), "items")
     elif a.command == "run":
         run_id, mode, n = a.run_id, a.mode, a.samples
+        low, high = spec.BANDS[a.band]
+        low, high = a.min_difficulty or low, a.max_difficulty or high
         store.upsert("runs", spark.createDataFrame([(run_id, f"mock-{mode}", "")], "run_id string, model string, base_url string"))
 
         def put(items):  # noqa: ANN001, ANN202
-            chosen = sampling.by_difficulty(items, a.min_difficulty, a.max_difficulty)
+            chosen = sampling.by_difficulty(items, low, high)
             return respond.run_mock(sampling.stride(chosen, a.limit) if a.limit is not None else chosen, run_id, mode, n)
 
         respond.run(store, run_id, put)
@@ -116,12 +122,12 @@ def main(argv: list[str] | None = None) -> int:
             report.export_results(e, store.read("runs").where(keep).select("run_id", "model", "params", "created_at"), a.out)
         elif a.command == "compare":
             labels = {r.run_id: r.label for r in compare.run_labels(runs).collect()}
-            print(*text.comparison(report.rows_of(compare.leaderboard(e.profile())), labels), sep="\n")
+            print(*text.comparison(report.rows_of(compare.leaderboard(e.headline())), labels), sep="\n")
         else:
-            families, curve = report.rows_of(accuracy.chance(e.frame)), report.rows_of(accuracy.degradation(e.frame))
+            families, curve, drops = (report.rows_of(x(e.frame)) for x in (accuracy.chance, accuracy.degradation, paired.distractibility))
             for run in report.rows_of(e.profile()):
                 own = lambda rows, key=run["run_id"]: [x for x in rows if x["run_id"] == key]
-                print(*text.dashboard(run, own(families), own(curve), colour=sys.stdout.isatty()), sep="\n")
+                print(*text.dashboard(run, own(families), own(curve), colour=sys.stdout.isatty(), drops=own(drops)), sep="\n")
     return 0
 
 

@@ -61,7 +61,11 @@ def grade(text: Column, kind: Column, gold: Column, choices: Column, strict: boo
 
 def marker_only(text: Column, kind: Column, choices: Column) -> Column:
     """The answer by the marker alone, as strict accuracy reads it: its last integer, its first choice, else the marker itself."""
-    marker = t.answer_marker(text)
+    return let(t.answer_marker(text), lambda m: of_marker(m, kind, choices))
+
+
+def of_marker(marker: Column, kind: Column, choices: Column) -> Column:
+    """The same from what the marker holds."""
     return F.when(kind.isin(*NUMERIC), t.last_int(marker)).when(kind == "choice", t.first_choice(marker, choices)).otherwise(marker)
 
 

@@ -59,15 +59,3 @@ def above_chance(accuracy: Column, chance: Column) -> Column:
 def is_sentinel(answer: Column) -> Column:
     return answer.isin(*SENTINELS)
 
-
-def ece_goodness(ece: Column) -> Column:
-    return F.lit(1.0) - F.least(F.lit(1.0), ece / ECE_FULL)
-
-
-def drop_goodness(drop: Column) -> Column:
-    return F.lit(1.0) - F.greatest(drop, F.lit(0.0)) / DROP_FULL
-
-
-def goodness_glyph(good: Column) -> Column:
-    """A word for a goodness of 0 to 1: thirds, from the top."""
-    return F.when(good.isNull(), "none").when(good >= 0.66, "good").when(good >= 0.33, "fair").otherwise("poor")

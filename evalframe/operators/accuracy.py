@@ -57,7 +57,7 @@ def macro_above_chance(frame: DataFrame) -> DataFrame:
 
 def strict(frame: DataFrame) -> DataFrame:
     """Accuracy by the marker alone, and the share of answered items (of all probes) that only a fallback made right."""
-    marker = grading.marker_only(F.col("s0_raw"), F.col("answer_type"), F.col("choices"))
+    marker = grading.of_marker(F.col("s0_marker"), F.col("answer_type"), F.col("choices"))
     right = F.when(F.col("answered") & (F.col("probe") == "base"), grading.is_right(marker, F.col("gold"), F.col("answer_type")))
     return frame.select("run_id", "answered", "s0_correct", right.alias("right")).groupBy("run_id").agg(
         F.coalesce(st.mean_of(F.col("right")), F.lit(0.0)).alias("strict_accuracy"),

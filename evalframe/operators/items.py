@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import grading
+from ..functions import grading, text
 from ..functions.stats import count_if
 from ..sources.schema import ERROR
 
 DIMENSIONS = ("family", "difficulty", "probe", "grp", "answer_type", "gold", "choices")
 
 
+def slim(responses: DataFrame) -> DataFrame:
+    """Responses without their texts: of a text, whether the call failed (``call_failed``) and what the first sample's marker holds (``marker``)."""
+    if "raw" not in responses.columns:
+        return responses
+    first = F.when(F.col("sample_idx") == 0, text.answer_marker(F.col("raw")))
+    return responses.withColumns({"call_failed": F.coalesce(F.col("raw") == ERROR, F.lit(False)), "marker": first}).drop("raw")
+
+
 def by_item(responses: DataFrame, items: DataFrame) -> DataFrame:
     """One row per (run_id, item_id) of items that are known; other responses vanish.
 
@@ -26,10 +34,10 @@ def by_item(responses: DataFrame, items: DataFrame) -> DataFrame:
     """
     first = F.col("sample_idx") == 0
     s0 = lambda c: F.max(F.when(first, F.col(c)))
-    state = responses.groupBy("run_id", "item_id").agg(
-        F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("k"), count_if(F.col("raw") == ERROR).alias("failed"),
+    state = slim(responses).groupBy("run_id", "item_id").agg(
+        F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("k"), count_if(F.col("call_failed")).alias("failed"),
         F.count("correct").alias("graded"), count_if(F.col("correct")).alias("right"),
-        s0("correct").alias("s0_correct"), s0("parsed").alias("s0_parsed"), s0("confidence").alias("s0_confidence"), s0("raw").alias("s0_raw"),
+        s0("correct").alias("s0_correct"), s0("parsed").alias("s0_parsed"), s0("confidence").alias("s0_confidence"), s0("marker").alias("s0_marker"),
         s0("metadata.intermediate_correct").alias("s0_intermediate"),
     )
     return state.join(items.select("item_id", *DIMENSIONS), "item_id").withColumn("answered", F.col("s0_correct").isNotNull())

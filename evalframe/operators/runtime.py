@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
-from ..sources.schema import ERROR
+from .items import slim
 
 
 def whole(x: Column) -> Column:
@@ -26,7 +26,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
 
 def latency(responses: DataFrame) -> DataFrame:
     """Calls, failed ones, and latencies of all calls in whole milliseconds (0 where none is known)."""
-    calls = responses.groupBy("run_id").agg(F.count("*").alias("n_calls"), st.count_if(F.col("raw") == ERROR).alias("errored"), F.avg("latency_ms").alias("mean"))
+    calls = slim(responses).groupBy("run_id").agg(F.count("*").alias("n_calls"), st.count_if(F.col("call_failed")).alias("errored"), F.avg("latency_ms").alias("mean"))
     found = percentiles(responses, ["run_id"], "latency_ms", {"p50": 0.5, "p95": 0.95})
     some = lambda c: F.coalesce(whole(F.col(c)), F.lit(0).cast("long"))
     return calls.join(found, "run_id", "left").select(

@@ -31,6 +31,16 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataF
     return ranged.join(F.broadcast(offset), "__range").withColumn(name, F.col("__before") + own).drop("__range", "__before")
 
 
+def _cumulated(counted: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct values with their numbers ``__n``, and the place ``__at`` from 0 at which each begins in the total order; by range, as ``numbered``."""
+    ranged = materialise(counted.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    offset = sums.select("__range", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(offset), "__range").withColumn("__at", F.col("__before") + own).drop("__range", "__before")
+
+
 def stride(items: DataFrame, limit: int, order: list[str] | None = None) -> DataFrame:
     """``limit`` items at even steps of the order; all of them if there are no more, none for a limit of 0.
 
@@ -52,17 +62,19 @@ def stride(items: DataFrame, limit: int, order: list[str] | None = None) -> Data
 
 
 def ranked_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles of any numbers by ``key``, with ``n``: rows are ranked by range, and only those at the wanted places meet.
+    """Exact interpolated percentiles of any numbers by ``key``, with ``n``: values are ranked by range, and only those at the wanted places meet.
 
-    No task holds a group, so one key may have most of the rows. Null values
-    and not-a-numbers do not count.
+    Equal values are counted first, so that one value may have most of the rows;
+    the distinct ones are dealt out by range, so that one key may have most of
+    them. Null values and not-a-numbers do not count.
     """
     known = rows.select(key, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    placed = numbered(known, [key, "__v"], "__at")
-    groups = placed.groupBy(key).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    placed = _cumulated(known.groupBy(key, "__v").agg(F.count("*").alias("__n")), [key, "__v"])
+    groups = placed.groupBy(key).agg(F.sum("__n").alias("n"), F.min("__at").alias("__first"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("__first") + (F.col("n") - 1) * F.lit(q)).alias("at")) for name, q in shares.items()])
     # The two places that a percentile lies between, and how much each weighs.
     near = groups.select(F.col(key).alias("__key"), "n", F.explode(wanted).alias("w")).select("__key", "n", "w.name", (F.col("w.at") - F.floor("w.at")).alias("part"), F.floor("w.at").alias("low"))
     ends = near.select("__key", "n", "name", F.explode(F.array(F.struct(F.col("low").alias("at"), (1 - F.col("part")).alias("weight")), F.struct((F.col("low") + 1).alias("at"), F.col("part").alias("weight")))).alias("e")).where("e.weight > 0")
-    found = placed.join(ends, placed["__at"] == F.col("e.at")).groupBy("__key", "n").agg(*[F.sum(F.when(F.col("name") == name, F.col("__v") * F.col("e.weight"))).alias(name) for name in shares])
+    holds = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") <= F.col("e.at")) & (F.col("e.at") < F.col("__at") + F.col("__n"))
+    found = placed.join(ends, holds).groupBy("__key", "n").agg(*[F.sum(F.when(F.col("name") == name, F.col("__v") * F.col("e.weight"))).alias(name) for name in shares])
     return found.withColumnRenamed("__key", key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import materialise
 from . import accuracy, outcomes, paired, runtime, uncertainty
-from .items import by_item, voted
+from .items import by_item, slim, voted
 
 
 @dataclass
@@ -21,32 +21,46 @@ class Evaluation:
     responses: DataFrame
     telemetry: DataFrame | None = None
 
+    @cached_property
+    def slim(self) -> DataFrame:
+        """The responses without their texts, written to the checkpoint folder."""
+        return materialise(slim(self.responses))
+
     @cached_property
     def frame(self) -> DataFrame:
-        """One row per run and item, written to the checkpoint folder: a third of the responses' rows, without their texts."""
-        return materialise(by_item(self.responses, self.items))
+        """One row per run and item, written to the checkpoint folder: without texts, a row for all samples."""
+        return materialise(by_item(self.slim, self.items))
 
     @cached_property
     def votes(self) -> DataFrame:
-        return materialise(voted(self.responses, self.items))
+        return materialise(voted(self.slim, self.items))
 
     @cached_property
     def reasoning_rows(self) -> DataFrame:
-        return runtime.reasoning_rows(self.responses, self.telemetry, self.items)
+        return runtime.reasoning_rows(self.slim, self.telemetry, self.items)
+
+    def headline(self) -> DataFrame:
+        """One row per run with the metrics that runs are compared by."""
+        frame = self.frame
+        parts = [
+            accuracy.coverage(frame), accuracy.overall(frame).select("run_id", F.col("accuracy").alias("overall_accuracy")), accuracy.strict(frame),
+            accuracy.ill_posed(frame).select("run_id", "confabulation_rate", "false_undetermined_rate"),
+            paired.invariance(frame).select("run_id", "groups", "answer_flip_rate", "consistent_rate", "surface_accuracy"), uncertainty.calibration_error(frame).select("run_id", "ece"),
+            uncertainty.pass_at_k(frame, self.votes),
+        ]
+        return reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
 
     def profile(self) -> DataFrame:
         """One row per run with every metric that is a single number; null where the run gives no ground for one."""
         frame, votes = self.frame, self.votes
         parts = [
-            accuracy.coverage(frame), accuracy.overall(frame).select("run_id", F.col("accuracy").alias("overall_accuracy")), accuracy.strict(frame),
-            accuracy.macro_above_chance(frame).select("run_id", "above_chance"), accuracy.fragility(self.responses, self.items).select("run_id", F.col("fragility").alias("grading_fragility")),
-            accuracy.ill_posed(frame).select("run_id", "confabulation_rate", "false_undetermined_rate"),
+            self.headline(), accuracy.macro_above_chance(frame).select("run_id", "above_chance"),
+            accuracy.fragility(self.responses, self.items).select("run_id", F.col("fragility").alias("grading_fragility")),
             accuracy.backtracking(frame).select("run_id", F.struct("n", "intermediate_accuracy", "final_accuracy", "revision_success").alias("backtracking")),
-            paired.invariance(frame).select("run_id", "groups", "answer_flip_rate", "consistent_rate", "surface_accuracy"), uncertainty.calibration_error(frame).select("run_id", "ece"),
-            uncertainty.pass_at_k(frame, votes), uncertainty.disagreement(frame, votes).drop("n_voted"), runtime.latency(self.responses).withColumnRenamed("errored", "failed_calls"), runtime.tokens(self.responses),
+            uncertainty.disagreement(frame, votes).drop("n_voted"), runtime.latency(self.slim).withColumnRenamed("errored", "failed_calls"), runtime.tokens(self.slim),
         ]
         if self.telemetry is not None:
-            parts += [runtime.reasoning(self.responses, self.telemetry), runtime.reasoning_efficiency(self.reasoning_rows, self.telemetry)]
+            parts += [runtime.reasoning(self.slim, self.telemetry), runtime.reasoning_efficiency(self.reasoning_rows, self.telemetry)]
         return reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
 
     def outcomes(self) -> DataFrame:

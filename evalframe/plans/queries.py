@@ -173,7 +173,7 @@ def run_tag_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.leaderboard(_evaluation(spark, sf_dir).profile()))
+    return rounded(compare.leaderboard(_evaluation(spark, sf_dir).headline()))
 
 
 def metrics_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:

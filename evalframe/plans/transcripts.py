@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.schema import EVENTS, LOGPROBS
 from ..sources.star import table
 
-NAMES = ("Lena", "Diego", "Omar")
-# Shapes of a response by kind; {a} is the part's number, {b} the supplier's, {c} a confidence, {x} and {y} names.
+NAMES = ("Ida", "Bruno", "Kofi")
+#: Shapes of a response by kind; {a} is the part's number, {b} the supplier's, {c} a confidence, {x} and {y} names.
 SHAPES = {
     "int": (
         "Step 1: {b}\nANSWER: {a} apples of {b}\nCONFIDENCE: {c}", "first {b}, then 1,{a}.", "ANSWER: forty\nso -00{a}", "answer = -{a}\nAnswer: {b}", "no number here\nCONFIDENCE: {c}",

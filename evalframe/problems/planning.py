@@ -1,8 +1,7 @@
-"""Shortest plans in the blocks world: a breadth-first search of up to six blocks for each row."""
+"""Shortest plans in the blocks world: a breadth-first search of up to six blocks for each distinct pair of configurations."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 State = frozenset[tuple[str, ...]]
+#: Pairs of configurations that a task remembers.
+REMEMBERED = 50_000
 
 
 def _next(state: State) -> Iterator[State]:
@@ -35,29 +36,23 @@ def shortest(begin: list[list[str]], end: list[list[str]]) -> int | None:
 
 
 def least_moves(begin: Column, end: Column) -> Column:
-    @F.pandas_udf("int")
-    def search(begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or e is None else shortest(b, e) for b, e in zip(begins, ends, strict=True)], dtype="Int32")
-
-    return search(begin, end)
-
-
-def stacks_in(text: str) -> list[list[str]]:
-    """Stacks, bottom first, from sentences that tell what stands on what."""
-    pairs = re.findall(r"(\w) is on (the table|\w)\.", text)
-    above = {down: up for up, down in pairs if down != "the table"}
-    stacks = [[up] for up, down in pairs if down == "the table"]
-    for stack in stacks:
-        while (up := above.pop(stack[-1], None)) is not None:
-            stack.append(up)
-    return stacks
-
-
-def least_moves_told(begin: Column, end: Column) -> Column:
-    """The same from two descriptions."""
+    """``shortest`` of two columns of stacks; each pair of configurations is searched once in a task."""
+    known: dict[tuple[State, State], int | None] = {}
 
     @F.pandas_udf("int")
     def search(begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or e is None else shortest(stacks_in(b), stacks_in(e)) for b, e in zip(begins, ends, strict=True)], dtype="Int32")
+        out = []
+        for b, e in zip(begins, ends, strict=True):
+            if b is None or e is None:
+                out.append(None)
+                continue
+            pair = frozenset(map(tuple, b)), frozenset(map(tuple, e))
+            if pair not in known:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                known[pair] = shortest(b, e)
+            out.append(known[pair])
+        return pd.Series(out, dtype="Int32")
 
     return search(begin, end)
+

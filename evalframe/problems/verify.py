@@ -1,7 +1,8 @@
 """Independent verification: the answer worked out again from the text of the prompt alone.
 
 Every function takes the prompt and gives the answer as text, or null where the
-text does not settle one. Nothing here knows the draws behind an item.
+text does not settle one. Nothing here knows the draws behind an item, or
+shares with the generators how an answer is worked out.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, sentences, split_names
-from .families import AXES, PHRASES, operate
-from .planning import least_moves_told
+from .families import AXES
+from .replan import fewest_told
 from .spec import FAMILIES, count
 
 #: Structures are enumerated up to so many people.
@@ -110,10 +111,14 @@ def arithmetic(text: Column) -> Column:
 noise_haystack = arithmetic
 
 
-def _phrase(text: Column) -> Column:
-    """Struct (number, b) of an operation's wording."""
-    kind = F.array_position(F.transform(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(text, F.replace(p, F.lit("{b}"), F.lit("")))), F.lit(True)) - 1
-    return F.struct(kind.cast("int").alias("kind"), F.try_element_at(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), F.lit(-1)).cast("long").alias("b"))
+def _told_to(words: Column, left: Column, right: Column) -> Column:
+    """What an operation's wording makes of two numbers; null for another wording."""
+    of_two = (
+        F.when(words.startswith("add the two numbers "), left + right).when(words.startswith("multiply the two numbers "), left * right).when(words.startswith("double the sum of the two numbers "), left + right + left + right)
+        .when(words.startswith("subtract the right number from the left "), left - right).when(words.startswith("take the left modulo the right ") & (right > 0), F.pmod(left, right))
+    )
+    more = number(words, r" then add (\d+)$")
+    return (of_two + F.coalesce(more, -number(words, r" then subtract (\d+)$"))).cast("long")
 
 
 def redefined_ops(text: Column) -> Column:
@@ -126,15 +131,15 @@ def redefined_ops(text: Column) -> Column:
     def run(p: Column, q: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
             k, n = number(s, r" (\d+) "), acc["uses"] + 1
-            once = operate(p["kind"], acc["v"], k, p["b"])
-            v = F.when(F.coalesce(first(s, r"^\w+ (\w+) ") == twice, F.lit(False)), operate(p["kind"], once, k, p["b"])).when(later.isNotNull() & (n > 2), operate(q["kind"], acc["v"], k, q["b"])).otherwise(once)
+            once = _told_to(p, acc["v"], k)
+            v = F.when(F.coalesce(first(s, r"^\w+ (\w+) ") == twice, F.lit(False)), _told_to(p, once, k)).when(later.isNotNull() & (n > 2), _told_to(q, acc["v"], k)).otherwise(once)
             return F.struct(v.cast("long").alias("v"), n.alias("uses"))
 
         begin = F.struct(number(text, r"starts with (\d+) ").alias("v"), F.lit(0).alias("uses"))
         return F.aggregate(steps, begin, step, lambda acc: acc["v"])
 
     known = F.when(thing.isNotNull() & simple.isNotNull(), F.lit(True))
-    return F.when(known, let(_phrase(simple), lambda p: let(_phrase(F.coalesce(later, simple)), lambda q: run(p, q))).cast("string"))
+    return F.when(known, let(simple, lambda p: let(F.coalesce(later, simple), lambda q: run(p, q))).cast("string"))
 
 
 # --- orders and sequences
@@ -218,7 +223,8 @@ def worlds(statements: Column, n: Column) -> Column:
 
 
 def _island(text: Column, answer: Callable[[Column, Column, Column], Column]) -> Column:
-    return let(people_of(text), lambda people: let(statements_of(text, people), lambda said: answer(people, said, F.size(people))))
+    """The answer from people, statements and number of people; null where there are too many to go through."""
+    return let(people_of(text), lambda people: F.when(F.size(people) <= MOST_ISLANDERS, let(statements_of(text, people), lambda said: answer(people, said, F.size(people)))))
 
 
 def _is_knight(m: Column, i: Column) -> Column:
@@ -298,7 +304,7 @@ def composed(text: Column) -> Column:
 
 def planning_blocksworld(text: Column) -> Column:
     part = lambda name: first(text, rf"{name} configuration: ([^\n]+)\n")
-    return least_moves_told(part("Initial"), part("Goal")).cast("string")
+    return fewest_told(part("Initial"), part("Goal")).cast("string")
 
 
 def theory_of_mind(text: Column) -> Column:

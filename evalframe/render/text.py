@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
+
+from ..functions.stats import DROP_FULL, ECE_FULL
 
 BLOCKS, SPARKS = " ▏▎▍▌▋▊▉█", "▁▂▃▄▅▆▇█"
 RED, YELLOW, GREEN = 31, 33, 32
@@ -36,22 +39,55 @@ def coloured(text: str, good: float | None, colour: bool) -> str:
     return f"\x1b[{GREEN if good >= 0.66 else YELLOW if good >= 0.33 else RED}m{text}\x1b[0m"
 
 
+def glyph(good: float | None, plain: bool = False) -> str:
+    """A mark for a goodness of 0 to 1: thirds, from the top."""
+    if good is None:
+        return " "
+    marks = ".o*" if plain else "○◐●"
+    return marks[(good >= 0.33) + (good >= 0.66)]
+
+
+def ece_goodness(ece: float | None) -> float | None:
+    return None if ece is None else 1 - min(1.0, ece / ECE_FULL)
+
+
+def drop_goodness(drop: float | None) -> float | None:
+    return None if drop is None else max(0.0, 1 - max(drop, 0.0) / DROP_FULL)
+
+
+def shorten(words: str | None, width: int) -> str:
+    """At most ``width`` characters, the last of them an ellipsis if something is left out."""
+    words = words or ""
+    return words if len(words) <= width else words[: max(0, width - 1)] + "…"
+
+
+def moment(at: datetime | None) -> str:
+    """A time in the local zone."""
+    return "—" if at is None else f"{at.astimezone():%Y-%m-%d %H:%M:%S}"
+
+
 def row(label: str, value: float | None, good: float | None = None, plain: bool = False, colour: bool = False, note: str = "") -> str:
     return f"  {label:<18} {coloured(meter(value, plain=plain), value if good is None else good, colour)} {number(value)}{'  ' + note if note else ''}"
 
 
-def dashboard(run: dict, families: Sequence[dict], curve: Sequence[dict], plain: bool = False, colour: bool = False) -> list[str]:
-    """Lines about one run: its profile row, its families (``family, accuracy, above_chance``) and their curves (``family, difficulty, mean``)."""
+def dashboard(run: dict, families: Sequence[dict], curve: Sequence[dict], plain: bool = False, colour: bool = False, drops: Sequence[dict] = ()) -> list[str]:
+    """Lines about one run: its profile row, its families (``family, accuracy, above_chance``), their curves (``family, difficulty, mean``) and what distractors cost them (``family, drop``)."""
     lines = [f"run {run['run_id']}: {run['n_items']} items x {run['samples_per_item']}", "HEADLINE"]
     for label, key, better in (("overall acc", "overall_accuracy", 1), ("strict acc", "strict_accuracy", 1), ("coverage", "coverage", 1), ("calibration ECE", "ece", -1), ("answer-flip", "answer_flip_rate", -1), ("confabulation", "confabulation_rate", -1)):
         value = run.get(key)
-        lines.append(row(label, value, None if value is None or better > 0 else 1 - value, plain, colour))
+        good = ece_goodness(value) if key == "ece" else None if value is None or better > 0 else 1 - value
+        lines.append(row(label, value, good, plain, colour))
     if run.get("maj_at_k") is not None:
         lines.append(f"  pass@1 {number(run['pass_at_1'])} -> maj@{run['k']} {number(run['maj_at_k'])} -> oracle {number(run['pass_at_k_oracle'])}  headroom {number(run['frontier_headroom'])}")
     lines.append("FAMILIES")
     for f in sorted(families, key=lambda x: x["family"]):
         points = [c["mean"] for c in sorted((c for c in curve if c["family"] == f["family"]), key=lambda c: c["difficulty"])]
         lines.append(row(f["family"], f["accuracy"], plain=plain, colour=colour, note=sparkline(points, plain=plain)))
+    if drops:
+        lines.append("DISTRACTORS")
+        for d in sorted(drops, key=lambda x: x["family"]):
+            good = drop_goodness(d["drop"])
+            lines.append(f"  {d['family']:<18} {coloured(glyph(good, plain), good, colour)} drop {number(d['drop'])}")
     if run.get("n_calls") is not None:
         lines += ["RUNTIME", f"  {run['n_calls']} calls, {run['failed_calls']} failed; latency p50 {run['latency_p50_ms']} ms, p95 {run['latency_p95_ms']} ms"]
     if run.get("reasoning_available"):

@@ -1,10 +1,11 @@
 """Stored tables: appended batches in parquet, of which the latest row of each key counts.
 
 A write appends a batch and never touches older files, so a write that fails
-leaves the table as it was, and concurrent readers see whole batches. Reading
-reduces to the latest row of each key with an aggregate that combines before its
-shuffle, so a key that is written very often is no hot spot. ``compact`` folds
-the batches into one.
+leaves the table as it was, and concurrent readers see whole batches. A batch
+holds a key once. Reading finds the last batch of each key with an aggregate of
+keys alone, which combines before its shuffle, so a key that is written very
+often is no hot spot, and takes the rows by it. ``compact`` folds the batches
+into one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +26,51 @@ SECRETS = ("api_key", "authorization", "token", "password")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``; where that is unset, one of our own) and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: on a cluster ``spark.checkpoint.dir`` must name it, in local mode one of our own will do."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def latest(rows: DataFrame, keys: tuple[str, ...] | list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is last by ``order``; rows that tie there are told apart by their other columns, so the choice is the same each time."""
-    plain = [f.name for f in rows.schema.fields if f.name not in (*keys, *order) and not f.dataType.simpleString().startswith("map")]
-    rest = [c for c in rows.columns if c not in keys]
-    by = F.struct(*[F.col(c) for c in (*order, *plain)])
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("__row"))
+    """The row of each key that is last by ``order``; rows that tie there are told apart by their other columns, so the choice is the same each time.
+
+    For tables of narrow columns that can be ordered: the aggregate holds a row of
+    each key, once. Tables with texts take ``newest``.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__row"))
     return best.select(*keys, "__row.*").select(*rows.columns)
 
 
+def newest(rows: DataFrame, keys: tuple[str, ...] | list[str], batch: str) -> DataFrame:
+    """The rows of each key in the last batch that has it; a batch has a key once.
+
+    Only keys and batches are aggregated. Of the rows, the columns that are used
+    later are shuffled, once; the others are not even read.
+    """
+    last = rows.groupBy(*keys).agg(F.max(batch).alias("__last")).select("__last", *[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(last, same & (F.col(batch) >= F.col("__last")), "left_semi")
+
+
+def one_of_key(rows: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
+    """One row of each key, the same each time for the same rows (maps do not count in the choice)."""
+    plain = [f.name for f in rows.schema.fields if not f.dataType.simpleString().startswith("map")]
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.xxhash64(*plain)).alias("__row")).select(*keys, "__row.*").select(*rows.columns)
+
+
 def redact(params: F.Column) -> F.Column:
     """Run parameters without the values of secrets."""
     return F.transform_values(params, lambda k, v: F.when(F.lower(k).isin(*SECRETS) & (v != ""), "***").otherwise(v))
@@ -71,14 +101,14 @@ class Store:
         if table == "runs":
             whole = whole.withColumns({"params": redact(F.col("params")), "created_at": F.coalesce("created_at", F.current_timestamp())})
         batch = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-        whole.withColumn(BATCH, F.lit(batch)).write.mode("append").parquet(self._path(table))
+        one_of_key(whole, KEYS[table]).withColumn(BATCH, F.lit(batch)).write.mode("append").parquet(self._path(table))
 
     def read(self, table: str) -> DataFrame:
         """The table as it stands; no rows if nothing was written yet."""
         if not self._exists(table):
             return self.spark.createDataFrame([], SCHEMAS[table])
         rows = self.spark.read.schema(f"{SCHEMAS[table]}, {BATCH} string").parquet(self._path(table))
-        return latest(rows, KEYS[table], [BATCH]).drop(BATCH)
+        return newest(rows, KEYS[table], BATCH).drop(BATCH)
 
     def compact(self, table: str) -> None:
         """Fold all batches into one new folder and swap it in; run it when no writer is at work."""

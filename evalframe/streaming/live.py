@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import Store, latest, materialise
+from ..sources.store import Store, newest, shared_folder
 
 
-def windowed(events: DataFrame, time: str, keys: list[str], value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Number, sum and mean of a value by tumbling window and keys; state is dropped once the watermark has passed a window."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+def windowed(events: DataFrame, time: str, keys: list[str], value: str, width: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """Number, sum and mean of a value by tumbling window and keys; state is dropped once the watermark has passed a window, and kept without one (``late`` None)."""
+    marked = events.withWatermark(time, late) if events.isStreaming and late else events
     rates = marked.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
     return rates.select(F.col("w.start").alias("window_start"), *keys, "n", "total", (F.col("total") / F.col("n")).alias("mean"))
 
@@ -28,21 +28,21 @@ def upsert_stream(responses: DataFrame, store: Store, checkpoint: str, table: st
     return responses.writeStream.foreachBatch(lambda batch, _: store.upsert(table, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rates_so_far(spark: SparkSession, source: str, time: str, keys: list[str], value: str, width: str = "1 hour") -> DataFrame:
-    """Read a parquet folder as a stream to its present end, and give each window's latest state.
+def rates_so_far(spark: SparkSession, source: str, time: str, keys: list[str], value: str, width: str = "1 hour", files: int = 64) -> DataFrame:
+    """Read a parquet folder as a stream to its present end, ``files`` files a batch, and give each window's latest state.
 
     Updates go to the shared checkpoint folder as the stream emits them, batch
-    by batch, and the last one of each window counts.
+    by batch, and the last one of each window counts. The read is bounded, so
+    there is no watermark: rows count however late their file comes.
     """
-    materialise(spark.range(0))  # makes sure that there is a shared folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).parquet(f"{source}*").withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs instants
-    states = windowed(rows, time, keys, value, width)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{source}*").withColumn(time, F.col(time).cast("timestamp"))  # windows need instants
+    states = windowed(rows, time, keys, value, width, late=None)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/batch-{number}")
 
     query = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return latest(spark.read.parquet(f"{folder}/states/batch-*"), ["window_start", *keys], ["_batch"]).drop("_batch").withColumn("window_start", F.col("window_start").cast(schema[time].dataType))
+    return newest(spark.read.parquet(f"{folder}/states/batch-*"), ["window_start", *keys], "_batch").drop("_batch").withColumn("window_start", F.col("window_start").cast(schema[time].dataType))

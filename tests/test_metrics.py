@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from evalframe.operators import accuracy, compare, paired, runtime, sampling, uncertainty
@@ -177,3 +178,10 @@ def test_an_item_with_most_of_the_rows(evaluate):
     e = evaluate([item("a"), item("b")], rows)
     r = {x.item_id: x for x in e.votes.collect()}["a"]
     assert (r.winner, r.n_votes, r.n_options) == ("0", 3000, 5)
+
+
+def test_percentiles_where_few_values_have_most_rows(spark):
+    rows = [("a", 5.0)] * 900 + [("a", float(x)) for x in range(50)] + [("b", 1.0)] * 3 + [("b", None), ("c", float("nan")), (None, 4.0)]
+    got = {r.k: (r.n, r.p10, r.p50, r.p99) for r in sampling.ranked_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    own = [v for k, v in rows if k == "a"]
+    assert got == {"a": (950, *map(pytest.approx, np.percentile(own, [10, 50, 99]))), "b": (3, 1.0, 1.0, 1.0), None: (1, 4.0, 4.0, 4.0)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalframe.operators import accuracy, paired, respond
 from evalframe.operators.tidy import Evaluation
-from evalframe.problems import build, planning, spec, verify
+from evalframe.problems import build, planning, replan, spec, verify
 
 NAMES = [f.name for f in spec.FAMILIES]
 
@@ -103,3 +103,27 @@ def test_the_stand_in_reproduces_published_figures(spark):
     surface = {r.family: (round(r.answer_flip_rate, 4), round(r.surface_accuracy, 4)) for r in paired.invariance(e.frame, "family").collect()}
     assert {k: v[1] for k, v in surface.items()} == {k: v[1] for k, v in SURFACE.items()}
     assert {k: v[0] for k, v in surface.items() if k != "ordering"} == {k: v[0] for k, v in SURFACE.items() if k != "ordering"}  # the order of choices is our own
+
+
+def test_two_searches_for_shortest_plans_agree():
+    """By stacks and by supports, over all ways to put four blocks."""
+    def stackings(blocks):
+        if not blocks:
+            return [[]]
+        first, *others = blocks
+        return [[[first], *s] for s in stackings(others)] + [s[:i] + [s[i][:j] + [first] + s[i][j:]] + s[i + 1 :] for s in stackings(others) for i in range(len(s)) for j in range(len(s[i]) + 1)]
+
+    ways = stackings("ABCD")
+    supports = lambda stacks: {x: (s[i - 1] if i else "") for s in stacks for i, x in enumerate(s)}
+    assert len(ways) == 73
+    for begin in ways[::3]:
+        for end in ways[::5]:
+            assert planning.shortest(begin, end) == replan.fewest(supports(begin), supports(end))
+    assert replan.fewest({"A": ""}, {"B": ""}) is None and planning.shortest([["A"]], [["B"]]) is None
+
+
+def test_more_islanders_than_are_gone_through_settle_nothing(spark):
+    names = [f"N{chr(65 + i)}" for i in range(9)]
+    text = f"The islanders are {', '.join(names)}. " + " ".join(f"{n} says that {n} is a knight." for n in names) + " Is NA a knight or a knave?"
+    df = spark.createDataFrame([(text,)], "p string")
+    assert df.select(verify.unsat_csp(F.col("p")).alias("a"), verify.knights_knaves(F.col("p")).alias("b")).first() == (None, None)

@@ -121,6 +121,11 @@ def test_late_rows_and_repeated_arrivals(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     got = {(str(r.window_start), r.k): (r.n, r["mean"]) for r in live.rates_so_far(spark, str(tmp_path / "in"), "ts", ["k"], "v").collect()}
     assert got == {("2024-01-01 00:00:00", "a"): (2, 2.0), ("2024-01-01 01:00:00", "b"): (1, 5.0)}
+    later = spark.sql("select timestamp'2024-01-09 00:00:00' ts, 'a' k, 7.0 v")  # files out of order, one a batch: the last is a week behind
+    for part in (later, spark.sql("select timestamp'2024-01-01 00:59:00' ts, 'a' k, 5.0 v")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    one_by_one = {(str(r.window_start), r.k): (r.n, r["mean"]) for r in live.rates_so_far(spark, str(tmp_path / "in"), "ts", ["k"], "v", files=1).collect()}
+    assert one_by_one == {("2024-01-01 00:00:00", "a"): (3, 3.0), ("2024-01-01 01:00:00", "b"): (1, 5.0), ("2024-01-09 00:00:00", "a"): (1, 7.0)}
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     query = live.first_arrivals(stream, ["k"], "ts").writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()

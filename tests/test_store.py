@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from evalframe.operators import accuracy
+from evalframe.operators.items import by_item
 from evalframe.sources import store as s
 from evalframe.sources.schema import ERROR, RESPONSES
 
@@ -23,6 +27,26 @@ def test_upsert_replaces_by_key(spark, tmp_path):
     assert store.read("responses").where("item_id = 'b'").first().raw == "z"
 
 
+def test_a_batch_keeps_one_row_of_a_key(spark, tmp_path):
+    store = s.Store(spark, str(tmp_path))
+    batch = spark.createDataFrame([_row("a", 0, x) for x in "xyz"] + [(None, *_row("a", 0, "n")[1:])], RESPONSES)
+    store.upsert("responses", batch.repartition(4))
+    kept = sorted((r.run_id or "", r.raw) for r in store.read("responses").collect())
+    assert len(kept) == 2 and kept[0] == ("", "n")
+    store.upsert("responses", batch.repartition(1))
+    assert sorted((r.run_id or "", r.raw) for r in store.read("responses").collect()) == kept
+
+
+def test_texts_are_neither_read_nor_shuffled_by_metrics_without_them(spark, tmp_path):
+    store = s.Store(spark, str(tmp_path))
+    store.upsert("responses", spark.createDataFrame([_row("a", 0, "x"), _row("b", 0, "x")], RESPONSES))
+    store.upsert("items", spark.createDataFrame([("a", "arithmetic", 1, "base"), ("b", "arithmetic", 2, "base")], "item_id string, family string, difficulty int, probe string"))
+    overall = accuracy.overall(by_item(store.read("responses"), store.read("items")))
+    assert overall.first().accuracy == 1.0
+    plan = overall._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and not re.search(r"\braw\b", plan) and not re.search(r"\bprompt\b", plan)
+
+
 def test_secrets_do_not_reach_the_store(spark, tmp_path):
     store = s.Store(spark, str(tmp_path))
     store.upsert("runs", spark.createDataFrame([("r", "m", {"api_key": "sk-1", "mode": "x"})], "run_id string, model string, params map<string,string>"))
