@@ -25,7 +25,7 @@ RUN = r"[A-Za-z0-9+/_.-]{16,}+={0,2}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 #: A run is a candidate if, without trailing stops and joints, it still has 16 characters and both letters and digits, or is such a header.
 TAIL, LEAST = r"(?<![+/_.-])[+/_.-]+$", 16
 #: A name that speaks of a secret and what assigns to it; the value behind is a candidate too if it has SHORT characters, whatever they are.
-ASSIGN = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?"
+ASSIGN = r"(?=[acpstACPST])(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?"
 VALUE, SHORT = r"[^\s\"'`,;<>]", 6
 #: Where the value begins with a run of 16, that run is what counts.
 PATTERN = RUN + "|" + ASSIGN + "(?![A-Za-z0-9+/_.-]{16})" + VALUE + "{6,}+"
