@@ -174,6 +174,11 @@ SELECT vec_id, round(any_value(m), 9) AS token_entropy_mean, round(max(h), 9) AS
 UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL FROM embeddings WHERE coalesce(len(embedding), 0) = 0"""
 
 
+#: Every response with its item's dimensions.
+_EXPORT = """, x AS (SELECT item_id, run_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, coalesce(family, '(unknown)') AS family, difficulty, probe, gold
+  FROM responses LEFT JOIN items USING (item_id))"""
+
+
 def _messages() -> str:
     from ..operators import messages as m
 
@@ -181,10 +186,10 @@ def _messages() -> str:
     how_int = q(m.FORMAT + m.CONFIDENCE)
     how_choice = q(m.FORMAT + m.OPTIONS + "yes, no." + m.CONFIDENCE)
     return f"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 2 * len(lines) ELSE 2 END AS n_messages,
-  'system|' || {q(m.SYSTEM)} || chr(10) || CASE WHEN doc_id % 2 = 1 THEN 'user|' || array_to_string(lines, chr(10) || 'assistant|' || {q(m.READY)} || chr(10) || 'user|') || chr(10) || chr(10) || {how_int}
-    ELSE 'user|' || text || chr(10) || chr(10) || {how_choice} END AS s FROM d)
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, doc_id % 2 = 1 AS odd FROM documents),
+m AS (SELECT doc_id, CASE WHEN odd AND text IS NOT NULL THEN 2 * len(lines) ELSE 2 END AS n_messages,
+  'system|' || {q(m.SYSTEM)} || chr(10) || CASE WHEN odd AND text IS NOT NULL THEN 'user|' || array_to_string(lines, chr(10) || 'assistant|' || {q(m.READY)} || chr(10) || 'user|') || chr(10) || chr(10) || {how_int}
+    ELSE 'user|' || concat_ws(chr(10) || chr(10), text, CASE WHEN odd THEN {how_int} ELSE {how_choice} END) END AS s FROM d)
 SELECT doc_id, CAST(n_messages AS BIGINT) AS n_messages, sha256(s) AS messages_sha256 FROM m"""
 
 
@@ -288,10 +293,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT a.run_id AS run_1, b.run_id AS run_2, a.dataset_tag AS tag_1, b.dataset_tag AS tag_2, count(*) AS shared_families FROM rf a JOIN rf b USING (family) WHERE a.run_id < b.run_id AND a.dataset_tag <> b.dataset_tag GROUP BY ALL""",
         "leaderboard": _leaderboard(),
         "metrics_tidy": _tidy(),
-        "results_export_rows": f"""{STAR} SELECT item_id, run_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, coalesce(family, '(unknown)') AS family, difficulty, probe, gold
-          FROM responses LEFT JOIN (SELECT item_id, family, difficulty, probe, gold FROM items WHERE item_id % 7 <> 0) USING (item_id)""",
-        "results_export_all": f"""{STAR} SELECT item_id, run_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, coalesce(family, '(unknown)') AS family, difficulty, probe, gold
-          FROM responses LEFT JOIN items USING (item_id)""",
+        "results_export_rows": f"{STAR}{_EXPORT} SELECT * FROM x",
+        "results_export_all": f"{STAR}{_EXPORT} SELECT x.*, model, dataset_tag, created_at FROM x LEFT JOIN runs USING (run_id)",
         "token_entropy_stats": _entropy(),
         "stream_event_fold": """SELECT doc_id, sha256(replace(coalesce(text, ''), chr(10), '')) AS text_sha256, n_chars AS prompt_tokens, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS completion_tokens,
           CAST(CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS thinking_tokens, 0.125::DOUBLE AS ttft, CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE END AS first_reasoning, 1.0::DOUBLE AS answer_wall FROM documents""",

@@ -181,16 +181,14 @@ def metrics_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses with their item's dimensions, orphans kept, as an export holds them."""
-    known = star.items(spark, sf_dir).where("item_id % 7 <> 0").select("item_id", "family", "difficulty", "probe", "gold")
+    """Responses with their item's dimensions, orphans kept, by the join of the export itself."""
     r = star.responses(spark, sf_dir).select("run_id", "item_id", "sample_idx", "raw", "parsed", "correct", "confidence")
-    return rounded(r.join(known, "item_id", "left").withColumn("family", F.coalesce("family", F.lit("(unknown)"))))
+    return rounded(report.with_dimensions(r, star.items(spark, sf_dir)))
 
 
 def results_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all items, by the join of the export itself."""
-    r = star.responses(spark, sf_dir).select("run_id", "item_id", "sample_idx", "raw", "parsed", "correct", "confidence")
-    return rounded(report.with_dimensions(r, star.items(spark, sf_dir)))
+    """The same with what an export says about the run."""
+    return results_export_rows(spark, sf_dir).join(star.runs(spark, sf_dir), "run_id", "left")
 
 
 def token_entropy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +215,9 @@ def telemetry_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an item: odd ones as several turns, a line each; the others as one prompt with choices."""
-    docs = star.table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    odd = F.col("doc_id") % 2 == 1
+    """Every text as an item: odd ones as several turns, a line each; the others as one prompt with choices. A null text leaves the instructions alone."""
+    docs = star.table(spark, sf_dir, "documents")
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
     how = messages.instructions(F.when(odd, "int").otherwise("choice"), F.when(~odd, F.array(F.lit("yes"), F.lit("no"))), ask_confidence=True)
     m = docs.select("doc_id", messages.build(F.col("text"), F.when(odd, F.split("text", "\n")), how).alias("m"))
     return rounded(m.select("doc_id", F.size("m").alias("n_messages"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("|"), x["content"])), "\n"), 256).alias("messages_sha256")))

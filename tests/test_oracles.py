@@ -51,3 +51,15 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_all_queries_but_those_without_sql_have_an_oracle():
     assert set(queries()) - set(ORACLES) == {"gen_dataset", "mock_run_profile"}
+
+
+def test_messages_of_null_and_empty_texts(spark, tmp_path):
+    docs = [(1, "a\nb"), (2, "a\nb"), (3, None), (4, None), (5, ""), (6, ""), (None, "x"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLES["build_messages"])
+    columns, expected = [c[0] for c in want.description], want.fetchall()
+    df = queries()["build_messages"](spark, str(tmp_path))
+    got = rows(df.columns, df.collect())
+    assert got == rows(columns, expected) and len(got) == len(docs)
