@@ -41,6 +41,12 @@ def degradation(frame: DataFrame) -> DataFrame:
     return cell.withColumn("w", st.wilson(F.col("k"), F.col("n"))).select("run_id", "family", "difficulty", "n", "w.mean", "w.lo", "w.hi", F.sqrt(p * (1 - p)).alias("std"))
 
 
+def error_bars(curve: DataFrame) -> DataFrame:
+    """The points of ``degradation`` with the lengths of their error bars; rounding never makes one negative."""
+    length = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0.0))
+    return curve.select("run_id", "family", "difficulty", "mean", length("mean", "lo").alias("below"), length("hi", "mean").alias("above"))
+
+
 def chance(frame: DataFrame) -> DataFrame:
     """By family: accuracy, what always guessing the commonest gold would reach, and accuracy above that. Unbounded integers have no chance."""
     golds = base_answered(frame).groupBy("run_id", "family", "gold").agg(F.count("*").alias("n"), st.count_if(F.col("s0_correct")).alias("k"))

@@ -18,6 +18,13 @@ def run_families(responses: DataFrame, items: DataFrame) -> DataFrame:
     return asked.groupBy("run_id", "family").agg(F.count("*").alias("__n")).drop("__n")
 
 
+def families_together(families: DataFrame) -> DataFrame:
+    """``(family, n_runs, in_all)`` from the families of each run: all that any run has, and whether every run has it."""
+    runs = families.agg(F.countDistinct("run_id").alias("of"))
+    counted = families.groupBy("family").agg(F.count("*").alias("n_runs"))
+    return counted.crossJoin(F.broadcast(runs)).select("family", "n_runs", (F.col("n_runs") == F.col("of")).alias("in_all"))  # one row beside each family
+
+
 def tag_mismatch(runs: DataFrame, families: DataFrame) -> DataFrame:
     """Pairs of runs over different dataset tags that share families, with how many they share."""
     tagged = families.join(runs.select("run_id", F.coalesce("dataset_tag", F.lit("")).alias("tag")), "run_id")

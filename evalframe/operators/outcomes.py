@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as st
 from ..functions.text import quoted
 from ..sources.schema import ERROR
+from .sampling import numbered
 
 OUTCOMES = ("solved", "wrong", "errored")
 
@@ -51,6 +52,12 @@ def in_order(outcomes: DataFrame) -> DataFrame:
     return outcomes.orderBy("run_id", F.coalesce("family", F.lit("")), F.coalesce("difficulty", F.lit(0)), "item_id")
 
 
+def with_place(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with their ``position``, from 0, in that order over all runs; no task sees all of them."""
+    told = outcomes.withColumns({"__family": F.coalesce("family", F.lit("")), "__difficulty": F.coalesce("difficulty", F.lit(0))})
+    return numbered(told, ["run_id", "__family", "__difficulty", "item_id"]).drop("__family", "__difficulty")
+
+
 def by_family(outcomes: DataFrame) -> DataFrame:
     """Counts of each outcome and the accuracy among answered items, by family."""
     family = F.coalesce("family", F.lit("(unknown)"))

@@ -193,6 +193,20 @@ m AS (SELECT doc_id, CASE WHEN odd AND text IS NOT NULL THEN 2 * len(lines) ELSE
 SELECT doc_id, CAST(n_messages AS BIGINT) AS n_messages, sha256(s) AS messages_sha256 FROM m"""
 
 
+def _sequential(query: str) -> str:
+    """SQL of the two queries on messages of several turns."""
+    from ..operators import messages as m
+
+    q = fixtures.sql_value
+    how, end = q(m.FORMAT), "chr(10)"
+    d = f"WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), {end}) AS turns FROM documents)"
+    if query == "by_role":
+        chat = f"'user|' || array_to_string(turns, {end} || 'assistant|' || {q(m.READY)} || {end} || 'user|') || {end} || {end} || {how}"
+        return f"{d} SELECT doc_id, {q(m.SYSTEM)} AS system, CAST(2 * len(turns) - 1 AS BIGINT) AS n_chat, sha256({chat}) AS chat_sha256 FROM d"
+    asked = f"list_transform(turns, lambda x, i: 'user|' || x || {end} || {end} || {how} || CASE WHEN i < len(turns) THEN {end} || 'assistant|' || CAST(length(x) AS VARCHAR) ELSE '' END)"
+    return f"{d} SELECT doc_id, CAST(2 * len(turns) AS BIGINT) AS n_messages, sha256('system|' || {q(m.SYSTEM)} || {end} || array_to_string({asked}, {end})) AS messages_sha256 FROM d"
+
+
 def _tidy() -> str:
     def long(source: str, family: str = "NULL", difficulty: str = "NULL", **metrics: str) -> str:
         return " UNION ALL ".join(f"SELECT run_id, '{name}' AS metric, {family} AS family, {difficulty} AS difficulty, round({column}, 4) AS value FROM {source}" for name, column in metrics.items())
@@ -233,6 +247,7 @@ def oracle_sql() -> dict[str, str]:
     fixture = fixtures.sql_rows(tuple((r[0], *r[5:]) for r in fixtures.GRADED), "id, parsed, source, correct, strict_parsed, strict_source, confidence")
     out = {
         "degradation_wilson": f"{STAR}{_DEGRADATION} SELECT run_id, family, difficulty, n, {r9('mean', 'lo', 'hi', 'std')} FROM curve",
+        "degradation_error_bars": f"{STAR}{_DEGRADATION} SELECT run_id, family, difficulty, round(mean, 9) AS mean, round(greatest(mean - lo, 0), 9) AS below, round(greatest(hi - mean, 0), 9) AS above FROM curve",
         "overall_accuracy": f"{STAR}{_OVERALL} SELECT run_id, {r9('accuracy')}, n FROM overall",
         "accuracy_by_family": f"{STAR} SELECT run_id, family, round(avg(ok), 9) AS accuracy, count(*) AS n FROM b GROUP BY ALL",
         "accuracy_grouping_sets": f"{STAR} SELECT run_id, family, grouping(family) = 1 AS total, count(*) AS n, round(avg(ok), 9) AS accuracy FROM b GROUP BY GROUPING SETS ((run_id), (run_id, family))",
@@ -257,6 +272,19 @@ def oracle_sql() -> dict[str, str]:
         "behavioral_uncertainty": f"""{STAR}{_PASSK}{_BINS}{_ECE}, e AS (SELECT run_id, avg(entropy) AS d FROM voted GROUP BY run_id)
           SELECT run_id, round(d, 9) AS disagreement_entropy, round(coalesce(maj, 0) - p1, 9) AS selfconsistency_gap, round(ece, 9) AS stated_confidence_ece FROM e JOIN pk USING (run_id) LEFT JOIN mj USING (run_id) LEFT JOIN ece USING (run_id)""",
         "response_upsert_latest": f"{STAR} SELECT run_id, item_id, CAST(sample_idx AS BIGINT) AS sample_idx, raw, parsed, correct, confidence, latency_ms, parse_source FROM responses",
+        "store_items_latest": f"""{STAR} SELECT CAST(item_id AS VARCHAR) AS item_id, family, difficulty, probe, probe = 'distractor' AS has_distractor, CAST(grp AS VARCHAR) AS grp,
+          CASE WHEN difficulty = 6 THEN gold || '!' ELSE gold END AS gold, 'O|F|UNDETERMINED' AS choices FROM items""",
+        "store_runs_latest": f"{STAR} SELECT run_id, model, dataset_tag AS tag, '***' AS api_key, CAST(created_at AS DATE) AS created_on FROM runs",
+        "store_telemetry_lookup": f"""{STAR} SELECT run_id, CAST(item_id AS VARCHAR) AS item_id, CAST(sample_idx AS BIGINT) AS sample_idx, CASE WHEN l_linenumber % 2 = 1 THEN 'native_usage' ELSE 'unavailable' END AS reasoning_token_source,
+          l_partkey % 500 AS prompt_tokens, l_suppkey % 900 + 100 AS completion_tokens, CASE WHEN l_linenumber % 2 = 1 THEN (l_suppkey % 900 + 100) // 3 ELSE 0 END AS reasoning_tokens FROM lines
+          QUALIFY row_number() OVER (ORDER BY run_id, CAST(item_id AS VARCHAR), sample_idx) = 1""",
+        "outcomes_in_order": f"{STAR}{_OUTCOME} SELECT run_id, item_id, outcome, row_number() OVER (ORDER BY run_id, coalesce(family, ''), coalesce(difficulty, 0), item_id) - 1 AS position FROM o",
+        "families_together": f"""{STAR}, rf AS (SELECT DISTINCT run_id, family FROM responses JOIN items USING (item_id))
+          SELECT family, count(*) AS n_runs, count(*) = (SELECT count(DISTINCT run_id) FROM rf) AS in_all FROM rf GROUP BY family""",
+        "messages_by_role": _sequential("by_role"),
+        "messages_next_turn": _sequential("next_turn"),
+        "sentences": r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS s FROM documents)
+          SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS BIGINT) AS longest, sha256(array_to_string(s, chr(10) || '--' || chr(10))) AS sentences_sha256 FROM s""",
         "done_items": f"{STAR} SELECT run_id, item_id FROM responses GROUP BY ALL HAVING count(*) FILTER (raw = '__ERROR__') = 0",
         "resume_todo": f"{STAR} SELECT item_id, family, difficulty, probe FROM items WHERE item_id NOT IN (SELECT item_id FROM responses WHERE run_id = 'r0' GROUP BY item_id HAVING count(*) FILTER (raw = '__ERROR__') = 0)",
         "difficulty_filter": f"{STAR} SELECT item_id, family, difficulty FROM items WHERE difficulty BETWEEN 5 AND 6",
@@ -326,5 +354,10 @@ def oracle_sql() -> dict[str, str]:
     out["gen_support_matrix"] = f"{dims} SELECT * FROM dims"
     out["gen_spec_counts"] = f"""{dims}, probes AS (SELECT * FROM (VALUES ('base', 1), ('distractor', 1), ('surface', 2)) p(probe, copies))
       SELECT family, probe, {POOL} * copies * least(6, coalesce(cap, 6)) AS n, least(6, coalesce(cap, 6)) AS hardest FROM dims, probes WHERE probe = 'base' OR (probe = 'distractor' AND distractor) OR (probe = 'surface' AND surface)"""
+    out["gen_identifiers"] = f"""{dims}, probes AS (SELECT * FROM (VALUES ('base', 0), ('distractor', 0), ('surface', 1), ('surface', 2)) p(probe, surface_seed)),
+      g AS (SELECT dims.*, d AS difficulty, r AS structure_seed, probe, surface_seed FROM dims, probes, range(1, 7) a(d), range({POOL}) b(r)
+        WHERE d <= coalesce(cap, 6) AND (probe = 'base' OR (probe = 'distractor' AND distractor) OR (probe = 'surface' AND surface)))
+      SELECT substr(sha1(concat_ws('|', family, difficulty, structure_seed, surface_seed, CASE WHEN probe = 'distractor' THEN 'True' ELSE 'False' END, probe)), 1, 16) AS item_id, family, difficulty, structure_seed,
+        CAST(surface_seed AS BIGINT) AS surface_seed, probe = 'distractor' AS has_distractor, probe, family || '-d' || difficulty || '-r' || structure_seed AS grp, answer_type FROM g"""
     out["stream_event_rates"] = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 9) AS total, round(sum(value) / count(*), 9) AS mean FROM events GROUP BY ALL"""
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,35 @@ def response_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("run_id", "item_id", "sample_idx", "raw", "parsed", "correct", "confidence", "latency_ms", F.col("metadata.parse_source").alias("parse_source")))
 
 
+def _store(spark: SparkSession) -> store.Store:
+    return store.Store(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+def store_items_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items through a stored table: all of them, then the hardest again with other golds, of which the later count."""
+    s, items = _store(spark), star.items(spark, sf_dir)
+    s.upsert("items", items)
+    s.upsert("items", items.where("difficulty = 6").withColumn("gold", F.concat("gold", F.lit("!"))))
+    return rounded(s.read("items").select("item_id", "family", "difficulty", "probe", "has_distractor", "grp", "gold", F.array_join("choices", "|").alias("choices")))
+
+
+def store_runs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs stored twice: the later row counts, and a secret among its parameters is not stored."""
+    s, runs = _store(spark), star.runs(spark, sf_dir)
+    s.upsert("runs", runs.withColumn("model", F.lit("before")))
+    s.upsert("runs", runs.withColumn("params", F.create_map(F.lit("api_key"), F.lit("x"), F.lit("tag"), F.col("dataset_tag"))))
+    return s.runs().select("run_id", "model", F.col("params")["tag"].alias("tag"), F.col("params")["api_key"].alias("api_key"), F.col("created_at").cast("date").alias("created_on"))
+
+
+def store_telemetry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored telemetry of one response: the first in the order of the keys as stored."""
+    s = _store(spark)
+    s.upsert("telemetry", star.telemetry(spark, sf_dir))
+    key = s.read("telemetry").agg(F.min(F.struct("run_id", "item_id", "sample_idx")).alias("k")).select("k.*").first()
+    found = s.telemetry_of(*key) if key and key.run_id is not None else s.read("telemetry")
+    return rounded(found.select("run_id", "item_id", "sample_idx", "reasoning_token_source", "prompt_tokens", "completion_tokens", "reasoning_tokens"))
+
+
 def done_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.done_items(star.responses(spark, sf_dir))
 
@@ -148,6 +178,10 @@ def item_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_evaluation(spark, sf_dir).outcomes())
 
 
+def outcomes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcomes.with_place(_evaluation(spark, sf_dir).outcomes()).select("run_id", "item_id", "outcome", "position"))
+
+
 def outcomes_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.by_family(_evaluation(spark, sf_dir).outcomes()))
 
@@ -168,6 +202,10 @@ def run_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.run_families(star.responses(spark, sf_dir), star.items(spark, sf_dir))
 
 
+def families_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.families_together(run_families(spark, sf_dir))
+
+
 def run_tag_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.tag_mismatch(star.runs(spark, sf_dir), run_families(spark, sf_dir)))
 
@@ -223,6 +261,35 @@ def build_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select("doc_id", F.size("m").alias("n_messages"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("|"), x["content"])), "\n"), 256).alias("messages_sha256")))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an item of several turns, a line each, and how to answer it."""
+    how = messages.instructions(F.lit("int"), F.lit(None).cast("array<string>"))
+    return star.table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("turns"), how.alias("how"))
+
+
+def _spoken(chat: F.Column) -> F.Column:
+    return F.sha2(F.array_join(F.transform(chat, lambda x: F.concat(x["role"], F.lit("|"), x["content"])), "\n"), 256)
+
+
+def messages_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The system text apart from the others."""
+    told = _turns(spark, sf_dir).select("doc_id", messages.by_role(messages.build(F.lit(None).cast("string"), F.col("turns"), F.col("how"))).alias("m"))
+    return rounded(told.select("doc_id", "m.system", F.size("m.chat").alias("n_chat"), _spoken(F.col("m.chat")).alias("chat_sha256")))
+
+
+def messages_next_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent for the last turn, after real replies to all before: here, as many characters as were asked."""
+    replies = F.transform(F.slice("turns", F.lit(1), F.size("turns") - 1), lambda x: F.length(x).cast("string"))
+    sent = _turns(spark, sf_dir).select("doc_id", messages.next_turn(F.col("turns"), replies, F.col("how")).alias("m"))
+    return rounded(sent.select("doc_id", F.size("m").alias("n_messages"), _spoken(F.col("m")).alias("messages_sha256")))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = star.table(spark, sf_dir, "documents").select("doc_id", t.sentences(F.col("text")).alias("s"))
+    longest = F.array_max(F.transform("s", lambda x: F.length(x)))
+    return rounded(split.select("doc_id", F.when(F.col("s").isNotNull(), F.size("s")).alias("n_sentences"), longest.alias("longest"), F.sha2(F.array_join("s", "\n--\n"), 256).alias("sentences_sha256")))
+
+
 def seed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("item|"), F.col("o_orderkey").cast("string"))
     return star.table(spark, sf_dir, "orders").select("o_orderkey", t.seed32(key).alias("seed"), t.short_id(F.lit("item"), F.col("o_orderkey").cast("string")).alias("short_id"))
@@ -267,6 +334,11 @@ def gen_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_problems(spark).select("item_id", "family", "difficulty", "probe", "grp", "answer_type", "gold", "prompt"))
 
 
+def gen_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells the items of the pool apart: identifiers, seeds, groups and probes."""
+    return rounded(_problems(spark).select("item_id", "family", "difficulty", "structure_seed", "surface_seed", "has_distractor", "probe", "grp", "answer_type"))
+
+
 def gen_spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spec.specifications(spark, None, 1, 6, POOL, distractor=True, surface=2).groupBy("family", "probe").agg(F.count("*").alias("n"), F.max("difficulty").alias("hardest")))
 
@@ -295,7 +367,7 @@ def mock_run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
-        "degradation_wilson": _on_frame(accuracy.degradation), "overall_accuracy": _on_frame(accuracy.overall), "accuracy_by_family": _on_frame(accuracy.by_family),
+        "degradation_wilson": _on_frame(accuracy.degradation), "overall_accuracy": _on_frame(accuracy.overall), "degradation_error_bars": _on_frame(lambda f: accuracy.error_bars(accuracy.degradation(f))), "accuracy_by_family": _on_frame(accuracy.by_family),
         "accuracy_grouping_sets": _on_frame(accuracy.with_totals), "coverage": _on_frame(accuracy.coverage), "chance_baseline": _on_frame(accuracy.chance),
         "macro_above_chance": _on_frame(accuracy.macro_above_chance), "strict_accuracy": _on_frame(accuracy.strict), "ill_posed_rates": _on_frame(accuracy.ill_posed),
         "backtracking": _on_frame(accuracy.backtracking), "distractibility": _on_frame(paired.distractibility), "surface_groups": _on_frame(paired.surface_groups),
@@ -307,7 +379,8 @@ def queries() -> dict[str, Query]:
         response_upsert_latest, done_items, resume_todo, difficulty_filter, stride_limit, majority_vote_items, grading_fragility, regrade_responses, grade_transcripts, reparse_transcripts, grade_fixture,
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
-        provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile,
+        provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
+        outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}

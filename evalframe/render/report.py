@@ -107,11 +107,11 @@ def charts(e: Evaluation, labels: dict[str, str], folder: str) -> list[str]:
         plt.close(figure)
         made.append(f"{folder}/{file}.png")
 
-    curve = rows_of(accuracy.degradation(e.frame))
+    curve = rows_of(accuracy.error_bars(accuracy.degradation(e.frame)))
     figure, axes = plt.subplots(figsize=(9, 5))
     for key in sorted({(c["run_id"], c["family"]) for c in curve}):
         own = sorted((c for c in curve if (c["run_id"], c["family"]) == key), key=lambda c: c["difficulty"])
-        bars = [[max(0, c["mean"] - c["lo"]) for c in own], [max(0, c["hi"] - c["mean"]) for c in own]]
+        bars = [[c[side] for c in own] for side in ("below", "above")]
         axes.errorbar([c["difficulty"] for c in own], [c["mean"] for c in own], yerr=bars, label=f"{name(own[0])} {key[1]}", capsize=2)
     axes.set(xlabel="difficulty", ylabel="accuracy", ylim=(0, 1))
     axes.legend(fontsize=6)
