@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from evalframe.operators import accuracy, compare, paired, runtime, sampling, uncertainty
+from evalframe.operators import accuracy, compare, outcomes, paired, runtime, sampling, uncertainty
 from evalframe.operators.tidy import Evaluation
 from evalframe.sources.schema import ERROR, ITEMS, RESPONSES, TELEMETRY
 
@@ -185,3 +185,16 @@ def test_percentiles_where_few_values_have_most_rows(spark):
     got = {r.k: (r.n, r.p10, r.p50, r.p99) for r in sampling.ranked_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
     own = [v for k, v in rows if k == "a"]
     assert got == {"a": (950, *map(pytest.approx, np.percentile(own, [10, 50, 99]))), "b": (3, 1.0, 1.0, 1.0), None: (1, 4.0, 4.0, 4.0)}
+
+
+def test_families_together_and_error_bars(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "run_id string, family string")
+    assert {tuple(r) for r in compare.families_together(rows).collect()} == {("x", 2, True), ("y", 1, False)}
+    assert not compare.families_together(rows.limit(0)).collect()
+    curve = spark.createDataFrame([("a", "x", 1, 0.5, 0.25, 0.75), ("a", "x", 2, 1.0, 1.0 + 1e-12, 1.0)], "run_id string, family string, difficulty int, mean double, lo double, hi double")
+    assert [(r.below, r.above) for r in accuracy.error_bars(curve).orderBy("difficulty").collect()] == [(0.25, 0.25), (0.0, 0.0)]
+
+
+def test_place_of_unknown_items(spark):
+    rows = spark.createDataFrame([("a", "i2", "x", 1), ("a", "i1", None, None), ("a", "i3", "x", None), ("b", "i0", "x", 1)], "run_id string, item_id string, family string, difficulty int")
+    assert [r.item_id for r in outcomes.with_place(rows).orderBy("position").collect()] == ["i1", "i3", "i2", "i0"]
