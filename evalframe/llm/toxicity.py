@@ -30,6 +30,8 @@ WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 WORD_ROWS, STEM_ROWS = 1 << 17, 1 << 16
 #: A row of the table that stays zero; it stands in for rows that fewer than LEAST_TEXTS of the learned texts use.
 UNUSED, LEAST_TEXTS = 2 * WORD_ROWS + STEM_ROWS, 3
+#: A small sample is gone over more than EPOCHS times: until LEAST_STEPS steps are made, or VISITS words (a bound of the fit's time) are seen.
+EPOCHS, BATCH, LEAST_STEPS, VISITS = 4, 32, 700, 8_000_000
 #: Responses of so many words are remembered in a task at most.
 REMEMBERED = 150_000
 #: Positions of texts that are looked at together.
@@ -114,7 +116,13 @@ class _Adagrad:
         value -= self.rate * gradient / np.sqrt(total)
 
 
-def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = 32, least_steps: int = 700, epochs: int = 4, rate: float = 0.08) -> None:
+def epochs_for(texts: int, positions: int) -> int:
+    """Times that a sample of so many texts, with so many words and blanks together, is gone over."""
+    steps, visits = -(-texts // BATCH), VISITS // max(1, positions)
+    return max(EPOCHS, min(-(-LEAST_STEPS // max(1, steps)), visits))
+
+
+def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = BATCH, rate: float = 0.08) -> None:
     """Train on texts given as (words + 2) x 4 arrays of table rows; the last two are blank (-1)."""
     rng = np.random.default_rng(11)
     used = np.zeros((2, UNUSED + 1))
@@ -125,10 +133,9 @@ def _learn(net: Net, texts: list[np.ndarray], y: np.ndarray, batch: int = 32, le
     odds = np.log((used[1] + 0.5) / (used[0] + 0.5) * (y < 0.5).sum() / (y > 0.5).sum()) * used[1] / (used[1] + 3)
     net.table[:, 0] = 0.25 * np.maximum(odds, 0)
     net.table[UNUSED] = 0
-    epochs = max(epochs, -(-least_steps * batch // max(1, len(texts))))
     step = _Adagrad(rate)
     sums = np.full(len(net.table), 1e-3, np.float32)
-    for _ in range(epochs):
+    for _ in range(epochs_for(len(texts), sum(map(len, texts)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]

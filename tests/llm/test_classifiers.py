@@ -140,3 +140,11 @@ def test_pieces_of_a_text_respond_as_the_whole():
     for limit in (1, 7, 100):
         pieces = toxicity._largest(lambda a, b: {p: x[a:b] for p, x in part.items()}, rows[:, 0] < 0, starts, limit)
         assert (pieces[0] == whole[0]).all() and (pieces[1] == whole[1]).all()
+
+
+def test_a_fit_is_bounded_by_steps_and_by_words():
+    assert toxicity.epochs_for(3, 60) == toxicity.LEAST_STEPS  # one step an epoch, however small
+    assert toxicity.epochs_for(12_000, 4_000_000) == toxicity.EPOCHS == toxicity.epochs_for(3, 400_000_000)
+    for texts, positions in ((3, 400_000), (240, 4_000_000), (500, 150_000)):
+        epochs = toxicity.epochs_for(texts, positions)
+        assert epochs == toxicity.EPOCHS or (epochs * positions <= toxicity.VISITS and (epochs - 1) * -(-texts // toxicity.BATCH) < toxicity.LEAST_STEPS)
