@@ -51,6 +51,62 @@ FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts ON a = e.vec_id GRO
 """
 
 
+OP12 = r"""
+WITH given AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT c, turn, CAST(length(text) AS BIGINT) AS chars, sha256(strlen(role) || ':' || role || text) AS said FROM given),
+placed AS (SELECT c, said, chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, said) AS at FROM said),
+bits AS (
+  SELECT c, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS crc
+  FROM (SELECT DISTINCT c FROM given)),
+ids AS (SELECT c, xor(crc, 4294967295) % 6 AS h FROM bits),
+rebuilt AS (
+  SELECT i.c, b.at, b.said, b.chars FROM ids i JOIN placed b ON b.c = i.c - i.c % 100 AND b.at <= i.h
+  UNION ALL SELECT p.c, p.at, p.said, p.chars FROM placed p JOIN ids i ON p.c = i.c AND p.at > i.h),
+whole AS (SELECT i.c, coalesce(list(r.said ORDER BY r.at) FILTER (r.said IS NOT NULL), []) AS said, coalesce(list(r.chars ORDER BY r.at) FILTER (r.said IS NOT NULL), []) AS chars FROM ids i LEFT JOIN rebuilt r ON r.c = i.c GROUP BY i.c),
+starts AS (
+  SELECT c, d, len(said) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE chars[d] END AS chars, sha256(array_to_string(said[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(said[1:d - 1], ',')) END AS parent
+  FROM whole, range(0, len(said) + 1) AS r(d)),
+nodes AS (
+  SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM starts GROUP BY node),
+children AS (SELECT parent, count(*) AS n FROM nodes GROUP BY parent),
+own AS (SELECT x.*, coalesce(n, 0) AS n_children FROM nodes x LEFT JOIN children k ON k.parent = x.node),
+below AS (
+  SELECT s.node, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM own x JOIN starts s ON s.c = x.conv_id AND s.d <= x.depth GROUP BY s.node)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM own x JOIN below USING (node) LEFT JOIN nodes p ON p.node = x.parent
+"""
+
+
+OP13 = r"""
+WITH given AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+counted AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM given),
+firsts AS (SELECT text, min(doc_id) AS first FROM given GROUP BY text),
+said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+flagged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM counted JOIN firsts USING (text) LEFT JOIN said USING (doc_id)),
+letter AS (SELECT i, chr(64 + i::INT) AS l FROM range(1, 6) AS r(i)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT part, good, toxic, filter_order, s AS step, o[s] AS own, fails[o[s]] AS fail, list_bool_or(list_transform(o[1:s - 1], lambda k: fails[k])) AS gone,
+    list_bool_or(list_transform(o, lambda k: k <> o[s] AND fails[k])) AS others
+  FROM flagged, orders, range(1, 6) AS r(s)),
+counts AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, any_value(own) AS own, count(*) FILTER (NOT fail AND NOT coalesce(gone, false)) AS kept, count(*) FILTER (fail AND NOT coalesce(gone, false)) AS removed,
+    count(*) FILTER (fail AND coalesce(gone, false)) AS redundant, count(*) FILTER (fail AND NOT others) AS unique_fails,
+    count(*) FILTER (fail AND NOT coalesce(gone, false) AND good) AS good_lost, count(*) FILTER (fail AND NOT coalesce(gone, false) AND toxic) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counts
+"""
+
+
 def _op8() -> str:
     """The rules, then ten rounds of both walks written out: all of them where no walk over the edges is longer, as in the given tables."""
     fits = ", ".join(
@@ -90,4 +146,4 @@ FROM judged LEFT JOIN standing USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": OP3, "op8_url_filter": _op8(), "op9_warc": OP9, "op10_decontamination": OP10}
+    return {"op3_embeddings": OP3, "op8_url_filter": _op8(), "op9_warc": OP9, "op10_decontamination": OP10, "op12_prefix_trie": OP12, "op13_filter_audit": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embeddings, pii, quality, secrets, simhash, toxicity, urls, warc
+from . import audit, bpe, decontam, embeddings, pii, quality, rules, secrets, simhash, toxicity, trie, urls, warc
 from .common import read
 
 #: Where the ranks for op5 and the pipeline are; never copied into the repository.
@@ -55,8 +55,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(read(spark, sf_dir, "conversations")).drop("node")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_simhash, op3_embeddings, op4_pii, op5_bpe, op6_toxicity, op7_secrets, op8_url_filter, op9_warc, op10_decontamination)
+        for f in (
+            op1_quality, op2_simhash, op3_embeddings, op4_pii, op5_bpe, op6_toxicity, op7_secrets, op8_url_filter, op9_warc, op10_decontamination, op11_rules, op12_prefix_trie, op13_filter_audit,
+        )
     }
