@@ -1,27 +1,33 @@
-"""Stored tables: appended batches in parquet, of which the latest row of each key counts.
-
-A write appends a batch and never touches older files, so a write that fails
-leaves the table as it was, and concurrent readers see whole batches. A batch
-holds a key once. Reading finds the last batch of each key with an aggregate of
-keys alone, which combines before its shuffle, so a key that is written very
-often is no hot spot, and takes the rows by it. ``compact`` folds the batches
-into one.
+"""Stored tables: batches of rows in hash buckets of their keys, of which the latest row of each key counts.
+
+A table is a bucketed Parquet table below its folder. A write appends a file to
+each bucket that it has rows for and never touches older files. While it is at
+work its batch is marked as pending, and readers leave pending batches out, so
+they see whole batches and a write that fails is never seen. A batch holds a key
+once. All batches of a key lie in one bucket, so a read finds the last of them
+within its bucket, without a shuffle; files are sorted by key and have Bloom
+filters on their hash, so a row is looked up in one bucket by few pages.
+``compact`` folds the files of each bucket that has more than one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .schema import ERROR, KEYS, SCHEMAS
 
-BATCH = "_batch"
+BATCH, HASH = "_batch", "_hash"
+#: Hash buckets of a new table: about as many as its gigabytes will be.
+BUCKETS = 16
 SECRETS = ("api_key", "authorization", "token", "password")
 
 
@@ -64,72 +70,204 @@ def newest(rows: DataFrame, keys: tuple[str, ...] | list[str], batch: str) -> Da
     return rows.join(last, same & (F.col(batch) >= F.col("__last")), "left_semi")
 
 
-def one_of_key(rows: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
-    """One row of each key, the same each time for the same rows (maps do not count in the choice)."""
-    plain = [f.name for f in rows.schema.fields if not f.dataType.simpleString().startswith("map")]
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.xxhash64(*plain)).alias("__row")).select(*keys, "__row.*").select(*rows.columns)
-
-
 def redact(params: F.Column) -> F.Column:
     """Run parameters without the values of secrets."""
     return F.transform_values(params, lambda k, v: F.when(F.lower(k).isin(*SECRETS) & (v != ""), "***").otherwise(v))
 
 
+class Folder:
+    """A folder of small named files, wherever Spark can write: names and what they hold."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark.sparkContext._jvm, path
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str) -> object:
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._at(""))) if self.fs.exists(self._at("")) else []
+
+    def get(self, name: str) -> str | None:
+        if not self.fs.exists(self._at(name)):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> bool:
+        """Write the file if there is none of the name, all of it or nothing; whether it was written."""
+        beside = f".{name}-{uuid.uuid4().hex}"
+        stream = self.fs.create(self._at(beside), True)
+        stream.write(text.encode())
+        stream.close()
+        done = not self.fs.exists(self._at(name)) and self.fs.rename(self._at(beside), self._at(name))
+        self.fs.delete(self._at(beside), False)
+        return done
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), False)
+
+
 class Store:
-    """The tables ``items``, ``runs``, ``responses`` and ``telemetry`` below one folder."""
+    """The tables ``items``, ``runs``, ``responses`` and ``telemetry`` below one folder.
+
+    ``buckets`` counts for tables that are not there yet; a table keeps its number.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     def _path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _log(self, table: str, kind: str = "") -> Folder:
+        """Files about a table: its ``layout``, and below ``pending`` and ``names`` its batches."""
+        return Folder(self.spark, f"{self.folder}/{table}-log{'/' if kind else ''}{kind}")
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
+    def _exists(self, table: str) -> bool:
+        return self._log(table).get("layout") is not None
+
+    def _table(self, table: str) -> str:
+        """The session's name for the bucketed table, which is declared where it is not yet known."""
+        path = self._path(table)
+        name = f"{table}_{hashlib.md5(path.encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            n, place = int(self._log(table).get("layout")), path.replace("'", "\\'")
+            sorted_by = ", ".join(KEYS[table])
+            blooms = ", ".join(f"'parquet.bloom.filter.enabled#{c}' = 'true'" for c in (HASH, *(k for k in KEYS[table] if k != "sample_idx")))
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS[table]}, {BATCH} string, {HASH} bigint) USING parquet OPTIONS ({blooms}) CLUSTERED BY ({HASH}) SORTED BY ({sorted_by}) INTO {n} BUCKETS LOCATION '{place}'")
+        return name
+
+    def _bucketed(self, rows: DataFrame, table: str) -> DataFrame:
+        """The rows of a batch, one of each key (the same one each time for the same rows; maps do not count in the choice), a task for each bucket, sorted as they are stored."""
+        plain = [f.name for f in rows.schema.fields if f.name != BATCH and not f.dataType.simpleString().startswith("map")]
+        keys = KEYS[table]
+        one = Window.partitionBy(HASH, *keys, BATCH).orderBy(F.xxhash64(*plain).desc())
+        dealt = rows.repartition(int(self._log(table).get("layout")), HASH)
+        return dealt.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row").sortWithinPartitions(*keys)
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        name = self._table(table)
+        writer = rows.write.bucketBy(int(self._log(table).get("layout")), HASH).sortBy(*KEYS[table])
+        writer.mode("append").saveAsTable(name)
+
+    def upsert(self, table: str, rows: DataFrame, name: str | None = None) -> str:
         """Replace the rows of equal keys by these; other rows stay. Missing columns are null, columns of other names are dropped.
 
         Within one batch a repeated key keeps one of its rows. Parameters of runs
         are stored without secrets; a run without ``created_at`` is created now.
+        A batch with a ``name`` is stored once: another of that name replaces it if
+        it was not finished, and is left out if it was. Returns the batch's number.
         """
         schema = StructType.fromDDL(SCHEMAS[table])
         whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
         if table == "runs":
             whole = whole.withColumns({"params": redact(F.col("params")), "created_at": F.coalesce("created_at", F.current_timestamp())})
+        self._log(table).put("layout", str(self.buckets))
+        pending, names = self._log(table, "pending"), self._log(table, "names")
+        if name is not None and (was := names.get(name)):
+            return was
         batch = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-        one_of_key(whole, KEYS[table]).withColumn(BATCH, F.lit(batch)).write.mode("append").parquet(self._path(table))
-
-    def read(self, table: str) -> DataFrame:
-        """The table as it stands; no rows if nothing was written yet."""
+        pending.put(batch, name or "")
+        self._append(self._bucketed(whole.withColumns({BATCH: F.lit(batch), HASH: hash_of(table)}), table), table)
+        if name is not None:
+            names.put(name, batch)
+        pending.remove(batch)
+        return batch
+
+    def batch_named(self, table: str, name: str) -> str | None:
+        """The number of a finished batch, by its name."""
+        return self._log(table, "names").get(name)
+
+    def stored(self, table: str) -> DataFrame:
+        """All rows of finished batches, with their batch and the hash of their key."""
+        name = self._table(table)
+        self.spark.catalog.refreshTable(name)
+        rows, unseen = self.spark.table(name), self._unfinished(table)
+        return rows.where(~F.col(BATCH).isin(unseen)) if unseen else rows
+
+    def _unfinished(self, table: str) -> list[str]:
+        """Batches that are being written, or whose writer is gone; one that has its name already is finished."""
+        pending, names = self._log(table, "pending"), self._log(table, "names")
+        return [p for p in pending.names() if not ((n := pending.get(p)) and names.get(n) == p)]
+
+    def read(self, table: str, until: str | None = None, before: str | None = None) -> DataFrame:
+        """The table as it stands; no rows if nothing was written yet.
+
+        ``until`` and ``before`` give it as it stood after or before a batch, as long
+        as it was not compacted since.
+        """
         if not self._exists(table):
             return self.spark.createDataFrame([], SCHEMAS[table])
-        rows = self.spark.read.schema(f"{SCHEMAS[table]}, {BATCH} string").parquet(self._path(table))
-        return newest(rows, KEYS[table], BATCH).drop(BATCH)
-
-    def compact(self, table: str) -> None:
-        """Fold all batches into one new folder and swap it in; run it when no writer is at work."""
+        rows = self.stored(table)
+        if until is not None:
+            rows = rows.where(F.col(BATCH) <= until)
+        if before is not None:
+            rows = rows.where(F.col(BATCH) < before)
+        return _last_of_key(rows, table).drop(BATCH, HASH)
+
+    def compact(self, table: str) -> list[int]:
+        """Fold the files of each bucket that has more than one into one; returns those buckets. Run it when no writer is at work.
+
+        The new files stand beside the old ones before these are removed, and a row
+        that is in both counts once, so it may be broken off anywhere. Batches that
+        were never finished are dropped.
+        """
         if not self._exists(table):
-            return
-        fresh = f"{self.folder}/.{table}-{uuid.uuid4().hex}"
-        self.read(table).withColumn(BATCH, F.lit(f"{time.time_ns():020d}-compacted")).write.parquet(fresh)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        old, new = jvm.org.apache.hadoop.fs.Path(self._path(table)), jvm.org.apache.hadoop.fs.Path(fresh)
-        fs, aside = old.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{fresh}-old")
-        if not (fs.rename(old, aside) and fs.rename(new, old)):
-            raise OSError(f"{table} could not be swapped; its files are in {aside} and {fresh}")
-        fs.delete(aside, True)
+            return []
+        name, files = self._table(table), Folder(self.spark, self._path(table))
+        by_bucket: dict[int, list[str]] = {}
+        for f in files.names():
+            if found := re.search(r"_(\d+)(?:\..*)?$", f):
+                by_bucket.setdefault(int(found[1]), []).append(f)
+        pending = self._log(table, "pending")
+        left = self._unfinished(table)
+        changed = {b: f for b, f in by_bucket.items() if len(f) > 1 or left}
+        if changed:
+            self.spark.catalog.refreshTable(name)
+            kept = self.stored(table)
+            paths = [f"{self._path(table)}/{f}" for old in changed.values() for f in old]
+            rows = self.spark.read.schema(kept.schema).parquet(*paths).where(~F.col(BATCH).isin(left) if left else F.lit(True))
+            n = int(self._log(table).get("layout"))
+            last = _last_of_key(rows.repartition(n, HASH), table).sortWithinPartitions(*KEYS[table])
+            self._append(last, table)
+            for f in (f for old in changed.values() for f in old):
+                files.remove(f)
+            for b in left:
+                pending.remove(b)
+            self.spark.catalog.refreshTable(name)
+        return sorted(changed)
 
     def runs(self) -> DataFrame:
         """The runs, oldest first."""
         return self.read("runs").orderBy("created_at", "run_id")
 
+    def find(self, table: str, *key: object) -> DataFrame:
+        """The row of one key, by its bucket, and within it by the files' filters and page indexes."""
+        if not self._exists(table):
+            return self.read(table)
+        of = StructType.fromDDL(SCHEMAS[table])
+        values = [F.lit(v).cast(of[k].dataType) for k, v in zip(KEYS[table], key, strict=True)]
+        number = self.spark.range(1).select(F.xxhash64(*values).alias("h")).first().h
+        same = reduce(lambda a, b: a & b, [F.col(k) == v if x is not None else F.col(k).isNull() for (k, v), x in zip(zip(KEYS[table], values, strict=True), key, strict=True)])
+        return _last_of_key(self.stored(table).where((F.col(HASH) == number) & same), table).drop(BATCH, HASH)
+
     def telemetry_of(self, run_id: str, item_id: str, sample_idx: int) -> DataFrame:
         """The telemetry of one response."""
-        return self.read("telemetry").where((F.col("run_id") == run_id) & (F.col("item_id") == item_id) & (F.col("sample_idx") == sample_idx))
+        return self.find("telemetry", run_id, item_id, sample_idx)
+
+
+def hash_of(table: str) -> Column:
+    return F.xxhash64(*KEYS[table])
+
+
+def _last_of_key(rows: DataFrame, table: str) -> DataFrame:
+    """The last row of each key; rows of one batch and key are alike, and one of them is taken."""
+    last = Window.partitionBy(HASH, *KEYS[table]).orderBy(F.col(BATCH).desc())
+    return rows.withColumn("__row", F.row_number().over(last)).where("__row = 1").drop("__row")
 
 
 def done_items(responses: DataFrame) -> DataFrame:
