@@ -15,6 +15,7 @@ from .problems import build, spec
 from .render import report, text
 from .sources import registry
 from .sources.store import Store
+from .streaming import committed
 
 
 def _session() -> SparkSession:
@@ -38,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--max-difficulty", type=int)
     r.add_argument("--band", choices=list(spec.BANDS), default="all", help="difficulties to run; bounds given besides win")
     r.add_argument("--limit", type=int)
+    r.add_argument("--commit-every", type=int, default=1000, help="items that are stored together; what is lost at most if the run breaks off")
     for name in ("report", "dashboard", "compare"):
         c = sub.add_parser(name)
         c.add_argument("runs", nargs="*")
@@ -106,11 +108,11 @@ def main(argv: list[str] | None = None) -> int:
         low, high = a.min_difficulty or low, a.max_difficulty or high
         store.upsert("runs", spark.createDataFrame([(run_id, f"mock-{mode}", "")], "run_id string, model string, base_url string"))
 
-        def put(items):  # noqa: ANN001, ANN202
-            chosen = sampling.by_difficulty(items, low, high)
-            return respond.run_mock(sampling.stride(chosen, a.limit) if a.limit is not None else chosen, run_id, mode, n)
+        def chosen(items):  # noqa: ANN001, ANN202
+            within = sampling.by_difficulty(items, low, high)
+            return sampling.stride(within, a.limit) if a.limit is not None else within
 
-        respond.run(store, run_id, put)
+        committed.run_in_steps(store, run_id, lambda items: respond.run_mock(items, run_id, mode, n), a.commit_every, chosen=chosen, watch=lambda p: print(text.progress(p), file=sys.stderr))
     else:
         keep = F.col("run_id").isin(a.runs) if a.runs else F.lit(True)
         e = Evaluation(store.read("items"), store.read("responses").where(keep), store.read("telemetry").where(keep))

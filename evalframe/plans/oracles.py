@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..problems.spec import FAMILIES as FAMILIES_
 from ..sources.star import FAMILIES
-from . import fixtures
+from . import fixtures, talks
 from .queries import POOL
 from .transcripts import NAMES, SHAPES
 
@@ -86,6 +86,16 @@ votes AS (
 voted AS (SELECT v.*, lower(winner) = lower(gold) AS winner_right FROM votes v JOIN items USING (item_id) WHERE probe = 'base'),
 runs AS (SELECT 'r' || CAST(l_suppkey % 2 AS VARCHAR) AS run_id, 'model-a' AS model, 'v' || CAST(l_suppkey % 2 + 1 AS VARCHAR) AS dataset_tag, min(l_shipdate) AS created_at FROM lineitem GROUP BY l_suppkey % 2)"""
 
+_STEPS = f"""
+WITH given AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS item_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+sized AS (SELECT item_id, len(lines) AS k, CAST(length(lines[1]) AS BIGINT) AS first, CAST(length(lines[-1]) AS BIGINT) AS n, len(list_filter(lines, lambda x: length(x) % {talks.BROKEN} = 0)) = 0 AS ok FROM given),
+told AS (SELECT *, CAST(n + (n % {talks.WRONG} = 0)::INT AS VARCHAR) AS answer FROM sized)
+SELECT item_id, CAST(0 AS BIGINT) AS sample_idx, CASE WHEN ok THEN 'It has ' || n || ' characters.' || chr(10) || 'ANSWER: ' || answer || chr(10) || 'CONFIDENCE: ' || n % 101 ELSE '__ERROR__' END AS raw,
+  CASE WHEN ok THEN answer END AS parsed, CASE WHEN ok THEN n % {talks.WRONG} <> 0 END AS correct, CASE WHEN ok THEN least(n % 101, 100) END AS confidence, CASE WHEN ok THEN CAST(2 * k AS BIGINT) END AS prompt_tokens,
+  CASE WHEN ok THEN n % 100 END AS completion_tokens, CASE WHEN ok THEN 'marker' END AS source, CASE WHEN ok AND k > 1 THEN first % {talks.WRONG} <> 0 END AS intermediate_correct,
+  CASE WHEN ok AND k > 1 THEN CAST(first + (first % {talks.WRONG} = 0)::INT AS VARCHAR) END AS intermediate_parsed
+FROM told"""
+
 _CHOICES = ("O", "F", "UNDETERMINED")
 _STRICT = f"coalesce(lower({_first_choice(_CHOICES, 'marker')}) = lower(gold), false)"
 _PAIRS = """, p AS (
@@ -295,6 +305,7 @@ def oracle_sql() -> dict[str, str]:
         "regrade_responses": f"""{STAR}, t AS (SELECT run_id, item_id, sample_idx, gold, raw, {_first_choice(_CHOICES, "(" + _marker("raw") + ")")} AS p FROM responses JOIN items USING (item_id) WHERE correct IS NOT NULL)
           SELECT run_id, item_id, CAST(sample_idx AS BIGINT) AS sample_idx, p AS parsed, CASE WHEN p IS NULL THEN 'none' ELSE 'marker' END AS source, coalesce(lower(p) = lower(gold), false) AS correct,
           {_confidence('raw')} AS confidence FROM t""",
+        "run_in_steps": _STEPS,
         "grade_transcripts": _grade(),
         "reparse_transcripts": reparse,
         "fragility_examples": f"{_answers()} SELECT kind, round(avg(CAST(source = 'fallback' AND parsed IS DISTINCT FROM strict_parsed AS INTEGER)), 9) AS fragility, count(*) AS n FROM h GROUP BY kind",

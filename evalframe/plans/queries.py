@@ -16,8 +16,8 @@ from ..operators.tidy import Evaluation
 from ..problems import build, spec, verify
 from ..render import report
 from ..sources import star, store
-from ..streaming import live
-from . import fixtures, transcripts
+from ..streaming import committed, live
+from . import fixtures, talks, transcripts
 
 PLACES = 9
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,17 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(store.todo(star.items(spark, sf_dir), star.responses(spark, sf_dir), "r0").select("item_id", "family", "difficulty", "probe"))
 
 
+def run_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations put to a client that answers by a rule, and stored step by step; then once more, which asks only what failed."""
+    s = _store(spark)
+    s.upsert("items", talks.items(spark, sf_dir))
+    ask = lambda items: respond.run_client(items, "steps", talks.client, sleep=lambda seconds: None)
+    for _ in range(2):
+        committed.run_in_steps(s, "steps", ask, commit_every=250)
+    r = s.read("responses")
+    return rounded(r.select("item_id", "sample_idx", "raw", "parsed", "correct", "confidence", "prompt_tokens", "completion_tokens", F.col("metadata.parse_source").alias("source"), F.col("metadata.intermediate_correct").alias("intermediate_correct"), F.col("metadata.intermediate_parsed").alias("intermediate_parsed")))
+
+
 def difficulty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sampling.by_difficulty(star.items(spark, sf_dir), 5, 6).select("item_id", "family", "difficulty"))
 
@@ -380,7 +391,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        run_in_steps, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}

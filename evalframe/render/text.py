@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from ..functions.stats import DROP_FULL, ECE_FULL
+from ..streaming.committed import Progress
 
 BLOCKS, SPARKS = " ▏▎▍▌▋▊▉█", "▁▂▃▄▅▆▇█"
 RED, YELLOW, GREEN = 31, 33, 32
@@ -55,6 +56,13 @@ def drop_goodness(drop: float | None) -> float | None:
     return None if drop is None else max(0.0, 1 - max(drop, 0.0) / DROP_FULL)
 
 
+def progress(p: Progress) -> str:
+    """One line about a run at work: a meter, items done, samples right and failed, and how long the rest will take."""
+    left = p.remaining_seconds
+    rest = "unknown" if left is None else f"{int(left) // 60}:{int(left) % 60:02d}"
+    return f"{meter(p.done / p.items if p.items else 1.0, plain=True)} {p.done}/{p.items} items, {p.right} right, {p.failed} failed, {rest} left"
+
+
 def shorten(words: str | None, width: int) -> str:
     """At most ``width`` characters, the last of them an ellipsis if something is left out."""
     words = words or ""
