@@ -306,6 +306,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT run_id, item_id, CAST(sample_idx AS BIGINT) AS sample_idx, p AS parsed, CASE WHEN p IS NULL THEN 'none' ELSE 'marker' END AS source, coalesce(lower(p) = lower(gold), false) AS correct,
           {_confidence('raw')} AS confidence FROM t""",
         "run_in_steps": _STEPS,
+        "metrics_kept": f"""{STAR}{_DEGRADATION}{_OVERALL}{_COVER}{_STRICTLY}
+          SELECT curve.run_id, family, difficulty, curve.n, {r9('mean', 'lo', 'hi', 'std')}, n_items, samples_per_item, answered, errored, {r9('coverage')}, {r9('accuracy')}, overall.n AS n_base, {r9('strict_accuracy', 'fallback_reliance')}
+          FROM curve JOIN cover USING (run_id) JOIN overall USING (run_id) JOIN st USING (run_id)""",
         "grade_transcripts": _grade(),
         "reparse_transcripts": reparse,
         "fragility_examples": f"{_answers()} SELECT kind, round(avg(CAST(source = 'fallback' AND parsed IS DISTINCT FROM strict_parsed AS INTEGER)), 9) AS fragility, count(*) AS n FROM h GROUP BY kind",

@@ -16,7 +16,7 @@ from ..operators.tidy import Evaluation
 from ..problems import build, spec, verify
 from ..render import report
 from ..sources import star, store
-from ..streaming import committed, live
+from ..streaming import committed, live, states
 from . import fixtures, talks, transcripts
 
 PLACES = 9
@@ -105,6 +105,19 @@ def run_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("item_id", "sample_idx", "raw", "parsed", "correct", "confidence", "prompt_tokens", "completion_tokens", F.col("metadata.parse_source").alias("source"), F.col("metadata.intermediate_correct").alias("intermediate_correct"), F.col("metadata.intermediate_parsed").alias("intermediate_parsed")))
 
 
+def metrics_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses stored in five waves that replace each other's rows, and metrics that were brought up to date after each: nothing is counted over all responses."""
+    s = _store(spark)
+    s.upsert("items", star.items(spark, sf_dir))
+    kept = states.MetricStates(s)
+    for k, wave in enumerate(star.waves(spark, sf_dir)):
+        kept.upsert(wave, f"wave-{k}")
+        if k == 2:
+            kept.fold()
+    run = kept.coverage().join(kept.overall().withColumnRenamed("n", "n_base"), "run_id").join(kept.strict(), "run_id")
+    return rounded(kept.degradation().join(run, "run_id"))
+
+
 def difficulty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sampling.by_difficulty(star.items(spark, sf_dir), 5, 6).select("item_id", "family", "difficulty"))
 
@@ -391,7 +404,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        run_in_steps, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        run_in_steps, metrics_kept, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}

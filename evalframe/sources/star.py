@@ -49,14 +49,26 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item for each response key: the last shipped, ties by the other columns in the order of ``_lines``."""
-    return latest(_lines(spark, sf_dir), ["run_id", "item_id", "sample_idx"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+    return _latest(_lines(spark, sf_dir))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses to the items above: ``run_id, item_id, sample_idx, raw, parsed, correct, confidence, latency_ms, prompt_tokens, completion_tokens, metadata``."""
+def _latest(lines: DataFrame) -> DataFrame:
+    return latest(lines, ["run_id", "item_id", "sample_idx"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+
+
+def waves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The responses as they came, in five waves by the year of shipment; a later wave replaces what earlier ones said."""
+    lines, year = _lines(spark, sf_dir), F.year("l_shipdate")
+    parts = [year <= 1993, year == 1994, year == 1995, year == 1996, (year >= 1997) | year.isNull()]
+    return [responses(spark, sf_dir, _latest(lines.where(p))) for p in parts]
+
+
+def responses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Responses to the items above, to the latest line items if no others are given: ``run_id, item_id, sample_idx, raw, parsed, correct, confidence, latency_ms, prompt_tokens, completion_tokens, metadata``."""
     discount, tax = F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)
     error = discount == 10
-    lines = latest_lines(spark, sf_dir).withColumn("parsed", F.when(error | (tax == 0), None).when(F.col("l_returnflag") == "N", "UNDETERMINED").otherwise(F.col("l_linestatus")))
+    given = latest_lines(spark, sf_dir) if lines is None else lines
+    lines = given.withColumn("parsed", F.when(error | (tax == 0), None).when(F.col("l_returnflag") == "N", "UNDETERMINED").otherwise(F.col("l_linestatus")))
     shape = F.pmod(F.col("l_partkey"), F.lit(4))
     confidence = F.when(tax == 1, None).otherwise(F.round(F.col("l_quantity") * 2).cast("int"))
     stated = F.coalesce(F.concat(F.lit("\nCONFIDENCE: "), confidence.cast("string")), F.lit(""))
