@@ -41,6 +41,12 @@ def parse(text: Column, kind: Column, choices: Column, strict: bool = False) ->
     return let(t.answer_marker(text), lambda m: let(of_marker(m), result))
 
 
+def strictly(got: Column) -> Column:
+    """What ``parse`` gives with ``strict``, from what it gives without, or from a grade: the marker's answer or none."""
+    marked = got["source"] == "marker"
+    return F.struct(F.when(marked, got["parsed"]).alias("parsed"), F.when(marked, "marker").otherwise("none").alias("source"))
+
+
 def is_right(parsed: Column, gold: Column, kind: Column) -> Column:
     """Whether a stored answer equals the gold: as integers, else as text in lower case. Never null."""
     numbers = t.canonical_int(parsed) == t.canonical_int(gold)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ANSWER = r"(?dimU)^\s*answer\s*[:=]\s*(.+?)\s*$"
 CONFIDENCE = r"(?dimU)^\s*confidence\s*[:=]\s*([0-9]{1,3})"
 INTEGER = r"-?[0-9]+"
+#: A word: what lies between the boundaries that a choice must stand between.
+WORD = r"(?U)\w+"
 NOTHING = ("none", "no", "nothing", "n/a")
 SENTENCE_END = r"(?<=\.)\s+"
 
@@ -45,8 +47,9 @@ def without_confidence(text: Column) -> Column:
 
 def canonical_int(value: Column) -> Column:
     """An integer of any length as text without leading zeros; null where the text is no integer."""
-    bare = F.regexp_replace(F.trim(value), r"^(-?)\+?0+(?=[0-9])", "$1")
-    return F.when(bare == "-0", "0").when(bare.rlike(r"^-?[0-9]+$"), bare)
+    bare = lambda v: F.regexp_replace(v, r"^(-?)\+?0+(?=[0-9])", "$1")
+    other = lambda v: let(bare(v), lambda b: F.when(b == "-0", "0").when(b.rlike(r"^-?[0-9]+$"), b))
+    return let(F.trim(value), lambda v: F.when(v.rlike(r"^(?:-?[1-9][0-9]*|0)$"), v).otherwise(other(v)))
 
 
 def _integers(text: Column) -> Column:
@@ -66,29 +69,52 @@ def _as_word(choice: Column) -> Column:
     return F.concat(F.lit(r"\b"), F.regexp_replace(F.lower(choice), r"(\W)", r"\\$1"), F.lit(r"\b"))
 
 
+def words_of(low: Column) -> Column:
+    """The words of a text in order: what single-word choices are looked up in."""
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+
+
+def _single(choices: Column) -> Column:
+    """Whether every choice is one word; only others need a pattern of their own."""
+    return F.forall(choices, lambda c: F.regexp_like(F.lower(c), F.lit(r"(?U)^\w+$")))
+
+
 def first_choice(text: Column, choices: Column) -> Column:
     """The first of the choices, in their order, that occurs as a word in the text."""
-    return F.get(F.filter(choices, lambda c: F.regexp_like(F.lower(text), F.concat(F.lit("(?U)"), _as_word(c)))), 0)
+    def among(low: Column) -> Column:
+        phrase = lambda c: F.contains(low, F.lower(c)) & F.regexp_like(low, F.concat(F.lit("(?U)"), _as_word(c)))
+        single = let(words_of(low), lambda words: F.get(F.filter(choices, lambda c: F.array_contains(words, F.lower(c))), 0))
+        return F.when(_single(choices), single).otherwise(F.get(F.filter(choices, phrase), 0))
+
+    return let(F.lower(text), among)
 
 
 def last_choice(text: Column, choices: Column) -> Column:
     """The choice that begins last in the text; of those that begin together, the earliest in order."""
-    low = F.lower(text)
+    def among(low: Column) -> Column:
+        def place(c: Column, i: Column) -> Column:
+            found = F.contains(low, F.lower(c)) & F.regexp_like(low, F.concat(F.lit("(?U)"), _as_word(c)))
+            start = F.length(F.call_function("regexp_extract", low, F.concat(F.lit("(?sU)^(.*)"), _as_word(c)), F.lit(1)))
+            return F.when(found, F.struct(start.alias("start"), (-i).alias("order"), c.alias("choice")))
+
+        def last_word(words: Column) -> Column:
+            """Words are looked up from the end; a choice's number there is the less the later it stands."""
+            at = lambda c, i: F.nullif(F.array_position(words, F.lower(c)), F.lit(0)).alias("at")
+            return F.array_min(F.filter(F.transform(choices, lambda c, i: F.struct(at(c, i), i.alias("order"), c.alias("choice"))), lambda x: x["at"].isNotNull()))["choice"]
 
-    def place(c: Column, i: Column) -> Column:
-        found = F.regexp_like(low, F.concat(F.lit("(?U)"), _as_word(c)))
-        start = F.length(F.call_function("regexp_extract", low, F.concat(F.lit("(?sU)^(.*)"), _as_word(c)), F.lit(1)))
-        return F.when(found, F.struct(start.alias("start"), (-i).alias("order"), c.alias("choice")))
+        return F.when(_single(choices), let(F.reverse(words_of(low)), last_word)).otherwise(F.array_max(F.transform(choices, place))["choice"])
 
-    return F.array_max(F.transform(choices, place))["choice"]
+    return let(F.lower(text), among)
 
 
 def split_names(text: Column) -> Column:
     """Lower-cased names of a list in prose; empty if any of them says that there are none."""
     parts = F.split(text, r"(?U)[,;]|\band\b|\bor\b")
-    clean = F.transform(parts, lambda t: F.lower(F.btrim(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), F.lit("'\"."))))
-    named = F.filter(clean, lambda t: t != "")
-    return F.when(text.isNull() | F.exists(named, lambda t: t.isin(*NOTHING)), F.array().cast("array<string>")).otherwise(named)
+    # Blanks at the ends go, then quotes and stops; the blanks of other scripts are looked for only beside such a character.
+    blank = lambda t: F.when(t.rlike(r"^[^!-~]|[^!-~]$"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t)
+    clean = F.transform(parts, lambda t: F.lower(F.btrim(blank(t), F.lit("'\"."))))
+    none = F.array().cast("array<string>")
+    return F.when(text.isNull(), none).otherwise(let(F.filter(clean, lambda t: t != ""), lambda named: F.when(F.arrays_overlap(named, F.array(*map(F.lit, NOTHING))), none).otherwise(named)))
 
 
 def sentences(text: Column) -> Column:

@@ -144,7 +144,7 @@ def regrade_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grade_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transcripts.answers(spark, sf_dir)
     args = (F.col("text"), F.col("kind"), F.col("gold"), F.col("choices"))
-    g = rows.withColumns({"g": grading.grade(*args), "s": grading.parse(args[0], args[1], args[3], strict=True)})
+    g = rows.withColumn("g", grading.grade(*args)).withColumn("s", grading.strictly(F.col("g")))
     return rounded(g.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", F.col("g.parsed").alias("parsed"), F.col("g.source").alias("source"), F.col("g.correct").alias("correct"),
         F.col("g.confidence").alias("confidence"), F.col("s.parsed").alias("strict_parsed"), F.col("s.source").alias("strict_source"),
@@ -160,7 +160,7 @@ def reparse_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grade_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.graded(spark).select("id", "text", "kind", "gold", "choices")
     args = (F.col("text"), F.col("kind"), F.col("gold"), F.col("choices"))
-    g = rows.withColumns({"g": grading.grade(*args), "s": grading.parse(args[0], args[1], args[3], strict=True)})
+    g = rows.withColumn("g", grading.grade(*args)).withColumn("s", grading.strictly(F.col("g")))
     return rounded(g.select("id", F.col("g.parsed").alias("parsed"), F.col("g.source").alias("source"), F.col("g.correct").alias("correct"), F.col("s.parsed").alias("strict_parsed"), F.col("s.source").alias("strict_source"), F.col("g.confidence").alias("confidence")))
 
 
@@ -168,7 +168,7 @@ def fragility_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of texts that only the lenient reading gives that answer for, by kind."""
     rows = transcripts.answers(spark, sf_dir)
     args = (F.col("text"), F.col("kind"), F.col("choices"))
-    both = rows.select("kind", grading.parse(*args).alias("g"), grading.parse(*args, strict=True).alias("s"))
+    both = rows.select("kind", grading.parse(*args).alias("g")).withColumn("s", grading.strictly(F.col("g")))
     hit = (F.col("g.source") == "fallback") & ~F.col("g.parsed").eqNullSafe(F.col("s.parsed"))
     return rounded(both.groupBy("kind").agg(F.avg(hit.cast("double")).alias("fragility"), F.count("*").alias("n")))
 

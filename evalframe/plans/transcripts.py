@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schema import EVENTS, LOGPROBS
-from ..sources.star import table
+from ..sources.star import spread, table
 
 NAMES = ("Ida", "Bruno", "Kofi")
 #: Shapes of a response by kind; {a} is the part's number, {b} the supplier's, {c} a confidence, {x} and {y} names.
@@ -23,7 +23,7 @@ KINDS = tuple(SHAPES)
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, text, gold, choices)`` for every line item."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     k, s = F.pmod("l_partkey", F.lit(len(KINDS))).cast("int"), F.pmod("l_suppkey", F.lit(5)).cast("int")
     kind = F.get(F.array(*map(F.lit, KINDS)), k)
     names = F.array(*map(F.lit, NAMES))

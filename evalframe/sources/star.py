@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that is dear for each of them: a scan of fewer splits than cores is dealt out, a larger one is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``item_id, family, difficulty, probe, has_distractor, grp, answer_type, gold, choices``."""
     key = F.col("o_orderkey")

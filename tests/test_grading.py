@@ -62,3 +62,29 @@ def test_quoting_as_in_messages(spark):
     values = ["a", "it's", 'say "x"', "both ' and \"", None]
     df = spark.createDataFrame([(x,) for x in values], "v string")
     assert [r.q for r in df.select(t.quoted(F.col("v")).alias("q")).collect()] == [repr(x) for x in values]
+
+
+@settings(max_examples=25, deadline=None)
+@given(s.lists(s.tuples(s.text(alphabet="abAB _-é+.\n", max_size=30), s.lists(s.text(alphabet="abAé +", min_size=0, max_size=4), max_size=4)), min_size=1, max_size=40))
+def test_choices_as_patterns_find_them(spark, rows):
+    df = spark.createDataFrame(rows, "text string, choices array<string>")
+    for r in df.select("text", "choices", t.first_choice(F.col("text"), F.col("choices")).alias("first"), t.last_choice(F.col("text"), F.col("choices")).alias("last")).collect():
+        places = [[m.start() for m in re.finditer(rf"(?=\b{re.escape(c.lower())}\b)", r.text.lower())] for c in r.choices]
+        found = [(p[-1], -i) for i, p in enumerate(places) if p]
+        assert r.first == next((c for c, p in zip(r.choices, places, strict=True) if p), None)
+        assert r["last"] == (r.choices[-max(found)[1]] if found else None)
+
+
+@settings(max_examples=20, deadline=None)
+@given(s.lists(s.text(alphabet="ab  ,;'\".\nnoeé", max_size=25), min_size=1, max_size=40))
+def test_names_as_python_splits_them(spark, texts):
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in df.select("text", t.split_names(F.col("text")).alias("n")).collect():
+        want = [x for x in (re.sub(r"^\s+|\s+\Z", "", p).strip("'\".").lower() for p in re.split(r"[,;]|\band\b|\bor\b", r.text)) if x]
+        assert r.n == ([] if {"none", "no", "nothing", "n/a"} & set(want) else want)
+
+
+def test_strict_is_read_off_lenient(spark):
+    args = (F.col("text"), F.col("kind"), F.col("choices"))
+    rows = fixtures.graded(spark).select(grading.parse(*args, strict=True).alias("s"), grading.strictly(grading.parse(*args)).alias("d")).collect()
+    assert rows and all(r.s == r.d for r in rows)
