@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
+from ..sources.store import materialise
 from .items import slim
+from .sampling import percentiles
 
 
 def whole(x: Column) -> Column:
@@ -14,20 +16,11 @@ def whole(x: Column) -> Column:
     return F.bround(F.round(x, 6)).cast("long")
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles of an integer column.
-
-    Equal values are counted first, so that the last step holds the distinct
-    values of a group and not its rows.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    return counted.groupBy(*keys).agg(*[F.percentile(value, q, F.col("__n")).alias(name) for name, q in shares.items()])
-
-
 def latency(responses: DataFrame) -> DataFrame:
     """Calls, failed ones, and latencies of all calls in whole milliseconds (0 where none is known)."""
-    calls = slim(responses).groupBy("run_id").agg(F.count("*").alias("n_calls"), st.count_if(F.col("call_failed")).alias("errored"), F.avg("latency_ms").alias("mean"))
-    found = percentiles(responses, ["run_id"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+    narrow = materialise(slim(responses).select("run_id", "latency_ms", "call_failed"))  # gone over several times
+    calls = narrow.groupBy("run_id").agg(F.count("*").alias("n_calls"), st.count_if(F.col("call_failed")).alias("errored"), F.avg("latency_ms").alias("mean"))
+    found = percentiles(narrow, ["run_id"], "latency_ms", {"p50": 0.5, "p95": 0.95})
     some = lambda c: F.coalesce(whole(F.col(c)), F.lit(0).cast("long"))
     return calls.join(found, "run_id", "left").select(
         "run_id", "n_calls", "errored", some("p50").alias("latency_p50_ms"), some("p95").alias("latency_p95_ms"), some("mean").alias("latency_mean_ms")
