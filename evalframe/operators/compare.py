@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 #: Label, column of a profile, and whether more is better.
 ROWS = (
     ("overall acc", "overall_accuracy", True), ("strict acc", "strict_accuracy", True), ("coverage", "coverage", True), ("calibration ECE", "ece", False),
@@ -25,12 +27,36 @@ def families_together(families: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(runs)).select("family", "n_runs", (F.col("n_runs") == F.col("of")).alias("in_all"))  # one row beside each family
 
 
+def run_classes(runs: DataFrame, families: DataFrame) -> DataFrame:
+    """``(run_id, tag, families)``: each run with its dataset tag and its set of families, sorted and joined by commas; runs alike in both are of one class.
+
+    Runs without families have the empty set, and those without a tag the empty one.
+    """
+    own = families.where(F.col("family").isNotNull()).groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))  # as many as there are families, at most
+    return runs.select("run_id", F.coalesce("dataset_tag", F.lit("")).alias("tag")).join(own, "run_id", "left").select("run_id", "tag", F.coalesce("families", F.lit("")).alias("families"))
+
+
+def class_mismatch(classes: DataFrame) -> DataFrame:
+    """Pairs of classes over different tags that share families: ``tag_1, families_1, n_runs_1, tag_2, families_2, n_runs_2, shared_families``.
+
+    However many runs there are, pairs are made of classes, and each class meets
+    those that it shares a family with. The first of a pair has the smaller tag.
+    """
+    counted = classes.where("families <> ''").groupBy("tag", "families").agg(F.count("*").alias("n_runs"))
+    each = materialise(counted.withColumn("family", F.explode(F.split("families", ","))))
+    a, b = (each.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families", "n_runs")]) for k in (1, 2))
+    pairs = a.join(b, (a.family == b.family) & (F.col("tag_1") < F.col("tag_2")))
+    return pairs.groupBy("tag_1", "families_1", "n_runs_1", "tag_2", "families_2", "n_runs_2").agg(F.count("*").alias("shared_families"))
+
+
 def tag_mismatch(runs: DataFrame, families: DataFrame) -> DataFrame:
-    """Pairs of runs over different dataset tags that share families, with how many they share."""
-    tagged = families.join(runs.select("run_id", F.coalesce("dataset_tag", F.lit("")).alias("tag")), "run_id")
-    a, b = tagged.alias("a"), tagged.alias("b")
-    pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.run_id") < F.col("b.run_id")) & (F.col("a.tag") != F.col("b.tag")))
-    return pairs.groupBy(F.col("a.run_id").alias("run_1"), F.col("b.run_id").alias("run_2"), F.col("a.tag").alias("tag_1"), F.col("b.tag").alias("tag_2")).agg(F.count("*").alias("shared_families"))
+    """Pairs of runs over different dataset tags that share families, with how many they share; as many rows as there are such pairs, so for few runs."""
+    classes = materialise(run_classes(runs, families))
+    a, b = (classes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families")], F.col("run_id").alias(f"r{k}")) for k in (1, 2))
+    pairs = class_mismatch(classes).join(a, ["tag_1", "families_1"]).join(b, ["tag_2", "families_2"])
+    first = F.col("r1") < F.col("r2")
+    pick = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    return pairs.select(pick("r1", "r2").alias("run_1"), pick("r2", "r1").alias("run_2"), pick("tag_1", "tag_2").alias("tag_1"), pick("tag_2", "tag_1").alias("tag_2"), "shared_families")
 
 
 def run_labels(runs: DataFrame) -> DataFrame:

@@ -306,6 +306,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT run_id, item_id, CAST(sample_idx AS BIGINT) AS sample_idx, p AS parsed, CASE WHEN p IS NULL THEN 'none' ELSE 'marker' END AS source, coalesce(lower(p) = lower(gold), false) AS correct,
           {_confidence('raw')} AS confidence FROM t""",
         "run_in_steps": _STEPS,
+        "run_class_mismatch": """WITH fam AS (SELECT l_suppkey AS r, list_sort(list_distinct(list(l_returnflag || '-' || l_linestatus || '-' || CAST(year(l_shipdate) AS VARCHAR)))) AS f FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey),
+          c AS (SELECT 'v' || CAST(r % 3 AS VARCHAR) AS tag, f, count(*) AS n FROM fam GROUP BY ALL)
+          SELECT a.tag AS tag_1, array_to_string(a.f, ',') AS families_1, a.n AS n_runs_1, b.tag AS tag_2, array_to_string(b.f, ',') AS families_2, b.n AS n_runs_2, CAST(len(list_intersect(a.f, b.f)) AS BIGINT) AS shared_families
+          FROM c a JOIN c b ON a.tag < b.tag AND len(list_intersect(a.f, b.f)) > 0""",
+        "json_keys": """WITH p AS (SELECT props FROM events UNION ALL SELECT left(props, length(props) - 1) FROM events WHERE event_type = 'error'),
+          k AS (SELECT CASE WHEN json_valid(props) THEN props END AS doc, props IS NULL AS missing, unnest(CASE WHEN json_valid(props) AND len(json_keys(props)) > 0 THEN json_keys(props) ELSE [NULL] END) AS key FROM p)
+          SELECT key, CASE WHEN missing THEN 'missing' WHEN doc IS NULL THEN 'malformed' WHEN key IS NULL THEN 'object' ELSE CASE json_type(doc, '$.' || key) WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind, count(*) AS n
+          FROM k GROUP BY ALL""",
         "metrics_kept": f"""{STAR}{_DEGRADATION}{_OVERALL}{_COVER}{_STRICTLY}
           SELECT curve.run_id, family, difficulty, curve.n, {r9('mean', 'lo', 'hi', 'std')}, n_items, samples_per_item, answered, errored, {r9('coverage')}, {r9('accuracy')}, overall.n AS n_base, {r9('strict_accuracy', 'fallback_reliance')}
           FROM curve JOIN cover USING (run_id) JOIN overall USING (run_id) JOIN st USING (run_id)""",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grading
+from ..functions import documents, grading
 from ..functions import text as t
 from ..operators import accuracy, compare, messages, outcomes, paired, respond, runtime, sampling, telemetry, uncertainty
 from ..operators.items import by_item, votes
@@ -234,6 +234,22 @@ def run_tag_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.tag_mismatch(star.runs(spark, sf_dir), run_families(spark, sf_dir)))
 
 
+def run_class_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a run over the dataset of a third of them, with the kinds of its seventh lines as families: classes that should not be compared."""
+    lines = star.table(spark, sf_dir, "lineitem")
+    run = F.col("l_suppkey").alias("run_id")
+    runs = lines.groupBy(run).agg(F.concat(F.lit("v"), (F.first("l_suppkey") % 3).cast("string")).alias("dataset_tag"))
+    families = lines.where("l_linenumber = 7").groupBy(run, F.concat_ws("-", "l_returnflag", "l_linestatus", F.year("l_shipdate").cast("string")).alias("family")).agg(F.count("*").alias("n"))
+    return rounded(compare.class_mismatch(compare.run_classes(runs, families)))
+
+
+def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keys the events' properties have, of which kinds and how often; and the same of what is cut short, which is malformed."""
+    events = star.table(spark, sf_dir, "events")
+    cut = events.where("event_type = 'error'").select(F.expr("substring(props, 1, length(props) - 1)").alias("props"))
+    return rounded(documents.keys_of(events.select("props").unionByName(cut), "props"))
+
+
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.leaderboard(_evaluation(spark, sf_dir).headline()))
 
@@ -404,7 +420,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        run_in_steps, metrics_kept, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        run_in_steps, metrics_kept, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}
