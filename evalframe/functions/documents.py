@@ -34,7 +34,7 @@ def keys_of(rows: DataFrame, column: str) -> DataFrame:
     whole = F.when(F.col("missing"), "missing").when(F.col("v").isNull(), "malformed").otherwise(kind_of(F.col("v")))
     kinds = read.withColumn("whole", whole)
     others = kinds.where("whole <> 'object'").groupBy(F.lit(None).cast("string").alias("key"), F.col("whole").alias("kind")).agg(F.count("*").alias("n"))
-    objects = kinds.where("whole = 'object'").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    objects = kinds.where("whole = 'object'").lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
     return objects.groupBy("key", F.coalesce(kind_of(F.col("value")), F.lit("object")).alias("kind")).agg(F.count("*").alias("n")).unionByName(others)
 
 
