@@ -43,6 +43,30 @@ def by_item(responses: DataFrame, items: DataFrame) -> DataFrame:
     return state.join(items.select("item_id", *DIMENSIONS), "item_id").withColumn("answered", F.col("s0_correct").isNotNull())
 
 
+def by_item_voted(responses: DataFrame, items: DataFrame) -> DataFrame:
+    """``by_item`` with the votes of each item beside it: ``winner, n_votes, n_options, entropy`` (see ``votes``; null where nothing was parsed), and ``winner_right`` for base items.
+
+    Samples are first summed by answer and then by item, so equal answers meet
+    before their item does, and frame and votes come of one pass.
+    """
+    first, given = F.col("sample_idx") == 0, F.col("parsed").isNotNull()
+    s0 = lambda c: F.max(F.when(first, F.col(c)))
+    carried = ("s0_correct", "s0_confidence", "s0_marker", "s0_intermediate")
+    answers = slim(responses).groupBy("run_id", "item_id", "parsed").agg(
+        F.count("*").alias("n"), F.min("sample_idx").alias("at"), F.max("sample_idx").alias("last"), count_if(F.col("call_failed")).alias("failed"), F.count("correct").alias("graded"), count_if(F.col("correct")).alias("right"),
+        s0("correct").alias("s0_correct"), s0("parsed").alias("s0_parsed"), s0("confidence").alias("s0_confidence"), s0("marker").alias("s0_marker"), s0("metadata.intermediate_correct").alias("s0_intermediate"),
+    )
+    size = F.when(given, F.col("n").cast("double"))
+    state = answers.groupBy("run_id", "item_id").agg(
+        F.sum("n").alias("n"), (F.max("last") + 1).alias("k"), *[F.sum(c).alias(c) for c in ("failed", "graded", "right")], F.max("s0_parsed").alias("s0_parsed"), *[F.max(c).alias(c) for c in carried],
+        F.max_by("parsed", F.when(given, F.struct(F.col("n"), -F.col("at"), F.col("parsed")))).alias("winner"), F.sum(F.when(given, F.col("n"))).alias("n_votes"), F.count("parsed").alias("n_options"),
+        F.abs(F.log2(F.sum(size)) - F.sum(size * F.log2(size)) / F.sum(size)).alias("entropy"),
+    )
+    frame = state.join(items.select("item_id", *DIMENSIONS), "item_id").withColumn("answered", F.col("s0_correct").isNotNull())
+    right = F.when((F.col("probe") == "base") & F.col("winner").isNotNull(), grading.is_right(F.col("winner"), F.col("gold"), F.col("answer_type")))
+    return frame.withColumn("winner_right", right)
+
+
 def base_answered(frame: DataFrame) -> DataFrame:
     """Base items whose first sample was answered."""
     return frame.where((F.col("probe") == "base") & F.col("answered"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import materialise
 from . import accuracy, outcomes, paired, runtime, uncertainty
-from .items import by_item, slim, voted
+from .items import by_item_voted, slim
 
 
 @dataclass
@@ -28,39 +28,50 @@ class Evaluation:
 
     @cached_property
     def frame(self) -> DataFrame:
-        """One row per run and item, written to the checkpoint folder: without texts, a row for all samples."""
-        return materialise(by_item(self.slim, self.items))
+        """One row per run and item with its votes, written to the checkpoint folder: without texts, a row for all samples."""
+        return materialise(self.lazy_frame)
 
-    @cached_property
+    @property
+    def lazy_frame(self) -> DataFrame:
+        """The same, worked out where it is used: for what goes over it once."""
+        return by_item_voted(self.slim if "slim" in self.__dict__ else self.responses, self.items)
+
+    @property
     def votes(self) -> DataFrame:
-        return materialise(voted(self.slim, self.items))
+        """The votes on base items, out of the frame."""
+        own = self.frame.where((F.col("probe") == "base") & F.col("winner").isNotNull())
+        return own.select("run_id", "item_id", "winner", "n_votes", "n_options", "entropy", "family", "gold", "answer_type", "winner_right")
+
+    @cached_property
+    def golds(self) -> DataFrame:
+        return materialise(accuracy.golds_of(self.frame))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return materialise(paired.sums_of(self.frame))
 
     @cached_property
     def reasoning_rows(self) -> DataFrame:
         return runtime.reasoning_rows(self.slim, self.telemetry, self.items)
 
-    def headline(self) -> DataFrame:
-        """One row per run with the metrics that runs are compared by."""
-        frame = self.frame
-        parts = [
-            accuracy.coverage(frame), accuracy.overall(frame).select("run_id", F.col("accuracy").alias("overall_accuracy")), accuracy.strict(frame),
-            accuracy.ill_posed(frame).select("run_id", "confabulation_rate", "false_undetermined_rate"),
-            paired.invariance(frame).select("run_id", "groups", "answer_flip_rate", "consistent_rate", "surface_accuracy"), uncertainty.calibration_error(frame).select("run_id", "ece"),
-            uncertainty.pass_at_k(frame, self.votes),
-        ]
-        return reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
+    def headline(self, *more: accuracy.Terms) -> DataFrame:
+        """One row per run with the metrics that runs are compared by: one aggregate for all but those by groups of items."""
+        single = accuracy.per_run(
+            accuracy.with_strict(self.frame), accuracy.coverage_terms(), accuracy.overall_terms("overall_accuracy", "n_base"), accuracy.strict_terms(), accuracy.ill_posed_terms(), uncertainty.calibration_terms("ece", "n_stated"),
+            uncertainty.pass_terms(), *more,
+        )
+        return single.drop("n_base", "n_ill_posed", "n_well_posed", "n_stated").join(paired.invariance_of(self.pairs), "run_id", "left")
 
     def profile(self) -> DataFrame:
         """One row per run with every metric that is a single number; null where the run gives no ground for one."""
-        frame, votes = self.frame, self.votes
+        narrow = self.slim
         parts = [
-            self.headline(), accuracy.macro_above_chance(frame).select("run_id", "above_chance"),
+            self.headline(accuracy.backtracking_terms(), uncertainty.disagreement_terms()).drop("n_voted"), accuracy.macro_of(accuracy.chance_of(self.golds)).select("run_id", "above_chance"),
             accuracy.fragility(self.responses, self.items).select("run_id", F.col("fragility").alias("grading_fragility")),
-            accuracy.backtracking(frame).select("run_id", F.struct("n", "intermediate_accuracy", "final_accuracy", "revision_success").alias("backtracking")),
-            uncertainty.disagreement(frame, votes).drop("n_voted"), runtime.latency(self.slim).withColumnRenamed("errored", "failed_calls"), runtime.tokens(self.slim),
+            runtime.latency(narrow).withColumnRenamed("errored", "failed_calls"), runtime.tokens(narrow),
         ]
         if self.telemetry is not None:
-            parts += [runtime.reasoning(self.slim, self.telemetry), runtime.reasoning_efficiency(self.reasoning_rows, self.telemetry)]
+            parts += [runtime.reasoning(narrow, self.telemetry), runtime.reasoning_efficiency(self.reasoning_rows, self.telemetry)]
         return reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
 
     def outcomes(self) -> DataFrame:
@@ -68,8 +79,6 @@ class Evaluation:
 
     def tidy(self) -> DataFrame:
         """``(run_id, metric, family, difficulty, value)``, rounded to four places; metrics that a run does not have are absent."""
-        frame = self.frame
-
         def long(rows: DataFrame, family: Column | None = None, difficulty: Column | None = None, **metrics: str) -> DataFrame:
             entries = F.array(*[F.struct(F.lit(name).alias("metric"), F.round(F.col(column).cast("double"), 4).alias("value")) for name, column in metrics.items()])
             f = F.lit(None).cast("string") if family is None else family
@@ -78,13 +87,14 @@ class Evaluation:
             return told.select("run_id", "m.metric", "family", "difficulty", "m.value").where(F.col("value").isNotNull())
 
         family, difficulty = F.col("family"), F.col("difficulty")
-        rated = accuracy.chance(frame)
+        run = materialise(self.headline())
         pieces = [
-            long(accuracy.overall(frame), overall_accuracy="accuracy"), long(accuracy.strict(frame), overall_accuracy_strict="strict_accuracy", fallback_reliance="fallback_reliance"),
-            long(rated, family, family_accuracy="accuracy", acc_above_chance="above_chance"), long(accuracy.degradation(frame), family, difficulty, acc_mean="mean", acc_ci_lo="lo", acc_ci_hi="hi"),
-            long(paired.distractibility(frame), family, distractor_drop="drop"), long(paired.invariance(frame), answer_flip_rate="answer_flip_rate"),
-            long(paired.invariance(frame, "family"), family, answer_flip_rate="answer_flip_rate"), long(accuracy.coverage(frame).where("errored > 0"), coverage="coverage"),
-            long(uncertainty.calibration_error(frame), ece="ece"), long(uncertainty.pass_at_k(frame, self.votes), **{"pass@k_oracle": "pass_at_k_oracle"}),
-            long(accuracy.ill_posed(frame), confabulation_rate="confabulation_rate"),
+            long(
+                run, overall_accuracy="overall_accuracy", overall_accuracy_strict="strict_accuracy", fallback_reliance="fallback_reliance", answer_flip_rate="answer_flip_rate", ece="ece", confabulation_rate="confabulation_rate",
+                **{"pass@k_oracle": "pass_at_k_oracle"},
+            ),
+            long(run.where("errored > 0"), coverage="coverage"), long(accuracy.chance_of(self.golds), family, family_accuracy="accuracy", acc_above_chance="above_chance"),
+            long(accuracy.degradation_of(self.golds), family, difficulty, acc_mean="mean", acc_ci_lo="lo", acc_ci_hi="hi"), long(paired.distractibility_of(self.pairs), family, distractor_drop="drop"),
+            long(paired.invariance_of(self.pairs, "family"), family, answer_flip_rate="answer_flip_rate"),
         ]
         return reduce(DataFrame.unionByName, pieces)

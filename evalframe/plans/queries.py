@@ -44,12 +44,8 @@ def _on_frame(metric: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: rounded(metric(_frame(spark, sf_dir)))
 
 
-def _on_votes(metric: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _evaluation(spark, sf_dir)
-        return rounded(metric(e.frame, e.votes))
-
-    return run
+def _on_votes(metric: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(metric(_evaluation(spark, sf_dir).lazy_frame))
 
 
 def response_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +182,8 @@ def reasoning_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reasoning_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(runtime.reasoning_by_difficulty(_evaluation(spark, sf_dir).reasoning_rows))
+    rows = runtime.reasoning_rows(star.responses(spark, sf_dir), star.telemetry(spark, sf_dir), star.items(spark, sf_dir))
+    return rounded(runtime.reasoning_by_difficulty(rows))
 
 
 def reasoning_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def charts(e: Evaluation, labels: dict[str, str], folder: str) -> list[str]:
             axes.scatter(r["ece"], r["confabulation_rate"], label=name(r))
     axes.set(xlabel="calibration error", ylabel="confabulation rate")
     save(figure, "confabulation_vs_calibration")
-    behaviour = rows_of(uncertainty.behaviour(e.frame, e.votes))
+    behaviour = rows_of(uncertainty.behaviour(e.frame))
     long = [{"run_id": r["run_id"], "metric": m, "value": r[m]} for r in behaviour for m in ("disagreement_entropy", "selfconsistency_gap", "stated_confidence_ece")]
     grouped(long, "metric", "value", "behavioural_uncertainty")
     return made
