@@ -96,6 +96,9 @@ SELECT item_id, CAST(0 AS BIGINT) AS sample_idx, CASE WHEN ok THEN 'It has ' ||
   CASE WHEN ok AND k > 1 THEN CAST(first + (first % {talks.WRONG} = 0)::INT AS VARCHAR) END AS intermediate_parsed
 FROM told"""
 
+_FOLD = """SELECT doc_id, sha256(replace(coalesce(text, ''), chr(10), '')) AS text_sha256, n_chars AS prompt_tokens, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS completion_tokens,
+          CAST(CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS thinking_tokens, 0.125::DOUBLE AS ttft, CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE END AS first_reasoning, 1.0::DOUBLE AS answer_wall FROM documents"""
+
 _CHOICES = ("O", "F", "UNDETERMINED")
 _STRICT = f"coalesce(lower({_first_choice(_CHOICES, 'marker')}) = lower(gold), false)"
 _PAIRS = """, p AS (
@@ -346,8 +349,8 @@ def oracle_sql() -> dict[str, str]:
         "results_export_rows": f"{STAR}{_EXPORT} SELECT * FROM x",
         "results_export_all": f"{STAR}{_EXPORT} SELECT x.*, model, dataset_tag, created_at FROM x LEFT JOIN runs USING (run_id)",
         "token_entropy_stats": _entropy(),
-        "stream_event_fold": """SELECT doc_id, sha256(replace(coalesce(text, ''), chr(10), '')) AS text_sha256, n_chars AS prompt_tokens, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS completion_tokens,
-          CAST(CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS thinking_tokens, 0.125::DOUBLE AS ttft, CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE END AS first_reasoning, 1.0::DOUBLE AS answer_wall FROM documents""",
+        "stream_event_fold": _FOLD,
+        "event_rows_fold": f"SELECT *, CAST(completion_tokens + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 2 END AS BIGINT) AS n_events, true AS complete FROM ({_FOLD})",
         "telemetry_builder": f"""{STAR}, c AS (SELECT run_id, item_id, sample_idx, l_linenumber, l_partkey % 500 AS pt, l_suppkey % 90 AS ct, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey % 60 ELSE 0 END AS rt,
             CAST(round_even(round(CASE WHEN l_suppkey % 3 <> 0 THEN l_tax + 0.001::DOUBLE END * 1000, 6), 0) AS BIGINT) AS tt, CAST(round_even(round(CASE WHEN l_suppkey % 3 = 1 THEN l_tax + 0.002::DOUBLE END * 1000, 6), 0) AS BIGINT) AS fr,
             CAST(round_even(round(CASE WHEN l_partkey % 3 <> 0 THEN l_discount END * 1000, 6), 0) AS BIGINT) AS aw FROM lines)

@@ -275,6 +275,16 @@ def stream_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folded.withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256"))
 
 
+def event_rows_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams as rows, each message's dealt over sixteen files and some twice, read as a stream a few files at a time."""
+    folder = f"{store.shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    rows = transcripts.event_streams(spark, sf_dir).select("doc_id", F.posexplode("events").alias("seq", "e")).select("doc_id", "seq", "e.*")
+    twice = rows.unionByName(rows.where("seq = 1 or type = 'message_delta'"))
+    twice.repartition(16, F.xxhash64("doc_id", "seq")).write.parquet(folder)
+    got = live.folds_so_far(spark, folder, ["doc_id"], files=4)
+    return rounded(got.withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256"))
+
+
 def telemetry_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.latest_lines(spark, sf_dir)
     think = F.when(F.col("l_linenumber") % 2 == 1, (F.col("l_partkey") % 60).cast("int"))
@@ -417,7 +427,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        run_in_steps, metrics_kept, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        run_in_steps, metrics_kept, event_rows_fold, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}

@@ -27,3 +27,4 @@ ERROR = "__ERROR__"
 
 LOGPROBS = "array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>"
 EVENTS = "array<struct<at:double,type:string,block:string,text:string,input_tokens:int,output_tokens:int,thinking_tokens:int>>"
+EVENT_FIELDS = ("at", "type", "block", "text", "input_tokens", "output_tokens", "thinking_tokens")
