@@ -309,6 +309,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT run_id, item_id, CAST(sample_idx AS BIGINT) AS sample_idx, p AS parsed, CASE WHEN p IS NULL THEN 'none' ELSE 'marker' END AS source, coalesce(lower(p) = lower(gold), false) AS correct,
           {_confidence('raw')} AS confidence FROM t""",
         "run_in_steps": _STEPS,
+        "run_log_lines": f"""{STAR}{_OUTCOME},
+          t AS (SELECT run_id, count(*) AS total, count(*) FILTER (outcome = 'solved') AS solved, count(*) FILTER (outcome = 'wrong') AS wrong, count(*) FILTER (outcome = 'errored') AS errored FROM o GROUP BY run_id),
+          head AS (SELECT run_id, unnest(['run log', 'model: ' || model, 'run: ' || run_id, 'started: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'), 'summary:', '  total = ' || total, '  solved = ' || solved, '  wrong = ' || wrong, '  errored = ' || errored,
+            '  accuracy = ' || printf('%.4f', coalesce(solved / nullif(solved + wrong, 0), 0.0)), 'items (item, family, difficulty, probe, outcome, reason):']) AS line FROM runs JOIN t USING (run_id))
+          SELECT run_id, CAST(0 AS BIGINT) AS part, line FROM head
+          UNION ALL SELECT run_id, CAST(1 AS BIGINT), '  ' || rpad(CAST(item_id AS VARCHAR), 24, ' ') || ' ' || rpad(family, 16, ' ') || ' ' || rpad(CAST(difficulty AS VARCHAR), 2, ' ') || ' ' || rpad(probe, 10, ' ') || ' ' || rpad(outcome, 7, ' ') || ' '
+            || replace(replace(reason, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') FROM o""",
         "run_class_mismatch": """WITH fam AS (SELECT l_suppkey AS r, list_sort(list_distinct(list(l_returnflag || '-' || l_linestatus || '-' || CAST(year(l_shipdate) AS VARCHAR)))) AS f FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey),
           c AS (SELECT 'v' || CAST(r % 3 AS VARCHAR) AS tag, f, count(*) AS n FROM fam GROUP BY ALL)
           SELECT a.tag AS tag_1, array_to_string(a.f, ',') AS families_1, a.n AS n_runs_1, b.tag AS tag_2, array_to_string(b.f, ',') AS families_2, b.n AS n_runs_2, CAST(len(list_intersect(a.f, b.f)) AS BIGINT) AS shared_families

@@ -14,7 +14,7 @@ from ..operators import accuracy, compare, messages, outcomes, paired, respond,
 from ..operators.items import by_item, votes
 from ..operators.tidy import Evaluation
 from ..problems import build, spec, verify
-from ..render import report
+from ..render import logs, report
 from ..sources import star, store
 from ..streaming import committed, live, states
 from . import fixtures, talks, transcripts
@@ -203,6 +203,12 @@ def outcomes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.with_place(_evaluation(spark, sf_dir).outcomes()).select("run_id", "item_id", "outcome", "position"))
 
 
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every run's log."""
+    lines = logs.log_lines(_evaluation(spark, sf_dir).outcomes(), star.runs(spark, sf_dir))
+    return rounded(lines.select("run_id", "part", "line"))
+
+
 def outcomes_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.by_family(_evaluation(spark, sf_dir).outcomes()))
 
@@ -427,7 +433,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        run_in_steps, metrics_kept, event_rows_fold, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        run_log_lines, run_in_steps, metrics_kept, event_rows_fold, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy, compare, outcomes, paired, uncertainty
 from ..operators.tidy import Evaluation
-from . import text
+from . import logs, text
 
 CELLS = (
     ("accuracy", "overall_accuracy"), ("strict", "strict_accuracy"), ("fallback", "fallback_reliance"), ("coverage", "coverage"), ("flip rate", "answer_flip_rate"), ("ECE", "ece"), ("pass@1", "pass_at_1"),
@@ -158,4 +158,5 @@ def build(e: Evaluation, runs: DataFrame, folder: str) -> list[str]:
             (Path(folder) / f"{key}.{end}").write_text(content)
             made.append(f"{folder}/{key}.{end}")
     write_tables(e, folder)
+    logs.write_logs(logs.log_lines(e.outcomes(), runs), f"{folder}/logs")
     return made
