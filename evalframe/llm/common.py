@@ -75,6 +75,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def least_hashed(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """Of ``rows``, those that can be among the ``most`` of least hash: few more than these, so that what is sorted does not grow with the table.
+
+    The first 16 bits of the hashes are counted, the counts (65,536 at most) added
+    up on the driver, and rows beyond the cell that the last wanted row lies in left out.
+    """
+    cell = F.shiftright(hashed, 48)
+    reached, limit = 0, None
+    for r in sorted(rows.groupBy(cell.alias("cell")).count().collect(), key=lambda r: r.cell):
+        reached, limit = reached + r["count"], r.cell
+        if reached >= most:
+            break
+    return rows if limit is None else rows.where(cell <= limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, columns: list[str]) -> DataFrame:
     """At most ``most`` labelled documents to fit a classifier on, with ``label`` as 0 or 1.
 
@@ -85,7 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     be broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label))
-    chosen = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    least = least_hashed(cut(known.where(learn)), F.xxhash64("doc_id"), most)
+    chosen = least.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", *columns)
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(*[F.min(c).alias(c) for c in columns])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, forest
+from .common import connected_components, cut, forest, least_hashed
 
 THRESHOLD = 0.98
 #: Pivots for a mean list of LIST vectors, within these bounds; they come from up to SAMPLE vectors of least hash for each pivot.
@@ -194,7 +194,8 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH
         raise ValueError("2 <= shared <= depth")
     none = distinct.sparkSession.createDataFrame([], "a long, b long, links long")
     most = pivots or pivots_for(distinct.count(), depth)
-    sample = distinct.orderBy(F.xxhash64("embedding"), "rep").limit(SAMPLE * most).select("embedding").toArrow().column(0).combine_chunks()
+    least = least_hashed(distinct, F.xxhash64("embedding"), SAMPLE * most)
+    sample = least.orderBy(F.xxhash64("embedding"), "rep").limit(SAMPLE * most).select("embedding").toArrow().column(0).combine_chunks()
     if not len(sample):
         return none
     sizes = sample.value_lengths().to_numpy(zero_copy_only=False)

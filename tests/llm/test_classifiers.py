@@ -148,3 +148,15 @@ def test_a_fit_is_bounded_by_steps_and_by_words():
     for texts, positions in ((3, 400_000), (240, 4_000_000), (500, 150_000)):
         epochs = toxicity.epochs_for(texts, positions)
         assert epochs == toxicity.EPOCHS or (epochs * positions <= toxicity.VISITS and (epochs - 1) * -(-texts // toxicity.BATCH) < toxicity.LEAST_STEPS)
+
+
+def test_a_sample_is_taken_of_few_rows(spark):
+    rows = spark.range(200_000).select((F.col("id") * 7).alias("doc_id")).repartition(5)
+    least = common.least_hashed(rows, F.xxhash64("doc_id"), 1000)
+    assert 1000 <= least.count() < 1100
+    top = lambda df: [r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(1000).collect()]
+    assert top(least) == top(rows)
+    assert common.least_hashed(rows.limit(5), F.xxhash64("doc_id"), 1000).count() == 5 and common.least_hashed(rows.limit(0), F.xxhash64("doc_id"), 10).count() == 0
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    sample = common.labelled_sample(rows.withColumn("text", F.lit("x")), labels, "quality", F.lit(True), 1000, ["text"])
+    assert sorted(r.doc_id for r in sample.collect()) == sorted(top(rows))
