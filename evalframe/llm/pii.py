@@ -38,6 +38,12 @@ PLANS = {
 TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
+#: Characters that are permuted among each other; the accented ones are those of Latin-1 that have both cases.
+ACCENTED = "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, ACCENTED.upper())
+KIND_OF = {c: letters[0] for letters in ALPHABETS for c in letters}
+
+
 class Feistel:
     """Keyed permutations of numbers and digit strings."""
 
@@ -76,16 +82,22 @@ class Feistel:
                 return value
 
     def text(self, value: str, tweak: str) -> str:
-        """Permute digits among digits and letters among letters of their case; the rest stays."""
-        shape = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", value)))
+        """Permute characters among those of their alphabet (digits, letters of one case, accented letters of one case); the rest stays."""
+        shape = "".join(KIND_OF.get(c, c) for c in value)
         out = list(value)
-        for first, radix in (("0", 10), ("a", 26), ("A", 26)):
-            at = [k for k, c in enumerate(shape) if c == first]
-            new = self.digits([ord(value[k]) - ord(first) for k in at], radix, f"{tweak}|{first}|{shape}")
+        for letters in ALPHABETS:
+            at = [k for k, c in enumerate(shape) if c == letters[0]]
+            new = self.digits([letters.index(value[k]) for k in at], len(letters), f"{tweak}|{letters[0]}|{shape}")
             for k, d in zip(at, new, strict=True):
-                out[k] = chr(ord(first) + d)
+                out[k] = letters[d]
         return "".join(out)
 
+    def caseless(self, value: str, tweak: str) -> str:
+        """The same of the text in lower case, in the case that each of its characters was written in."""
+        low = "".join(c.lower() if c.lower() in KIND_OF else c for c in value)
+        new = self.text(low, tweak)
+        return "".join(b.upper() if a != c else b for a, c, b in zip(value, low, new, strict=True))
+
 
 def luhn_sum(digits: list[int]) -> int:
     return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
@@ -154,7 +166,8 @@ def _phone(value: str, f: Feistel) -> str | None:
         least, most = PLANS.get(number[:kept], (8 - kept, 15 - kept))
         if not least <= len(digits) - kept <= most:
             return None
-    return _refill(value, digits[:kept] + f.digits(digits[kept:], 10, f"phone{digits[:kept]}"))
+    # Three, three and four digits without a country's code are the same number as with the code 1.
+    return _refill(value, digits[:kept] + f.digits(digits[kept:], 10, f"phone{digits[:kept] or [1]}"))
 
 
 def _ssn(value: str, f: Feistel) -> str | None:
@@ -176,33 +189,42 @@ def _day(parts: list[str], order: tuple[int, int, int]) -> datetime.date | None:
     return day if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
 
 
+def _class_of(day: datetime.date) -> tuple[bool, bool, bool]:
+    """What a date's pseudonym must share with it, so that it can be written in whatever shape the date is: months and days of one digit, and days that are no month."""
+    return day.month < 10, day.day < 10, day.day > 12
+
+
 def _date(value: str, f: Feistel) -> str | None:
-    """Another date of the same order and widths. What is no date day first is tried month first; its pseudonym is none day first either."""
+    """Another date in the same order and widths: equal dates get equal pseudonyms in all orders and widths. What is no date day first is tried month first."""
     parts, separators = re.split(r"[-/.]", value), re.findall(r"[-/.]", value)
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]  # places of year, month and day
     order, day = next(((o, d) for o in orders if (d := _day(parts, o))), (orders[0], None))
     if day is None:
         return None
-    while True:  # along the cycle of all dates to the next one that has the format
-        day = datetime.date.fromordinal(FIRST_DAY + f.below(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-        new = [""] * 3
-        for k, x in zip(order, (day.year, day.month, day.day), strict=True):
-            new[k] = f"{x:0{len(parts[k])}d}"
-        if all(len(x) == len(y) for x, y in zip(new, parts, strict=True)) and (order != (2, 0, 1) or day.day > 12):
-            return "".join(x + s for x, s in zip(new, [*separators, ""], strict=True))
+    kind, new = _class_of(day), day
+    while True:  # along the cycle of all dates to the next one of the class
+        new = datetime.date.fromordinal(FIRST_DAY + f.below(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        if _class_of(new) == kind:
+            break
+    out = [""] * 3
+    for k, x in zip(order, (new.year, new.month, new.day), strict=True):
+        out[k] = f"{x:0{len(parts[k])}d}"
+    return "".join(x + s for x, s in zip(out, [*separators, ""], strict=True))
 
 
 def _email(value: str, f: Feistel) -> str | None:
     name, _, domain = value.rpartition("@")
     host, _, top = domain.rpartition(".")
-    return f"{f.text(name, 'name')}@{f.text(host, 'host')}.{top}"
+    return f"{f.caseless(name, 'name')}@{f.caseless(host, 'host')}.{top}"
 
 
+#: Letters beyond ASCII that a name may hold, as a class of a pattern: Latin, Greek, Cyrillic and those after them, Han and kana.
+LETTERS = "\u00c0-\u024f\u0370-\u1fff\u3040-\u9fff\uac00-\ud7a3"
 #: Kind, pattern and pseudonym of what is looked for; where matches meet, the earlier kind has the text.
 KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
-    ("email", r"(?<![\w.+%-])[A-Za-z0-9_.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", _email),
+    ("email", rf"(?<![\w.+%{LETTERS}-])[A-Za-z0-9_.+%{LETTERS}-]{{1,64}}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\.){{1,8}}[A-Za-z]{{2,24}}(?![\w-])", _email),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
-    ("card", r"(?<![\d.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\d-])", _card),
+    ("card", r"(?<![\d.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ .-][0-9]{4}){3}|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{5})(?![\d-])", _card),
     ("ip", r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\d)", _ip),
     ("date", r"(?<![\d./-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![./-]?\d)", _date),
     ("ssn", r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])", _ssn),

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -111,3 +113,74 @@ def test_equal_values_stay_linked_and_different_ones_apart(spark, middle):
             assert values.setdefault((x.kind, x.pseudonym), value) == value
         assert r.n_found == len(r.spans) and (r.text == old[r.doc_id]) == (not r.spans)
     assert {k for k, _ in links} >= {"email", "ip", "card", "phone"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(s.dates(min_value=datetime.date(1900, 1, 1), max_value=datetime.date(2099, 12, 31)))
+def test_a_date_is_linked_in_all_shapes(day):
+    d, m, y = day.day, day.month, day.year
+    shapes = [f"{y}-{m:02d}-{d:02d}", f"{y}/{m}/{d}", f"{d:02d}.{m:02d}.{y}", f"{d}/{m}/{y}"] + ([f"{m:02d}/{d:02d}/{y}", f"{m}-{d}-{y}"] if d > 12 else [])
+    new = [pii._date(x, F) for x in shapes]
+    seen = {pii._day(re.split("[-/.]", x), o) for x, o in zip(new, [(0, 1, 2)] * 2 + [(2, 1, 0)] * 2 + [(2, 0, 1)] * 2, strict=False)}
+    assert len(seen) == 1 and None not in seen
+    assert [re.sub("[0-9]", "0", x) for x in new] == [re.sub("[0-9]", "0", x) for x in shapes]
+    assert day not in seen or pii._class_of(day) == pii._class_of(seen.pop())
+
+
+def test_dates_of_a_class_are_permuted():
+    days = [datetime.date(y, m, d) for y in range(1900, 2100) for m in (10, 11, 12) for d in (10, 11, 12)]
+    new = {pii._date(x.isoformat(), F) for x in days}
+    assert new == {x.isoformat() for x in days}
+
+
+@pytest.mark.parametrize("shapes", [
+    ("+1 (212) 555-0199", "(212) 555-0199", "212.555.0199", "+12125550199", "+1-212-555-0199"), ("+49 30 1234567", "+49301234567", "+49 (30) 123-4567"), ("4111 1111 1111 1111", "4111111111111111", "4111.1111.1111.1111", "4111-1111-1111-1111"),
+])
+def test_numbers_are_linked_in_all_shapes(shapes):
+    new = [pii.Masker(b"key").mask(f"x {value} y")[0] for value in shapes]
+    digits = {re.sub("[^0-9]", "", x)[-10:] for x in new}
+    assert len(digits) == 1 and digits != {re.sub("[^0-9]", "", shapes[0])[-10:]}
+
+
+@pytest.mark.parametrize(("one", "other"), [("Jo.Doe@Example.com", "jo.doe@example.com"), ("JÖRG@example.de", "jörg@EXAMPLE.de")])
+def test_addresses_are_linked_in_either_case(one, other):
+    a, b = (pii.Masker(b"key").mask(x)[0] for x in (one, other))
+    assert a.lower() == b.lower() != other and [c.isupper() for c in a] == [c.isupper() for c in one]
+
+
+def test_whole_names_are_replaced():
+    new, found = pii.Masker(b"key").mask("mail jörg.müller@example.de, Жанна7@example.org now")
+    assert [x[:3] for x in found] == [(5, 27, "email"), (29, 47, "email")]
+    assert re.fullmatch(r"mail [a-z][à-þ][a-z]{2}\.[a-z][à-þ][a-z]{4}@[a-z]{7}\.de, Жанна[0-9]@[a-z]{7}\.org now", new) and "jörg" not in new
+
+
+SCAN = {
+    "email": r"[^\s@<>()\[\]{},;:\"'|/\\=*#!?&$^~`]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", "ip": r"(?:\d+\.)+\d+", "card": r"\d[\d .-]{11,22}\d",
+}
+
+
+def test_by_a_scanner_of_its_own(spark, middle):
+    """Every address, card and IPv4 number that a plain scan of the whole table finds is replaced, by one pseudonym for each canonical value."""
+    docs = common.read(spark, middle, "documents")
+    old = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    found = {r.doc_id: {(x.start, x.end): x for x in r.spans} for r in pii.pseudonymise(docs, b"key", keep_spans=True).collect()}
+    links, n = {}, Counter()
+    for i, text in old.items():
+        for m in re.finditer(SCAN["email"], text):
+            at, value = m.span(), m[0].lower()
+            own = next((x for (a, b), x in found[i].items() if a >= at[0] and b == at[1] and x.kind == "email"), None)
+            assert own is not None, m[0]
+            links.setdefault(("email", text[own.start : own.end].lower()), set()).add(own.pseudonym.lower())
+            n["email"] += 1
+        for m in re.finditer(rf"(?<![\d.]){SCAN['ip']}(?![\d.]*\d)", text):
+            parts = m[0].split(".")
+            if len(parts) == 4 and all(len(p) <= 3 and int(p) < 256 for p in parts):
+                assert m.span() in found[i], m[0]
+                links.setdefault(("ip", m[0]), set()).add(found[i][m.span()].pseudonym)
+                n["ip"] += 1
+        for m in re.finditer(r"(?<![\d.+-])\d{4}(?:[ .-]?\d{4}){3}(?![\d-])", text):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            if sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0 and len({c for c in m[0] if not c.isdigit()}) <= 1 and m[0].count(m[0][4]) in (3, *range(4, 17)) and any(digits):
+                assert any(a <= m.start() and b >= m.end() for a, b in found[i]), m[0]
+                n["card"] += 1
+    assert all(len(v) == 1 for v in links.values()) and n["email"] > 5 and n["ip"] > 0
