@@ -375,6 +375,13 @@ def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.rates_so_far(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "value"))
 
 
+def stream_rates_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events dealt over twelve files without regard to time, two a batch: every batch has rows of windows that earlier ones began."""
+    folder = f"{store.shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    star.table(spark, sf_dir, "events").repartition(12, F.xxhash64("event_id")).write.parquet(folder)
+    return rounded(live.rates_so_far(spark, folder, "ts", ["event_type"], "value", files=2))
+
+
 POOL = 20
 
 
@@ -433,7 +440,7 @@ def queries() -> dict[str, Query]:
         fragility_examples, runtime_latency, runtime_tokens, reasoning_tokens, reasoning_by_difficulty, reasoning_efficiency, event_value_percentiles, item_outcomes, outcomes_by_family, outcome_totals, run_list,
         run_labels, run_families, run_tag_mismatch, leaderboard, metrics_tidy, results_export_rows, results_export_all, token_entropy_stats, stream_event_fold, telemetry_builder, build_messages, seed_hash, slugify, ordinals,
         provider_from_url, provider_fixture, json_metadata, stream_event_rates, gen_dataset, gen_spec_counts, gen_support_matrix, mock_run_profile, store_items_latest, store_runs_latest, store_telemetry_lookup,
-        run_log_lines, run_in_steps, metrics_kept, event_rows_fold, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
+        stream_rates_many_files, run_log_lines, run_in_steps, metrics_kept, event_rows_fold, run_class_mismatch, json_keys, outcomes_in_order, families_together, messages_by_role, messages_next_turn, sentences, gen_identifiers,
     ):
         out[f.__name__] = f
     return out | {f"verify_{f.name}": verify_of(f.name) for f in spec.FAMILIES}
