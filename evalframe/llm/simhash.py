@@ -14,7 +14,8 @@ that a cell holds few of them at every size; all choices find the same links.
 A similarity of shingle sets such as 0.8 leaves more differing bits than 64 can
 tell apart from chance, and more than three groups. ``one_of_each`` therefore
 takes wide fingerprints, cells of equal bits in bands, and the same bound and
-exact distance within a cell.
+exact distance within a cell. Of what these bring together, pairs that could be
+on either side of the similarity are decided by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ BLOCK = 1024
 PAIRS = 1 << 20
 #: Words of a wide fingerprint; fingerprints that share a key of a band on average, at most; probability with which bands bring a pair at the bound together.
 WIDE, CELL, RECALL = 8, 64, 0.97
+#: Standard deviations of the distance at the wanted similarity: pairs nearer than that are sure to link, farther ones are not looked at.
+DEVIATIONS = 3.0
+#: Nodes (eight bytes each) that are sent to all tasks at most; more are shuffled.
+SENT = 1_000_000
 #: A segment's bits moved to its low end: the bits in which two of those differ are the difference of the counts.
 UNARY = np.array([(1 << b.bit_count()) - 1 for b in range(256)], np.uint8)
 
@@ -226,14 +231,14 @@ def wide_fingerprint(text: bytes, n: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def bits_of(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which sets count as of this Jaccard similarity: what is expected there and one standard deviation.
+def bits_of(similarity: float, deviations: float = 1.0) -> int:
+    """Differing bits of wide fingerprints that sets of this Jaccard similarity have: what is expected, and so many standard deviations more.
 
     Sets of similarity s and equal size have the cosine 2 s / (1 + s); a bit
     differs with the angle's share of a half turn.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
+    return int(64 * WIDE * share + deviations * math.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def bands_for(n: int, bits: int) -> np.ndarray:
@@ -249,13 +254,34 @@ def bands_for(n: int, bits: int) -> np.ndarray:
     return np.stack([rng.choice(64 * WIDE, size, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))])
 
 
-def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes of wide fingerprints ``(node, fp)`` that differ in ``bits`` or fewer bits: of each cell a spanning forest.
-
-    A cell holds what agrees in all bits of a band; in it the Manhattan distance
-    of the segment counts and then the exact distance decide. Cells of more than
-    BLOCK are dealt out as pairs of blocks.
-    """
+def lightest(root: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int = 1) -> np.ndarray:
+    """Which of the pairs (a, b) make up so many edge-disjoint spanning forests of least distances, between rows that ``root`` does not put together."""
+    left = np.lexsort((b, a, distance))
+    chosen = []
+    for _ in range(forests):
+        tree, label, rank = [], root, np.arange(len(left))
+        while True:
+            x, y = label[a[left[rank]]], label[b[left[rank]]]
+            apart = x != y
+            rank, x, y = rank[apart], x[apart], y[apart]
+            if not len(rank):
+                break
+            best = np.full(len(root), len(left))
+            np.minimum.at(best, x, rank)
+            np.minimum.at(best, y, rank)
+            tree.append(np.unique(best[best < len(left)]))
+            picked = left[tree[-1]]
+            label = forest(len(root), label[a[picked]], label[b[picked]])[label]
+        if not tree:
+            break
+        picked = np.concatenate(tree)
+        chosen.append(left[picked])
+        left = np.delete(left, picked)
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def keyed(distinct: DataFrame, bits: int) -> DataFrame:
+    """``(node, class, words, codes)`` of wide fingerprints ``(node, fp)``: each a class of its own, its words of 64 bits, and its key in each band."""
     bands = bands_for(distinct.count(), bits)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +293,24 @@ def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (whole, codes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["node", "words", "codes"])
 
-    told = cut(distinct.select("node", "fp").mapInArrow(keys_of, "node long, words array<long>, codes array<long>"))
-    cells = told.select("node", "words", F.posexplode("codes").alias("band", "code"))
+    told = distinct.select("node", "fp").mapInArrow(keys_of, "node long, words array<long>, codes array<long>")
+    return cut(told.withColumn("class", F.col("node")))
+
+
+def wide_links(told: DataFrame, sure: int, most: int, forests: int = 1) -> DataFrame:
+    """Links and candidates ``(a, b, sure)`` between nodes of ``told``, as ``keyed`` gives it.
+
+    A cell holds what agrees in all bits of a band; in it the Manhattan distance
+    of the segment counts and then the exact distance decide. What differs in
+    ``sure`` bits or fewer is linked by a spanning forest; of pairs of up to
+    ``most`` bits those are candidates that make up ``forests`` spanning forests
+    of least distances between what is not linked and not of one class. Pairs in
+    the column ``refused``, if there is one (partners by the lesser node), are
+    none. Cells of more than BLOCK are dealt out as pairs of blocks.
+    """
+    again = "refused" in told.columns
+    own = ["node", "class", "words", *["refused"] * again]
+    cells = told.select(*own, F.posexplode("codes").alias("band", "code"))
     hot = cut(cells.groupBy("band", "code").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     n_hot = hot.count()
     if n_hot:
@@ -277,30 +319,112 @@ def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
     cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["band", "code", "b1", "b2"]
     cells = cells.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    dealt = cells.select(*keys, "block", "node", *[F.get("words", k).alias(f"w{k}") for k in range(WIDE)]).repartition(*keys).sortWithinPartitions(*keys)
+    wide = [F.get("words", k).alias(f"w{k}") for k in range(WIDE)]
+    dealt = cells.select(*keys, "block", "node", "class", *wide, *["refused"] * again).repartition(*keys).sortWithinPartitions(*keys)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches, len(keys)):
             new = np.any([c[1:] != c[:-1] for c in columns[: len(keys)]], axis=0)
-            fp = np.stack(columns[len(keys) + 2 :], axis=1).view(np.uint64)
+            fp = np.stack(columns[7 : 7 + WIDE], axis=1).view(np.uint64)
             cell, count = np.cumsum(np.concatenate([[0], new])), np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
             order = np.lexsort((count, cell))
-            fp, node, side = fp[order], columns[len(keys) + 1][order], np.where(columns[2] == columns[3], -1, columns[4])[order]
-            for a, b, _ in close(fp, cell[order], count[order], bits, side):
-                if len(a):
-                    root = forest(len(fp), a, b)
-                    child = np.flatnonzero(root != np.arange(len(fp)))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], ["a", "b"])
+            side = np.where(columns[2] == columns[3], -1, columns[4])[order]
+            fp, cell, count, node, kind = fp[order], cell[order], count[order], columns[5][order], columns[6][order]
+            _, first, of = np.unique(np.stack([cell, kind], axis=1), axis=0, return_index=True, return_inverse=True)
+            before = root = first[of.ravel()]
+            tested = {(x, y) for x, others in zip(columns[5].tolist(), columns[-1], strict=True) for y in others} if again else set()
+            a = b = d = np.zeros(0, np.int64)
+            for x, y, _ in close(fp, cell, count, most, side):
+                apart = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
+                near = apart <= sure
+                if near.any():
+                    root = forest(len(fp), np.concatenate([np.arange(len(fp)), x[near]]), np.concatenate([root, y[near]]))
+                open_ = ~near & (root[x] != root[y])
+                if tested:
+                    lo, hi = np.minimum(node[x], node[y]).tolist(), np.maximum(node[x], node[y]).tolist()
+                    open_ &= np.fromiter((pair not in tested for pair in zip(lo, hi, strict=True)), bool, len(lo))
+                a, b, d = (np.concatenate(c) for c in ((a, x[open_]), (b, y[open_]), (d, apart[open_])))
+                a, b, d = (c[lightest(root, a, b, d, forests)] for c in (a, b, d))
+            kept = lightest(root, a, b, d, forests)
+            child = np.flatnonzero(root != before)
+            left, right = np.concatenate([node[child], node[a[kept]]]), np.concatenate([node[root[child]], node[b[kept]]])
+            if len(left):
+                told_sure = pa.array(np.arange(len(left)) < len(child))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), told_sure], ["a", "b", "sure"])
+
+    return dealt.mapInArrow(join, "a long, b long, sure boolean")
+
+
+def sent(nodes: DataFrame) -> DataFrame:
+    """A checkpointed list of nodes, to be sent to all tasks if it has SENT rows or fewer."""
+    return F.broadcast(nodes) if nodes.count() <= SENT else nodes
+
+
+def alike(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(a, b, linked)`` for ``pairs`` of nodes of ``texts`` (``node, text``): whether their sets of shingles have this Jaccard similarity or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text, words)).tobytes() for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
-    return dealt.mapInArrow(join, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = cut(texts.join(sent(ends), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary"))
+    with_a = pairs.join(held.toDF("a", "x"), "a")
+    return with_a.join(held.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+
+
+def near_copies(distinct: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(node, class)`` of nodes with near copies among ``distinct`` (``node, fp, text``) that are not the least of their class.
+
+    Candidates are tried in rounds. A round takes of each cell a spanning forest
+    of candidates between classes and decides them by their sets; those that
+    link merge classes. Where one does not, the classes at its ends may still be
+    linked by other pairs, so these classes are looked at again without the
+    pairs that were tried, by twice as many forests, until none is left to try.
+    """
+    sure, most = bits_of(similarity, -DEVIATIONS), bits_of(similarity, DEVIATIONS)
+    told = keyed(distinct, bits_of(similarity))
+    found = cut(wide_links(told, sure, most))
+    links = found.where("sure").select("a", "b")
+    pairs = cut(found.where("not sure").select("a", "b").distinct())
+    texts, refused, forests = distinct.select("node", "text"), None, 1
+    while pairs.count():
+        judged = cut(alike(texts, pairs, words, similarity))
+        links = cut(links.unionByName(judged.where("linked").select("a", "b")))
+        joined = connected_components(links).toDF("node", "class")
+        failed = judged.where("not linked").select("a", "b")
+        refused = cut(refused.unionByName(failed) if refused else failed)
+        of = lambda end: joined.toDF(end, f"class_{end}")  # noqa: E731, B023
+        apart = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("x"), F.coalesce("class_b", "b").alias("y"))
+        active = cut(apart.where("x <> y").select(F.explode(F.array("x", "y")).alias("class")).distinct())
+        if not active.count():
+            return joined
+        forests *= 2
+        classes = told.drop("class").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        lists = refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+        again = classes.join(sent(active), "class", "left_semi").join(lists, "node", "left")
+        again = cut(again.withColumn("refused", F.coalesce("refused", F.array().cast("array<long>"))))
+        pairs = cut(wide_links(again, sure, most, forests).where("not sure").select("a", "b").distinct())
+    return connected_components(links).toDF("node", "class")
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with ``columns``: that of the smallest id.
 
-    Texts are near copies if the sets of their ``words``-word shingles have, as
-    their wide fingerprints tell, a Jaccard similarity of ``similarity`` or more;
-    groups are what such links connect. Texts of any length count whole. Null and
+    Texts are near copies if the sets of their ``words``-word shingles have a
+    Jaccard similarity of ``similarity`` or more; groups are what such links
+    connect. Wide fingerprints find the pairs, and decide those that differ in
+    so few bits that chance hardly leads there; sets decide the others. Texts of any length count whole. Null and
     empty texts and texts without words are copies of each other. Null ids come
     after all others; of rows of one id the one that is first by its other columns
     stays, and different texts of one id are in groups of their own. Repeated rows
@@ -318,8 +442,9 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], words: int = 5, simil
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.col(c) for c in columns if c != id_col])
     first = told.groupBy(F.col("__fp").alias("fp")).agg(F.min_by(F.struct(*columns), order).alias("row")).withColumn("node", F.monotonically_increasing_id())
     distinct = cut(first)
-    joined = connected_components(wide_links(distinct, bits_of(similarity)))
+    joined = near_copies(distinct.select("node", "fp", F.col("row")[text_col].alias("text")), words, similarity)
     ids = distinct.select("node", "fp", F.col("row")[id_col].alias("id"))
-    group = ids.join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
-    kept = group.groupBy("group").agg(F.min_by("node", F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("node"))
-    return distinct.join(kept.select("node"), "node", "left_semi").select("row.*")
+    group = cut(ids.join(joined, "node", "left").withColumn("group", F.coalesce("class", "node")).drop("class"))
+    kept = group.groupBy("group").agg(F.min_by("node", F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("kept"))
+    lost = cut(group.join(kept, "group").where("node <> kept").select("node"))
+    return distinct.join(sent(lost), "node", "left_anti").select("row.*")

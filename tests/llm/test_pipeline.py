@@ -7,10 +7,10 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from evalframe.llm import bpe, common, decontam, pii, queries, simhash, toxicity
+from evalframe.llm import bpe, common, decontam, pii, queries, toxicity
 
 from .test_decontam import brute
-from .test_simhash import brute_components, brute_wide_fingerprint
+from .test_simhash import brute_near_copies
 
 
 def rows(df):
@@ -27,8 +27,7 @@ def test_stages(spark, small):
     after = spark.createDataFrame(list(kept.values()), docs.schema)
 
     single = rows(p.drop_near_duplicates(spark, after, small))
-    bits = simhash.bits_of(0.8)
-    classes = brute_components({i: brute_wide_fingerprint(r.text or "", 5) for i, r in kept.items()}, bits)
+    classes = brute_near_copies({i: r.text or "" for i, r in kept.items()})
     assert set(single) == set(classes.values()) and len(single) < len(kept)
     assert all(single[i] == kept[i] for i in single)
     after = spark.createDataFrame(list(single.values()), docs.schema)

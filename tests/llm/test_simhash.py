@@ -53,6 +53,28 @@ def brute_components(fps: dict[int, int], bits: int = 3) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
+def brute_near_copies(texts: dict[int, str], similarity: float = 0.8) -> dict[int, int]:
+    """Smallest id reachable by pairs of this Jaccard similarity of five-word shingles, of all pairs."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) for i, t in texts.items()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            union = len(sets[a]) + len(sets[b]) - both
+            if not union or both / union >= similarity:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
 @pytest.mark.parametrize("text", ["", " \x0b\t", "one", "One two", "a b c", "a b c d A B C D", "ÄÖ ü\u00a0x y z", "x " * 5000])
 def test_fingerprint(text):
     got = simhash.fingerprint(text.encode()) & (1 << 64) - 1
@@ -149,7 +171,7 @@ def test_bits_of_a_similarity_and_bands_for_it():
 
 
 def test_near_copies_by_exact_similarity(spark, middle):
-    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 keep one text; what else goes is not far below that."""
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 keep one text, and nothing else goes."""
     docs = common.read(spark, middle, "documents")
     sets = {r.doc_id: frozenset(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in docs.select("doc_id", "text").collect()}
     ids, root, nearest = sorted(sets), {i: i for i in sets}, dict.fromkeys(sets, 0.0)
@@ -171,7 +193,7 @@ def test_near_copies_by_exact_similarity(spark, middle):
     want = {find(i) for i in ids}
     kept = {r.doc_id for r in simhash.one_of_each(docs, ("doc_id", "text")).collect()}
     assert len(want) < len(ids) and len(kept - want) <= 1
-    assert len(want - kept) <= 0.01 * len(want) and all(nearest[i] >= 0.7 for i in want - kept)
+    assert not want - kept, {i: nearest[i] for i in want - kept}
 
 
 @pytest.mark.parametrize("block", [1024, 16])
@@ -182,3 +204,58 @@ def test_a_crowd_of_near_copies(spark, monkeypatch, block):
     rows = [(i, " ".join("z" if rng.random() < 0.004 else w for w in base)) for i in range(200)] + [(1000 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(50)]
     kept = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text")).collect())
     assert kept == [0, *range(1000, 1050)]
+
+
+@pytest.mark.parametrize("forests", [1, 2, 5])
+def test_lightest_forests(forests):
+    """Against Kruskal's rule, on rows of which some are put together; what is left of a forest goes to the next."""
+    rng = np.random.default_rng(forests)
+    n = 40
+    root = np.arange(n)
+    root[30:] = 3
+    a, b, d = rng.integers(0, n, 300), rng.integers(0, n, 300), rng.integers(0, 9, 300)
+    left, want = sorted(range(300), key=lambda i: (d[i], a[i], b[i])), []
+    for _ in range(forests):
+        label, rest = root.tolist(), []
+        for i in left:
+            x, y = label[a[i]], label[b[i]]
+            if x == y:
+                rest.append(i)
+                continue
+            want.append(i)
+            label = [x if v == y else v for v in label]
+        left = rest
+    assert sorted((d[i], a[i], b[i]) for i in simhash.lightest(root, a, b, d, forests)) == sorted((d[i], a[i], b[i]) for i in want)
+
+
+def jaccard(x: str, y: str) -> float:
+    p, q = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (x, y))
+    return len(p & q) / len(p | q)
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_pairs_on_either_side_of_the_similarity(spark, monkeypatch, block):
+    """Copies of a few texts that are edited until they are about 0.8 alike: sets decide, in several rounds, and no pair that was refused keeps another from being tried."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "RECALL", 1 - 1e-9)
+    monkeypatch.setattr(simhash, "DEVIATIONS", 6.0)
+    rng = random.Random(11)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(300)]
+        rows += [(g * 100 + k, " ".join(f"e{g}x{k}x{i}" if rng.random() < 0.004 + 0.001 * k else w for i, w in enumerate(base))) for k in range(24)]
+    root = {i: i for i, _ in rows}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[k + 1 :]:
+            if i // 100 == j // 100 and jaccard(x, y) >= 0.8:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text")).collect()}
+    want = {find(i) for i, _ in rows}
+    assert 4 < len(want) < len(rows) and kept == want
