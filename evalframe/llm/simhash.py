@@ -43,6 +43,8 @@ PAIRS = 1 << 20
 WIDE, CELL, RECALL = 8, 64, 0.97
 #: Standard deviations of the distance at the wanted similarity: pairs nearer than that are sure to link, farther ones are not looked at.
 DEVIATIONS = 3.0
+#: Candidates of a cell in the first round, if these are more than one for each row, and times that of each further round.
+TRIED, MORE = 2048, 8
 #: Nodes (eight bytes each) that are sent to all tasks at most; more are shuffled.
 SENT = 1_000_000
 #: A segment's bits moved to its low end: the bits in which two of those differ are the difference of the counts.
@@ -254,11 +256,12 @@ def bands_for(n: int, bits: int) -> np.ndarray:
     return np.stack([rng.choice(64 * WIDE, size, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))])
 
 
-def lightest(root: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int = 1) -> np.ndarray:
-    """Which of the pairs (a, b) make up so many edge-disjoint spanning forests of least distances, between rows that ``root`` does not put together."""
+def lightest(root: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) make up as many edge-disjoint spanning forests of least distances as ``forests`` has for their rows, between rows that ``root`` does not put together."""
     left = np.lexsort((b, a, distance))
     chosen = []
-    for _ in range(forests):
+    for k in range(int(forests.max(initial=0))):
+        left = left[forests[a[left]] > k]
         tree, label, rank = [], root, np.arange(len(left))
         while True:
             x, y = label[a[left[rank]]], label[b[left[rank]]]
@@ -297,14 +300,15 @@ def keyed(distinct: DataFrame, bits: int) -> DataFrame:
     return cut(told.withColumn("class", F.col("node")))
 
 
-def wide_links(told: DataFrame, sure: int, most: int, forests: int = 1) -> DataFrame:
+def wide_links(told: DataFrame, sure: int, most: int, times: int = 1) -> DataFrame:
     """Links and candidates ``(a, b, sure)`` between nodes of ``told``, as ``keyed`` gives it.
 
     A cell holds what agrees in all bits of a band; in it the Manhattan distance
     of the segment counts and then the exact distance decide. What differs in
     ``sure`` bits or fewer is linked by a spanning forest; of pairs of up to
-    ``most`` bits those are candidates that make up ``forests`` spanning forests
-    of least distances between what is not linked and not of one class. Pairs in
+    ``most`` bits those are candidates that make up spanning forests of least
+    distances between what is not linked and not of one class, ``times`` as many
+    as come to TRIED pairs in a cell, and at least one. Pairs in
     the column ``refused``, if there is one (partners by the lesser node), are
     none. Cells of more than BLOCK are dealt out as pairs of blocks.
     """
@@ -332,6 +336,7 @@ def wide_links(told: DataFrame, sure: int, most: int, forests: int = 1) -> DataF
             fp, cell, count, node, kind = fp[order], cell[order], count[order], columns[5][order], columns[6][order]
             _, first, of = np.unique(np.stack([cell, kind], axis=1), axis=0, return_index=True, return_inverse=True)
             before = root = first[of.ravel()]
+            forests = times * np.maximum(1, TRIED // np.bincount(cell)[cell])
             tested = {(x, y) for x, others in zip(columns[5].tolist(), columns[-1], strict=True) for y in others} if again else set()
             a = b = d = np.zeros(0, np.int64)
             for x, y, _ in close(fp, cell, count, most, side):
@@ -386,36 +391,39 @@ def alike(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 def near_copies(distinct: DataFrame, words: int, similarity: float) -> DataFrame:
     """``(node, class)`` of nodes with near copies among ``distinct`` (``node, fp, text``) that are not the least of their class.
 
-    Candidates are tried in rounds. A round takes of each cell a spanning forest
+    Candidates are tried in rounds. A round takes of each cell spanning forests
     of candidates between classes and decides them by their sets; those that
-    link merge classes. Where one does not, the classes at its ends may still be
-    linked by other pairs, so these classes are looked at again without the
-    pairs that were tried, by twice as many forests, until none is left to try.
+    link merge classes. Where one does not, the classes at its ends may
+    still be linked by other pairs, so these classes are looked at again without
+    the pairs that were tried, by MORE times the forests, until none is left.
     """
     sure, most = bits_of(similarity, -DEVIATIONS), bits_of(similarity, DEVIATIONS)
     told = keyed(distinct, bits_of(similarity))
     found = cut(wide_links(told, sure, most))
     links = found.where("sure").select("a", "b")
     pairs = cut(found.where("not sure").select("a", "b").distinct())
-    texts, refused, forests = distinct.select("node", "text"), None, 1
-    while pairs.count():
+    texts, refused, times = distinct.select("node", "text"), None, 1
+    if not pairs.count():
+        return connected_components(links).toDF("node", "class")
+    while True:
         judged = cut(alike(texts, pairs, words, similarity))
-        links = cut(links.unionByName(judged.where("linked").select("a", "b")))
+        links = links.unionByName(judged.where("linked").select("a", "b"))
         joined = connected_components(links).toDF("node", "class")
         failed = judged.where("not linked").select("a", "b")
-        refused = cut(refused.unionByName(failed) if refused else failed)
+        refused = refused.unionByName(failed) if refused else failed
         of = lambda end: joined.toDF(end, f"class_{end}")  # noqa: E731, B023
         apart = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("x"), F.coalesce("class_b", "b").alias("y"))
         active = cut(apart.where("x <> y").select(F.explode(F.array("x", "y")).alias("class")).distinct())
         if not active.count():
             return joined
-        forests *= 2
+        times *= MORE
         classes = told.drop("class").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
         lists = refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
         again = classes.join(sent(active), "class", "left_semi").join(lists, "node", "left")
         again = cut(again.withColumn("refused", F.coalesce("refused", F.array().cast("array<long>"))))
-        pairs = cut(wide_links(again, sure, most, forests).where("not sure").select("a", "b").distinct())
-    return connected_components(links).toDF("node", "class")
+        pairs = cut(wide_links(again, sure, most, times).where("not sure").select("a", "b").distinct())
+        if not pairs.count():
+            return joined
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,7 +452,7 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], words: int = 5, simil
     distinct = cut(first)
     joined = near_copies(distinct.select("node", "fp", F.col("row")[text_col].alias("text")), words, similarity)
     ids = distinct.select("node", "fp", F.col("row")[id_col].alias("id"))
-    group = cut(ids.join(joined, "node", "left").withColumn("group", F.coalesce("class", "node")).drop("class"))
+    group = ids.join(joined, "node", "left").withColumn("group", F.coalesce("class", "node")).drop("class")
     kept = group.groupBy("group").agg(F.min_by("node", F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("kept"))
     lost = cut(group.join(kept, "group").where("node <> kept").select("node"))
     return distinct.join(sent(lost), "node", "left_anti").select("row.*")

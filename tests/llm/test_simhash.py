@@ -225,7 +225,7 @@ def test_lightest_forests(forests):
             want.append(i)
             label = [x if v == y else v for v in label]
         left = rest
-    assert sorted((d[i], a[i], b[i]) for i in simhash.lightest(root, a, b, d, forests)) == sorted((d[i], a[i], b[i]) for i in want)
+    assert sorted((d[i], a[i], b[i]) for i in simhash.lightest(root, a, b, d, np.full(n, forests))) == sorted((d[i], a[i], b[i]) for i in want)
 
 
 def jaccard(x: str, y: str) -> float:
@@ -239,6 +239,7 @@ def test_pairs_on_either_side_of_the_similarity(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "RECALL", 1 - 1e-9)
     monkeypatch.setattr(simhash, "DEVIATIONS", 6.0)
+    monkeypatch.setattr(simhash, "TRIED", block // 8)
     rng = random.Random(11)
     rows = []
     for g in range(4):
