@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialise
+from .sampling import numbered
 
 #: Label, column of a profile, and whether more is better.
 ROWS = (
     ("overall acc", "overall_accuracy", True), ("strict acc", "strict_accuracy", True), ("coverage", "coverage", True), ("calibration ECE", "ece", False),
     ("answer-flip", "answer_flip_rate", False), ("confabulation", "confabulation_rate", False), ("maj@k", "maj_at_k", True),
 )
+#: The classes at a word are dealt into so many blocks, of which each meets each.
+BLOCKS = 8
 
 
 def run_families(responses: DataFrame, items: DataFrame) -> DataFrame:
@@ -39,14 +44,29 @@ def run_classes(runs: DataFrame, families: DataFrame) -> DataFrame:
 def class_mismatch(classes: DataFrame) -> DataFrame:
     """Pairs of classes over different tags that share families: ``tag_1, families_1, n_runs_1, tag_2, families_2, n_runs_2, shared_families``.
 
-    However many runs there are, pairs are made of classes, and each class meets
-    those that it shares a family with. The first of a pair has the smaller tag.
+    However many runs there are, pairs are made of classes. The first of a pair has
+    the smaller tag. Families are numbered, and classes meet at each word of 64
+    families of which they share any; a pair is told at the first such word, so
+    pairs are neither shuffled nor kept. The classes of a word are dealt into blocks
+    that meet each other in tasks of their own, as there may be but one word.
     """
     counted = classes.where("families <> ''").groupBy("tag", "families").agg(F.count("*").alias("n_runs"))
-    each = materialise(counted.withColumn("family", F.explode(F.split("families", ","))))
-    a, b = (each.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families", "n_runs")]) for k in (1, 2))
-    pairs = a.join(b, (a.family == b.family) & (F.col("tag_1") < F.col("tag_2")))
-    return pairs.groupBy("tag_1", "families_1", "n_runs_1", "tag_2", "families_2", "n_runs_2").agg(F.count("*").alias("shared_families"))
+    each = materialise(counted.withColumn("family", F.explode(F.array_distinct(F.split("families", ",")))))
+    numbers = numbered(each.select("family").distinct(), ["family"])
+    whole = each.join(numbers, "family").groupBy("tag", "families", "n_runs").agg(F.sort_array(F.collect_list("position")).alias("own"))
+    of = whole.withColumns({"block": F.pmod(F.xxhash64("tag", "families"), F.lit(BLOCKS)).cast("int"), "at": F.explode("own")})
+    mask = F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("mask")
+    words = materialise(of.groupBy("tag", "families", "n_runs", "own", "block", F.floor(F.col("at") / 64).alias("word")).agg(mask))
+    told = words.withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    tasks = max(BLOCKS * BLOCKS, classes.sparkSession.sparkContext.defaultParallelism)
+    a, b = (
+        told.select("word", F.col(first).alias("block_1"), F.col(second).alias("block_2"), *[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families", "n_runs", "own", "mask")]).repartition(tasks, "word", "block_1", "block_2")
+        for k, first, second in ((1, "block", "against"), (2, "against", "block"))
+    )
+    shared = F.array_intersect("own_1", "own_2")  # in the order of the first
+    meet = reduce(Column.__and__, [a[c] == b[c] for c in ("word", "block_1", "block_2")])
+    pairs = a.join(b, meet & (F.col("tag_1") < F.col("tag_2")) & (F.col("mask_1").bitwiseAND(F.col("mask_2")) != 0) & (F.floor(F.get(shared, F.lit(0)) / 64) == a.word))
+    return pairs.select("tag_1", "families_1", "n_runs_1", "tag_2", "families_2", "n_runs_2", F.size(shared).cast("long").alias("shared_families"))
 
 
 def tag_mismatch(runs: DataFrame, families: DataFrame) -> DataFrame:

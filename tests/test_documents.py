@@ -40,3 +40,16 @@ def test_many_runs_make_few_classes(spark):
     bare = spark.createDataFrame([(1, None), (2, "t"), (3, "u")], "run_id long, dataset_tag string")
     own = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "run_id long, family string")
     assert [(r.run_1, r.run_2, r.tag_1, r.tag_2) for r in compare.tag_mismatch(bare, own).collect()] == [(1, 2, "", "t")]
+
+
+def test_classes_that_share_many_families_meet_once(spark):
+    """Sets over 150 families, so that pairs share families of several words of 64: one row a pair, and nothing is aggregated over pairs."""
+    rows = [(f"t{c % 3}", sorted({f"f{(c * 7 + k * k * (1 + c % 5)) % 150:03d}" for k in range(c % 13)})) for c in range(60)]
+    classes = spark.createDataFrame([(i, tag, ",".join(f)) for i, (tag, f) in enumerate(rows)], "run_id long, tag string, families string")
+    found = compare.class_mismatch(classes)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    kept = {(tag, tuple(f)) for tag, f in rows if f}
+    want = {(a, ",".join(f), b, ",".join(g)): len({*f} & {*g}) for a, f in kept for b, g in kept if a < b and {*f} & {*g}}
+    got = found.collect()
+    assert {(r.tag_1, r.families_1, r.tag_2, r.families_2): r.shared_families for r in got} == want and len(got) == len(want) > 100
+    assert max(want.values()) > 2 and sum(r.n_runs_1 for r in got) >= len(got)
