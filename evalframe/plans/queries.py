@@ -20,6 +20,8 @@ from ..streaming import committed, live, states
 from . import fixtures, talks, transcripts
 
 PLACES = 9
+#: Long runs are stored in about so many steps.
+STEPS = 16
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -91,12 +93,12 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of the conversations put to a client that answers by a rule, and stored step by step; then once more, which asks only what failed."""
+    """Every turn of the conversations put to a client that answers by a rule, and stored step by step, 250 turns each or a sixteenth of a long run; then once more, which asks only what failed."""
     s = _store(spark)
     s.upsert("items", talks.items(spark, sf_dir))
     ask = lambda items: respond.run_client(items, "steps", talks.client, sleep=lambda seconds: None)
     for _ in range(2):
-        committed.run_in_steps(s, "steps", ask, commit_every=250)
+        committed.run_in_steps(s, "steps", ask, commit_every=250, steps=STEPS)
     r = s.read("responses")
     return rounded(r.select("item_id", "sample_idx", "raw", "parsed", "correct", "confidence", "prompt_tokens", "completion_tokens", F.col("metadata.parse_source").alias("source"), F.col("metadata.intermediate_correct").alias("intermediate_correct"), F.col("metadata.intermediate_parsed").alias("intermediate_parsed")))
 

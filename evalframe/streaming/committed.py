@@ -68,7 +68,7 @@ def _queue(items: DataFrame, folder: str, commit_every: int) -> int:
 
 def run_in_steps(
     store: Store, run_id: str, respond: Callable[[DataFrame], DataFrame], commit_every: int = COMMIT_EVERY, files: int = 1, resume: bool = True,
-    chosen: Callable[[DataFrame], DataFrame] = lambda items: items, watch: Callable[[Progress], None] = lambda progress: None,
+    chosen: Callable[[DataFrame], DataFrame] = lambda items: items, watch: Callable[[Progress], None] = lambda progress: None, steps: int | None = None,
 ) -> Progress:
     """Put the stored items that this run has not done to a model, ``files`` times ``commit_every`` items a step, each stored before the next.
 
@@ -77,7 +77,10 @@ def run_in_steps(
     whose call failed before among them. Without ``resume`` a new queue holds all
     items. ``chosen`` narrows the items that are queued. ``watch`` is told of each
     stored step. A step is dealt out over all cores, so its size, not a file's,
-    should be some items for each of them.
+    should be some items for each of them. What a step costs beside its items does
+    not shrink with them: with ``steps``, a queue of more files than that many steps
+    would take is gone through in that many, of more files each, so the time of a
+    long run grows with its items alone, and a lost job loses that share of it.
     """
     notes = Folder(store.spark, _folder(store, run_id))
     began, state = time.monotonic(), Progress(0)
@@ -86,23 +89,25 @@ def run_in_steps(
         for n in open_:
             notes.remove(f"open-{n}")
     elif open_:
-        _work_off(store, run_id, open_[-1], respond, files, watch, state, began)
+        _work_off(store, run_id, open_[-1], respond, files, watch, state, began, steps)
     items = chosen(store.read("items"))
     left = todo(items, store.read("responses"), run_id) if resume else items
     name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     n = _queue(left, f"{notes.path}/{name}", commit_every)
     if n:
         notes.put(f"open-{name}", str(n))
-        _work_off(store, run_id, name, respond, files, watch, state, began)
+        _work_off(store, run_id, name, respond, files, watch, state, began, steps)
     return state
 
 
-def _work_off(store: Store, run_id: str, name: str, respond: Callable[[DataFrame], DataFrame], files: int, watch: Callable[[Progress], None], state: Progress, began: float) -> None:
+def _work_off(store: Store, run_id: str, name: str, respond: Callable[[DataFrame], DataFrame], files: int, watch: Callable[[Progress], None], state: Progress, began: float, steps: int | None = None) -> None:
     """Go through a queue from where it stands to its end, and close it."""
     spark, notes = store.spark, Folder(store.spark, _folder(store, run_id))
     queue = f"{notes.path}/{name}/items"
     kept = spark.read.parquet(queue)
     columns = StructType.fromDDL(RESPONSES).names
+    if steps:
+        files = max(files, -(-sum(n.endswith(".parquet") for n in Folder(spark, queue).names()) // steps))
     state.items += int(notes.get(f"open-{name}"))
     if any(n.startswith(name) for n in store._log("responses", "names").names()):  # it was begun before
         own = store.read("responses").where(F.col("run_id") == run_id)

@@ -83,6 +83,18 @@ def test_a_step_that_is_delivered_again_is_not_asked_again(spark, tmp_path, monk
     assert not stored & set().union(*again) and store.read("responses").count() == 8
 
 
+def test_long_runs_take_no_more_steps_than_told(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 2)
+    store.upsert("items", _items(spark, 40))
+    asked = []
+    done = committed.run_in_steps(store, "r", _respond(asked), 2, steps=3)
+    assert len(asked) <= 3 and done.remaining == 0 and set().union(*asked) == {f"i{k:04d}" for k in range(40)} and sum(map(len, asked)) == 40
+    assert store.read("responses").count() == 40
+    few = []
+    committed.run_in_steps(store, "r", _respond(few), 2, steps=3)  # the four that failed: steps of two, as without
+    assert all(len(x) <= 2 for x in few) and set().union(*few) == {f"i{k:04d}" for k in range(40) if k % 10 == 9}
+
+
 def test_samples_and_no_items(spark, tmp_path):
     store = Store(spark, str(tmp_path), 2)
     store.upsert("items", _items(spark, 5))
