@@ -1,7 +1,8 @@
 """From responses to one row per run and item, the frame that most metrics start from.
 
 All aggregates here combine before their shuffle, so an item with very many
-samples is no hot spot, and columns that a metric does not use are pruned.
+samples is no hot spot, and columns that a metric does not use are pruned. Keys begin
+with the item, so what is sorted for an aggregate is sorted for the join after it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def by_item(responses: DataFrame, items: DataFrame) -> DataFrame:
     """
     first = F.col("sample_idx") == 0
     s0 = lambda c: F.max(F.when(first, F.col(c)))
-    state = slim(responses).groupBy("run_id", "item_id").agg(
+    state = slim(responses).groupBy("item_id", "run_id").agg(
         F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("k"), count_if(F.col("call_failed")).alias("failed"),
         F.count("correct").alias("graded"), count_if(F.col("correct")).alias("right"),
         s0("correct").alias("s0_correct"), s0("parsed").alias("s0_parsed"), s0("confidence").alias("s0_confidence"), s0("marker").alias("s0_marker"),
@@ -52,12 +53,12 @@ def by_item_voted(responses: DataFrame, items: DataFrame) -> DataFrame:
     first, given = F.col("sample_idx") == 0, F.col("parsed").isNotNull()
     s0 = lambda c: F.max(F.when(first, F.col(c)))
     carried = ("s0_correct", "s0_confidence", "s0_marker", "s0_intermediate")
-    answers = slim(responses).groupBy("run_id", "item_id", "parsed").agg(
+    answers = slim(responses).groupBy("item_id", "run_id", "parsed").agg(
         F.count("*").alias("n"), F.min("sample_idx").alias("at"), F.max("sample_idx").alias("last"), count_if(F.col("call_failed")).alias("failed"), F.count("correct").alias("graded"), count_if(F.col("correct")).alias("right"),
         s0("correct").alias("s0_correct"), s0("parsed").alias("s0_parsed"), s0("confidence").alias("s0_confidence"), s0("marker").alias("s0_marker"), s0("metadata.intermediate_correct").alias("s0_intermediate"),
     )
     size = F.when(given, F.col("n").cast("double"))
-    state = answers.groupBy("run_id", "item_id").agg(
+    state = answers.groupBy("item_id", "run_id").agg(
         F.sum("n").alias("n"), (F.max("last") + 1).alias("k"), *[F.sum(c).alias(c) for c in ("failed", "graded", "right")], F.max("s0_parsed").alias("s0_parsed"), *[F.max(c).alias(c) for c in carried],
         F.max_by("parsed", F.when(given, F.struct(F.col("n"), -F.col("at"), F.col("parsed")))).alias("winner"), F.sum(F.when(given, F.col("n"))).alias("n_votes"), F.count("parsed").alias("n_options"),
         F.abs(F.log2(F.sum(size)) - F.sum(size * F.log2(size)) / F.sum(size)).alias("entropy"),
@@ -78,14 +79,15 @@ def votes(responses: DataFrame) -> DataFrame:
     The winner has most votes; of those with as many, it is the one that the
     earliest sample gave. The entropy is in bits.
     """
-    given = responses.where(F.col("parsed").isNotNull()).groupBy("run_id", "item_id", "parsed").agg(F.count("*").alias("n"), F.min("sample_idx").alias("at"))
+    given = responses.where(F.col("parsed").isNotNull()).groupBy("item_id", "run_id", "parsed").agg(F.count("*").alias("n"), F.min("sample_idx").alias("at"))
     n = F.col("n").cast("double")
-    return given.groupBy("run_id", "item_id").agg(
+    voted = given.groupBy("item_id", "run_id").agg(
         F.max_by("parsed", F.struct(F.col("n"), -F.col("at"), F.col("parsed"))).alias("winner"),
         F.sum("n").alias("n_votes"),
         F.count("*").alias("n_options"),
         F.abs(F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("entropy"),
     )
+    return voted.select("run_id", "item_id", "winner", "n_votes", "n_options", "entropy")
 
 
 def voted(responses: DataFrame, items: DataFrame) -> DataFrame:

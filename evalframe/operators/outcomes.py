@@ -38,7 +38,7 @@ def item_outcomes(responses: DataFrame, items: DataFrame) -> DataFrame:
     Responses to unknown items stay, with null dimensions.
     """
     first = F.min_by(F.struct("parsed", F.col("metadata.parse_source").alias("source")), F.col("sample_idx"))
-    state = responses.groupBy("run_id", "item_id").agg(
+    state = responses.groupBy("item_id", "run_id").agg(
         F.count("*").alias("n"), st.count_if(F.col("correct")).alias("right"), st.count_if(F.col("raw") == ERROR).alias("failed"), first.alias("s")
     )
     rated = state.withColumn("outcome", F.when(F.col("failed") > 0, "errored").when(F.col("right") * 2 > F.col("n"), "solved").otherwise("wrong"))

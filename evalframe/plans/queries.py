@@ -189,8 +189,9 @@ def reasoning_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reasoning_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _evaluation(spark, sf_dir)
-    return rounded(runtime.reasoning_efficiency(e.reasoning_rows, e.telemetry))
+    told = star.telemetry(spark, sf_dir)
+    rows = runtime.reasoning_rows(star.responses(spark, sf_dir), told, star.items(spark, sf_dir))  # gone over once, so not written
+    return rounded(runtime.reasoning_efficiency(rows, told))
 
 
 def event_value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
