@@ -55,8 +55,8 @@ def response_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("run_id", "item_id", "sample_idx", "raw", "parsed", "correct", "confidence", "latency_ms", F.col("metadata.parse_source").alias("parse_source")))
 
 
-def _store(spark: SparkSession) -> store.Store:
-    return store.Store(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+def _store(spark: SparkSession, buckets: int = store.BUCKETS) -> store.Store:
+    return store.Store(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets)
 
 
 def store_items_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def run_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The responses stored in five waves that replace each other's rows, and metrics that were brought up to date after each: nothing is counted over all responses."""
-    s = _store(spark)
+    s = _store(spark, star.buckets(spark, sf_dir))
     s.upsert("items", star.items(spark, sf_dir))
     kept = states.MetricStates(s)
     for k, wave in enumerate(star.waves(spark, sf_dir)):

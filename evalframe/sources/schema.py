@@ -17,8 +17,11 @@ TELEMETRY = (
     "reasoning_tokens int, reasoning_density_proxy double, ttft_ms int, first_reasoning_ms int, reasoning_wall_ms int, answer_wall_ms int, "
     "token_entropy_mean double, token_entropy_max double, friction_transitions int, logprob_divergence_spikes int, unobservable_fields map<string,string>"
 )
-#: What an item of a run adds to the metrics that are kept up to date.
-FACTS = "run_id string, item_id string, family string, difficulty int, probe string, k int, answered boolean, right boolean, strict_right boolean"
+#: What an item of a run adds to the metrics that are kept up to date, and what it added before.
+FACTS = (
+    "run_id string, item_id string, family string, difficulty int, probe string, k int, answered boolean, right boolean, strict_right boolean, "
+    "was struct<run_id:string,family:string,difficulty:int,probe:string,k:int,answered:boolean,right:boolean,strict_right:boolean>"
+)
 #: Columns that tell a stored row from others.
 KEYS = {"items": ("item_id",), "runs": ("run_id",), "responses": ("run_id", "item_id", "sample_idx"), "telemetry": ("run_id", "item_id", "sample_idx"), "facts": ("run_id", "item_id")}
 SCHEMAS = {"items": ITEMS, "runs": RUNS, "responses": RESPONSES, "telemetry": TELEMETRY, "facts": FACTS}

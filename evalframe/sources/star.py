@@ -57,6 +57,12 @@ def _dealt(lines: DataFrame) -> DataFrame:
     return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // ROWS)), "item_id")
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets for a store of the responses: as many for each core, of five times ROWS at most."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(1, -(-table(spark, sf_dir, "lineitem").count() // (5 * ROWS * cores)))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({
         "run_id": F.concat(F.lit("r"), (F.col("l_suppkey") % 2).cast("string")), "item_id": F.col("l_orderkey"), "sample_idx": ((F.col("l_linenumber") - 1) % 3).cast("int"),

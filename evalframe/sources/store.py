@@ -5,8 +5,9 @@ each bucket that it has rows for and never touches older files. While it is at
 work its batch is marked as pending, and readers leave pending batches out, so
 they see whole batches and a write that fails is never seen. A batch holds a key
 once. All batches of a key lie in one bucket, so a read finds the last of them
-within its bucket, without a shuffle; files are sorted by key and have Bloom
-filters on their hash, so a row is looked up in one bucket by few pages.
+within its bucket, without a shuffle; files are sorted by the hash, as rows are to
+find repeated keys, so neither writing nor reading sorts anew, and have Bloom
+filters on it, so a row is looked up in one bucket by few pages.
 ``compact`` folds the files of each bucket that has more than one.
 """
 
@@ -17,7 +18,9 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +114,13 @@ class Folder:
         self.fs.delete(self._at(name), False)
 
 
+class Merging(NamedTuple):
+    """Rows to be stored as ``merge`` makes them: it is given them, with columns that the table does not have, where their bucket lies, and may hold them ``Store.beside`` what the table has."""
+
+    rows: DataFrame
+    merge: Callable[[DataFrame], DataFrame]
+
+
 class Store:
     """The tables ``items``, ``runs``, ``responses`` and ``telemetry`` below one folder.
 
@@ -136,25 +146,23 @@ class Store:
         name = f"{table}_{hashlib.md5(path.encode()).hexdigest()}"
         if not self.spark.catalog.tableExists(name):
             n, place = int(self._log(table).get("layout")), path.replace("'", "\\'")
-            sorted_by = ", ".join(KEYS[table])
+            sorted_by = ", ".join((HASH, *KEYS[table]))
             blooms = ", ".join(f"'parquet.bloom.filter.enabled#{c}' = 'true'" for c in (HASH, *(k for k in KEYS[table] if k != "sample_idx")))
             self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS[table]}, {BATCH} string, {HASH} bigint) USING parquet OPTIONS ({blooms}) CLUSTERED BY ({HASH}) SORTED BY ({sorted_by}) INTO {n} BUCKETS LOCATION '{place}'")
         return name
 
     def _bucketed(self, rows: DataFrame, table: str) -> DataFrame:
-        """The rows of a batch, one of each key (the same one each time for the same rows; maps do not count in the choice), a task for each bucket, sorted as they are stored."""
+        """The rows of a batch, one of each key (the same one each time for the same rows; maps do not count in the choice), a task for each bucket; the writer sorts them."""
         plain = [f.name for f in rows.schema.fields if f.name != BATCH and not f.dataType.simpleString().startswith("map")]
-        keys = KEYS[table]
-        one = Window.partitionBy(HASH, *keys, BATCH).orderBy(F.xxhash64(*plain).desc())
-        dealt = rows.repartition(int(self._log(table).get("layout")), HASH)
-        return dealt.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row").sortWithinPartitions(*keys)
+        one = Window.partitionBy(HASH, *KEYS[table], BATCH).orderBy(F.xxhash64(*plain).desc())
+        return self.dealt(rows, table).withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
 
     def _append(self, rows: DataFrame, table: str) -> None:
         name = self._table(table)
-        writer = rows.write.bucketBy(int(self._log(table).get("layout")), HASH).sortBy(*KEYS[table])
+        writer = rows.write.bucketBy(int(self._log(table).get("layout")), HASH).sortBy(HASH, *KEYS[table])
         writer.mode("append").saveAsTable(name)
 
-    def upsert(self, table: str, rows: DataFrame, name: str | None = None) -> str:
+    def upsert(self, table: str, rows: DataFrame | Merging, name: str | None = None) -> str:
         """Replace the rows of equal keys by these; other rows stay. Missing columns are null, columns of other names are dropped.
 
         Within one batch a repeated key keeps one of its rows. Parameters of runs
@@ -162,8 +170,10 @@ class Store:
         A batch with a ``name`` is stored once: another of that name replaces it if
         it was not finished, and is left out if it was. Returns the batch's number.
         """
+        rows, merge = rows if isinstance(rows, Merging) else (rows, None)
         schema = StructType.fromDDL(SCHEMAS[table])
-        whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        fit = lambda df, *more: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields], *more)
+        whole = fit(rows, *([c for c in rows.columns if c not in schema.names] if merge else []))
         if table == "runs":
             whole = whole.withColumns({"params": redact(F.col("params")), "created_at": F.coalesce("created_at", F.current_timestamp())})
         self._log(table).put("layout", str(self.buckets))
@@ -172,7 +182,8 @@ class Store:
             return was
         batch = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
         pending.put(batch, name or "")
-        self._append(self._bucketed(whole.withColumns({BATCH: F.lit(batch), HASH: hash_of(table)}), table), table)
+        dealt = self._bucketed(whole.withColumns({BATCH: F.lit(batch), HASH: hash_of(table)}), table)
+        self._append(fit(merge(dealt), BATCH, HASH) if merge else dealt, table)
         if name is not None:
             names.put(name, batch)
         pending.remove(batch)
@@ -200,14 +211,35 @@ class Store:
         ``until`` and ``before`` give it as it stood after or before a batch, as long
         as it was not compacted since.
         """
+        return self.held(table, until, before).drop(BATCH, HASH)
+
+    def held(self, table: str, until: str | None = None, before: str | None = None) -> DataFrame:
+        """The same with the batch and the hash of each row, by which it lies in its bucket."""
         if not self._exists(table):
-            return self.spark.createDataFrame([], SCHEMAS[table])
+            return self.spark.createDataFrame([], f"{SCHEMAS[table]}, {BATCH} string, {HASH} bigint")
         rows = self.stored(table)
         if until is not None:
             rows = rows.where(F.col(BATCH) <= until)
         if before is not None:
             rows = rows.where(F.col(BATCH) < before)
-        return _last_of_key(rows, table).drop(BATCH, HASH)
+        return _last_of_key(rows, table)
+
+    def dealt(self, rows: DataFrame, table: str) -> DataFrame:
+        """Rows that have a key of the table, with its hash, each in the task of its bucket."""
+        n = int(self._log(table).get("layout") or self.buckets)
+        return rows.withColumn(HASH, hash_of(table)).repartition(n, HASH)
+
+    @staticmethod
+    def beside(rows: DataFrame, table: str, held: DataFrame, name: str, columns: list[str], how: str = "left") -> DataFrame:
+        """Rows that are ``dealt``, each with columns of the row that is ``held`` of its key as the struct ``name``; nothing that is stored is shuffled.
+
+        They meet by the hash alone, which buckets are made of; that the keys are equal
+        is said by two bounds, since Spark would shuffle both sides by keys it can join by.
+        """
+        keys = KEYS[table]
+        there = held.select(F.col(HASH).alias("__hash"), *[F.col(k).alias(f"__{k}") for k in keys], F.struct(*columns).alias(name))
+        same = reduce(lambda a, b: a & b, [F.col(k).between(F.col(f"__{k}"), F.col(f"__{k}")) for k in keys])
+        return rows.join(there, (F.col(HASH) == F.col("__hash")) & same, how).drop("__hash", *[f"__{k}" for k in keys])
 
     def compact(self, table: str) -> list[int]:
         """Fold the files of each bucket that has more than one into one; returns those buckets. Run it when no writer is at work.
@@ -232,7 +264,7 @@ class Store:
             paths = [f"{self._path(table)}/{f}" for old in changed.values() for f in old]
             rows = self.spark.read.schema(kept.schema).parquet(*paths).where(~F.col(BATCH).isin(left) if left else F.lit(True))
             n = int(self._log(table).get("layout"))
-            last = _last_of_key(rows.repartition(n, HASH), table).sortWithinPartitions(*KEYS[table])
+            last = _last_of_key(rows.repartition(n, HASH), table)
             self._append(last, table)
             for f in (f for old in changed.values() for f in old):
                 files.remove(f)

@@ -16,11 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import grading
 from ..functions import stats as st
 from ..operators.items import slim
-from ..sources.store import BATCH, Folder, Store, materialise
+from ..sources.store import BATCH, HASH, Folder, Merging, Store, materialise
 
 CELL = ["run_id", "family", "difficulty", "probe", "k"]
+WAS = [*CELL, "answered", "right", "strict_right"]
 SUMS = ["items", "answered", "right", "base_answered", "base_right", "strict_right", "fallback_right"]
-#: Items of a batch whose keys may be broadcast, some tens of megabytes; those of a larger batch are shuffled, and the facts with them.
+#: Rows of a batch whose keys may be broadcast, some tens of megabytes; a larger batch goes through all facts, each in its bucket.
 BROADCAST = 500_000
 
 
@@ -54,10 +55,10 @@ class MetricStates:
         """Count in a stored batch of responses, once. Batches are counted in the order in which they were stored."""
         if f"changes-{batch}" in self.log.names():
             return
-        facts = self.store.upsert("facts", self._facts(batch), f"facts-{batch}")
+        rows = self.store.stored("responses").where(F.col(BATCH) == batch)
+        facts = self.store.upsert("facts", Merging(self._facts(rows), lambda facts: self._merged(facts, rows)), f"facts-{batch}")
         new = self.store.stored("facts").where(F.col(BATCH) == facts)
-        replaced = self._of(self.store.read("facts", before=facts), new)
-        change = _adds(new, 1).unionByName(_adds(replaced, -1)).groupBy(*CELL).agg(*[F.sum(s).alias(s) for s in SUMS])
+        change = _adds(new, 1).unionByName(_adds(new.where("was is not null").select("was.*"), -1)).groupBy(*CELL).agg(*[F.sum(s).alias(s) for s in SUMS])
         change.where(" or ".join(f"{s} <> 0" for s in SUMS)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/.{batch}")
         self.log.fs.rename(self.log._at(f".{batch}"), self.log._at(f"changes-{batch}"))
 
@@ -67,23 +68,34 @@ class MetricStates:
         keys = materialise(batch.select("run_id", "item_id").distinct())
         return facts.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, ["run_id", "item_id"], "left_semi")
 
-    def _facts(self, batch: str) -> DataFrame:
-        """The facts of the batch's items after it: the first sample's from the batch if that has it, else as they were."""
-        rows = slim(self.store.stored("responses").where(F.col(BATCH) == batch))
-        first = lambda c: F.max(F.when(F.col("sample_idx") == 0, F.col(c)))
-        own = rows.groupBy("run_id", "item_id").agg((F.max("sample_idx") + 1).alias("k"), F.max(F.col("sample_idx") == 0).alias("has_first"), first("correct").alias("correct"), first("marker").alias("marker"))
-        items = self.store.read("items").select("item_id", "family", "difficulty", "probe", "gold", "answer_type", "choices")
-        strict = grading.is_right(grading.of_marker(F.col("marker"), F.col("answer_type"), F.col("choices")), F.col("gold"), F.col("answer_type"))
+    def _facts(self, rows: DataFrame) -> DataFrame:
+        """The facts of a batch's items by its own rows: how many samples it tells of, and whether and what it has of the first.
+
+        Later samples are counted apart from first ones, of which an item has one, so
+        what is dealt out to meet the items is two rows of each at most.
+        """
+        later = ~F.col("sample_idx").eqNullSafe(0)
+        samples = rows.where(later).groupBy("run_id", "item_id").agg((F.max("sample_idx") + 1).alias("k"))
+        first = slim(rows.where(~later)).select("run_id", "item_id", F.lit(1).alias("k"), F.lit(True).alias("has_first"), "correct", "marker")
+        told = self.store.dealt(first.unionByName(samples, allowMissingColumns=True), "items")
+        own = told.groupBy(HASH, "run_id", "item_id").agg(*[F.max(c).alias(c) for c in ("k", "has_first", "correct", "marker")])
+        both = self.store.beside(own, "items", self.store.held("items"), "item", ["family", "difficulty", "probe", "gold", "answer_type", "choices"], "inner")
+        item = F.col("item")
+        strict = grading.is_right(grading.of_marker(F.col("marker"), item["answer_type"], item["choices"]), item["gold"], item["answer_type"])
         answered = F.col("correct").isNotNull()
-        told = own.join(items, "item_id").select(
-            "run_id", "item_id", "family", "difficulty", "probe", "k", "has_first", answered.alias("answered"), F.coalesce("correct", F.lit(False)).alias("right"), (answered & strict).alias("strict_right"),
+        return both.select(
+            "run_id", "item_id", "item.family", "item.difficulty", "item.probe", "k", F.coalesce("has_first", F.lit(False)).alias("has_first"), answered.alias("answered"),
+            F.coalesce("correct", F.lit(False)).alias("right"), (answered & strict).alias("strict_right"),
         )
-        was = self._of(self.store.read("facts"), rows).select(
-            F.col("run_id").alias("r"), F.col("item_id").alias("i"), F.col("k").alias("k_was"), *[F.col(c).alias(f"{c}_was") for c in ("answered", "right", "strict_right")]
-        )
-        both = told.join(was, (F.col("run_id") == F.col("r")) & (F.col("item_id") == F.col("i")), "left")
-        kept = lambda c: F.when(F.col("has_first"), F.col(c)).otherwise(F.coalesce(f"{c}_was", F.lit(False))).alias(c)
-        return both.select("run_id", "item_id", "family", "difficulty", "probe", F.greatest("k", "k_was").alias("k"), *[kept(c) for c in ("answered", "right", "strict_right")])
+
+    def _merged(self, facts: DataFrame, rows: DataFrame) -> DataFrame:
+        """The facts of the batch's items after it, with what they were before: the first sample's from the batch if that has it, else as they were."""
+        held = self.store.held("facts")
+        if rows.count() <= BROADCAST:
+            held = self._of(held, rows)
+        both = self.store.beside(facts.drop("was"), "facts", held, "was", WAS)
+        kept = {c: F.when(F.col("has_first"), F.col(c)).otherwise(F.coalesce(F.col("was")[c], F.lit(False))) for c in ("answered", "right", "strict_right")}
+        return both.withColumns(kept | {"k": F.greatest("k", F.col("was")["k"])})
 
     def sums(self) -> DataFrame:
         """The sums by cell; cells that nothing is left in are gone."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalframe.operators import accuracy
 from evalframe.operators.items import by_item
+from evalframe.sources import store as stored
 from evalframe.sources.schema import ERROR, RESPONSES
 from evalframe.sources.store import Folder, Store
 from evalframe.streaming import states
@@ -110,3 +111,55 @@ def test_a_stream_keeps_them(spark, tmp_path):
     _same(kept, store)
     assert len([n for n in Folder(spark, kept.path).names() if n.startswith("changes-")]) == 3
     assert store.read("responses").where(F.col("raw").isNull()).count() == 0
+
+
+def _stored_twice(spark, folder):
+    """A store with two batches counted, the second of which is large."""
+    store = Store(spark, str(folder), 4)
+    store.upsert("items", _items(spark))
+    kept = states.MetricStates(store)
+    for n in range(2):
+        kept.upsert(_batch(spark, n), f"b{n}")
+    return store, kept
+
+
+def test_a_large_batch_meets_items_and_facts_where_they_lie(spark, tmp_path, monkeypatch):
+    """Rows of the batch are dealt to the buckets; nothing that is stored is shuffled, and no keys are written beside."""
+    monkeypatch.setattr(states, "BROADCAST", 1)
+    monkeypatch.setattr(states, "materialise", lambda df: pytest.fail("keys of a large batch"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store, kept = _stored_twice(spark, tmp_path)
+        rows = store.stored("responses")
+        facts = kept._facts(rows)
+        dealt = store._bucketed(facts.withColumns({"_batch": F.lit("x"), "was": F.lit(None)}), "facts")
+        for plan, scans in ((facts, 3), (kept._merged(dealt, rows), 4)):
+            shown = plan._jdf.queryExecution().executedPlan().toString()
+            for table in ("items_", "facts_"):
+                for part in shown.split("Scan parquet")[1:]:
+                    assert table not in part.split("[")[0] or "Bucketed: true" in part
+            joins = [x for x in shown.split("\n") if "SortMergeJoin" in x]
+            assert joins and all("[_hash#" in x and "[__hash#" in x for x in joins)
+            assert shown.count("REPARTITION_BY_NUM") == (1 if scans == 3 else 2) and shown.count("Exchange hashpartitioning") == shown.count("REPARTITION_BY_NUM") + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    _same(kept, store)
+
+
+def test_a_fact_tells_what_it_replaced(spark, tmp_path):
+    """The changes of a batch come of its own facts, also when the facts were compacted before they were counted."""
+    store, kept = _stored_twice(spark, tmp_path)
+    batch = store.upsert("responses", _batch(spark, 2), "b2")
+    rows = store.stored("responses").where(F.col("_batch") == batch)
+    store.upsert("facts", stored.Merging(kept._facts(rows), lambda facts: kept._merged(facts, rows)), f"facts-{batch}")
+    store.compact("facts")
+    kept.advance(batch)
+    _same(kept, store)
+
+
+def test_equal_hashes_do_not_make_equal_keys(spark, tmp_path, monkeypatch):
+    """Rows meet by the hash, and their keys decide: here all hashes are one."""
+    monkeypatch.setattr(stored, "hash_of", lambda table: F.lit(7).cast("long"))
+    monkeypatch.setattr(states, "BROADCAST", 1)
+    store, kept = _stored_twice(spark, tmp_path)
+    _same(kept, store)
