@@ -16,8 +16,9 @@ from .store import latest
 #: Family by group number.
 FAMILIES = ("arithmetic", "ordering", "knights_knaves", "unsat_csp", "dynamic_pivot")
 
-#: Line items in a task, about.
+#: Line items in a task, about, and in one of a table that is dealt to more tasks than ``_unsorted`` says.
 ROWS = 400_000
+FULL = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,20 +48,30 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unsorted(spark: SparkSession) -> int:
+    """Partitions up to which Spark writes a shuffle's rows as they come; for more, a task holds and sorts all rows of its split."""
+    return int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks of ROWS, as many as are written unsorted; from there on they fill up to FULL times ROWS before there are more."""
+    return max(spark.sparkContext.defaultParallelism, min(-(-rows // ROWS), _unsorted(spark)), -(-rows // (FULL * ROWS)))
+
+
 def _dealt(lines: DataFrame) -> DataFrame:
-    """Line items by their item, in tasks that grow in number with the table and not in size.
+    """Line items by their item, in tasks that grow in number with the table and in size up to a bound.
 
     What follows by item, the latest of each key, golds, frames and votes, goes on
     where the rows lie: they are shuffled once and not sorted before. Responses and
     telemetry take the same rows, so one shuffle serves both.
     """
-    return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // ROWS)), "item_id")
+    return lines.repartition(_tasks(lines.sparkSession, lines.count()), "item_id")
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> int:
     """Buckets for a store of the responses: as many for each core, of five times ROWS at most."""
     cores = spark.sparkContext.defaultParallelism
-    return cores * max(1, -(-table(spark, sf_dir, "lineitem").count() // (5 * ROWS * cores)))
+    return cores * max(1, -(-table(spark, sf_dir, "lineitem").count() // (FULL * ROWS * cores)))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
