@@ -15,8 +15,12 @@ ROWS = (
     ("overall acc", "overall_accuracy", True), ("strict acc", "strict_accuracy", True), ("coverage", "coverage", True), ("calibration ECE", "ece", False),
     ("answer-flip", "answer_flip_rate", False), ("confabulation", "confabulation_rate", False), ("maj@k", "maj_at_k", True),
 )
-#: The classes at a word are dealt into so many blocks, of which each meets each.
+#: Families that a mask holds.
+WORD = 64
+#: Classes are dealt into so many blocks at least, of which each meets each.
 BLOCKS = 8
+#: Bytes of families' names in a block, about, and classes at most. Parquet's writer holds 1 MB of different texts as a dictionary; beyond, it writes each text out.
+BLOCK_BYTES, BLOCK_ROWS = 768 << 10, 4096
 
 
 def run_families(responses: DataFrame, items: DataFrame) -> DataFrame:
@@ -45,27 +49,47 @@ def class_mismatch(classes: DataFrame) -> DataFrame:
     """Pairs of classes over different tags that share families: ``tag_1, families_1, n_runs_1, tag_2, families_2, n_runs_2, shared_families``.
 
     However many runs there are, pairs are made of classes. The first of a pair has
-    the smaller tag. Families are numbered, and classes meet at each word of 64
-    families of which they share any; a pair is told at the first such word, so
-    pairs are neither shuffled nor kept. The classes of a word are dealt into blocks
-    that meet each other in tasks of their own, as there may be but one word.
+    the smaller tag. Families are numbered. Up to WORD of them are bits of one mask,
+    and the classes are stored in blocks, of which each meets each in a task that
+    reads the two: no class is shuffled once for every block that it meets, and a
+    task's pairs have few enough texts that a file holds each of them once.
     """
-    counted = classes.where("families <> ''").groupBy("tag", "families").agg(F.count("*").alias("n_runs"))
-    each = materialise(counted.withColumn("family", F.explode(F.array_distinct(F.split("families", ",")))))
+    counted = materialise(classes.where("families <> ''").groupBy("tag", "families").agg(F.count("*").alias("n_runs")))
+    each = counted.withColumn("family", F.explode(F.array_distinct(F.split("families", ","))))
     numbers = numbered(each.select("family").distinct(), ["family"])
+    if numbers.limit(WORD + 1).count() > WORD:
+        return _by_word(each, numbers)
+    bit = F.expr("shiftleft(1L, int(position))")
+    masked = each.join(F.broadcast(numbers), "family").groupBy("tag", "families", "n_runs").agg(F.bit_or(bit).alias("mask"))  # WORD rows at most
+    rows, size = counted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("families")), F.lit(0))).first()
+    blocks = max(BLOCKS, -(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
+    dealt = materialise(masked.repartition(blocks).sortWithinPartitions("tag", "n_runs"))
+    a, b = (dealt.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families", "n_runs", "mask")]) for k in (1, 2))
+    both = F.col("mask_1").bitwiseAND(F.col("mask_2"))
+    pairs = a.hint("shuffle_replicate_nl").join(b, (F.col("tag_1") < F.col("tag_2")) & (both != 0))
+    return pairs.select("tag_1", "families_1", "n_runs_1", "tag_2", "families_2", "n_runs_2", F.bit_count(both).cast("long").alias("shared_families"))
+
+
+def _by_word(each: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The pairs over more than WORD families, of a row for each class and family.
+
+    Classes meet at each word of WORD families of which they share any; a pair is
+    told at the first such word, so pairs are neither shuffled nor kept. The classes
+    of a word are dealt into BLOCKS that meet each other in tasks of their own.
+    """
     whole = each.join(numbers, "family").groupBy("tag", "families", "n_runs").agg(F.sort_array(F.collect_list("position")).alias("own"))
     of = whole.withColumns({"block": F.pmod(F.xxhash64("tag", "families"), F.lit(BLOCKS)).cast("int"), "at": F.explode("own")})
-    mask = F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("mask")
-    words = materialise(of.groupBy("tag", "families", "n_runs", "own", "block", F.floor(F.col("at") / 64).alias("word")).agg(mask))
+    mask = F.bit_or(F.expr(f"shiftleft(1L, int(at % {WORD}))")).alias("mask")
+    words = materialise(of.groupBy("tag", "families", "n_runs", "own", "block", F.floor(F.col("at") / WORD).alias("word")).agg(mask))
     told = words.withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    tasks = max(BLOCKS * BLOCKS, classes.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(BLOCKS * BLOCKS, each.sparkSession.sparkContext.defaultParallelism)
     a, b = (
         told.select("word", F.col(first).alias("block_1"), F.col(second).alias("block_2"), *[F.col(c).alias(f"{c}_{k}") for c in ("tag", "families", "n_runs", "own", "mask")]).repartition(tasks, "word", "block_1", "block_2")
         for k, first, second in ((1, "block", "against"), (2, "against", "block"))
     )
     shared = F.array_intersect("own_1", "own_2")  # in the order of the first
     meet = reduce(Column.__and__, [a[c] == b[c] for c in ("word", "block_1", "block_2")])
-    pairs = a.join(b, meet & (F.col("tag_1") < F.col("tag_2")) & (F.col("mask_1").bitwiseAND(F.col("mask_2")) != 0) & (F.floor(F.get(shared, F.lit(0)) / 64) == a.word))
+    pairs = a.join(b, meet & (F.col("tag_1") < F.col("tag_2")) & (F.col("mask_1").bitwiseAND(F.col("mask_2")) != 0) & (F.floor(F.get(shared, F.lit(0)) / WORD) == a.word))
     return pairs.select("tag_1", "families_1", "n_runs_1", "tag_2", "families_2", "n_runs_2", F.size(shared).cast("long").alias("shared_families"))
 
 

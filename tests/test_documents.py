@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as parquet
 from pyspark.sql import functions as F
 
 from evalframe.functions import documents
@@ -53,3 +54,22 @@ def test_classes_that_share_many_families_meet_once(spark):
     got = found.collect()
     assert {(r.tag_1, r.families_1, r.tag_2, r.families_2): r.shared_families for r in got} == want and len(got) == len(want) > 100
     assert max(want.values()) > 2 and sum(r.n_runs_1 for r in got) >= len(got)
+
+
+def test_pairs_of_classes_are_written_with_each_text_once(spark, tmp_path, monkeypatch):
+    """64 families, so that a mask is full; a file's dictionary holds a 32nd of what is usual, and a block of classes fits in it: pairs refer to texts that a file has once, and no class is shuffled for the blocks that it meets."""
+    monkeypatch.setattr(compare, "BLOCK_BYTES", compare.__dict__.get("BLOCK_BYTES", 0) // 32, raising=False)
+    names = [f"family-{k:02d}-of-many" for k in range(64)]
+    rows = [(f"t{c % 3}", [n for k, n in enumerate(names) if (c * 2654435761 + k * (c + 7919) * 40503) % 1009 < 560]) for c in range(479)] + [("t0", names)]
+    classes = spark.createDataFrame([(i, tag, ",".join(f)) for i, (tag, f) in enumerate(rows)], "run_id long, tag string, families string")
+    found = compare.class_mismatch(classes)
+    found.write.option("parquet.dictionary.page.size", 32 << 10).parquet(f"{tmp_path}/pairs")
+    want = {(a, ",".join(f), b, ",".join(g)): len({*f} & {*g}) for a, f in rows for b, g in rows if a < b and {*f} & {*g}}
+    got = spark.read.parquet(f"{tmp_path}/pairs").collect()
+    assert {(r.tag_1, r.families_1, r.tag_2, r.families_2): r.shared_families for r in got} == want and len(got) == len(want) > 50_000
+    files = [parquet.read_metadata(p).row_group(0) for p in tmp_path.glob("pairs/*.parquet")]
+    spelt = [c.path_in_schema for f in files if f.num_rows for c in (f.column(i) for i in range(f.num_columns)) if c.path_in_schema.startswith("families") and "PLAIN" in c.encodings]
+    assert files and not spelt, f"{len(spelt)} columns of {len(files)} files have each text written out"
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    none = compare.class_mismatch(classes.where("run_id < 0"))
+    assert none.columns == found.columns and none.count() == 0
